@@ -15,11 +15,19 @@ def is_missing(x: Column) -> Column:
     return x.isNull() | F.lower(F.trim(x)).isin(*S.MISSING_TOKENS)
 
 
-def parse_number(x: Column) -> Column:
-    """'₹ 1,234.5 Cr' -> 1234.5; missing tokens, bad text, NaN and infinities -> null."""
-    stripped = F.trim(F.regexp_replace(x, "[,%₹]|Cr", ""))
-    number = F.when(~is_missing(stripped), stripped).try_cast("double")
-    return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
+_NUMBER = "^([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?)$"
+
+
+def number_sql(cell: str) -> str:
+    """SQL of a lenient number parse: '₹ 1,234.5 Cr' -> 1234.5; missing tokens, NaN, infinities, bad text -> null."""
+    return f"try_cast(regexp_extract(trim(regexp_replace({cell}, '[,%₹]|Cr', '')), '{_NUMBER}', 1) as double)"
+
+
+def parse_number(x: Column | str) -> Column:
+    """Number of a text column, see :func:`number_sql`."""
+    if isinstance(x, str):
+        return F.expr(number_sql(f"`{x}`"))
+    return F.regexp_extract(F.trim(F.regexp_replace(x, "[,%₹]|Cr", "")), _NUMBER, 1).try_cast("double")
 
 
 def parse_bool(x: Column) -> Column:

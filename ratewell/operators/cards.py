@@ -20,18 +20,17 @@ def title(name: str) -> str:
     return name.replace("_", " ").title()
 
 
-def _weight_list(card: str, template: Column, weights: Mapping) -> Column:
-    """The card's (metric, weight, title) list for the row's template, in configured order."""
-    out = None
+def _weight_list(card: str, weights: Mapping) -> Column:
+    """The card's (metric, weight, title) list for the row's ``template``, in configured order."""
+    cases = []
     for code, cards in weights.items():
-        items = F.array(*[
-            F.struct(F.lit(m).alias("m"), F.lit(float(w)).alias("w"), F.lit(title(m)).alias("t"))
-            for m, w in cards[card].items()])
-        out = F.when(template == code, items) if out is None else out.when(template == code, items)
-    return out
+        items = ", ".join(f"named_struct('m', '{m}', 'w', {float(w)!r}D, 't', '{title(m)}')"
+                          for m, w in cards[card].items())
+        cases.append(f"when '{code}' then array({items})")
+    return F.expr(f"case template {' '.join(cases)} end")
 
 
-def card_struct(card: str, template: Column, scores: Column, weights: Mapping = S.CARD_WEIGHTS,
+def card_struct(card: str, scores: Column, weights: Mapping = S.CARD_WEIGHTS,
                 threshold: float = S.CARD_COVERAGE_MIN) -> Column:
     """score, label, coverage, rankable and reason of one card from the row's metric -> score map.
 
@@ -65,12 +64,12 @@ def card_struct(card: str, template: Column, scores: Column, weights: Mapping =
         return F.struct(score.alias("score"), card_label(card, score).alias("label"),
                         rounded(coverage, 3).alias("coverage"), rankable.alias("rankable"), reason.alias("reason"))
 
-    return F.aggregate(_weight_list(card, template, weights), start, step, finish)
+    return F.aggregate(_weight_list(card, weights), start, step, finish)
 
 
-def sub_scores(card: str, template: Column, scores: Column, weights: Mapping = S.CARD_WEIGHTS) -> Column:
+def sub_scores(card: str, scores: Column, weights: Mapping = S.CARD_WEIGHTS) -> Column:
     """metric -> score map of one card; metrics without a score stay in it as null."""
-    names = F.transform(_weight_list(card, template, weights), lambda item: item["m"])
+    names = F.transform(_weight_list(card, weights), lambda item: item["m"])
     return F.map_from_arrays(names, F.transform(names, lambda m: F.try_element_at(scores, m)))
 
 
@@ -86,7 +85,7 @@ def with_cards(rows: DataFrame, weights: Mapping = S.CARD_WEIGHTS) -> DataFrame:
     covered one does not cap the opportunity score.
     """
     scores = F.coalesce(F.col("scores"), F.create_map().cast("map<string,double>"))
-    rows = rows.withColumns({f"card_{c}": card_struct(c, F.col("template"), scores, weights) for c in S.CARDS})
+    rows = rows.withColumns({f"card_{c}": card_struct(c, scores, weights) for c in S.CARDS})
     triggered = disqualifiers(
         F.coalesce("asm_stage", F.lit(0)), F.coalesce("gsm_stage", F.lit(0)), F.col("interest_coverage"),
         F.col("credit_rating_grade").cast("int"), F.coalesce("pledge_pct", "promoter_pledge"), F.col("gnpa_pct"),
@@ -177,7 +176,7 @@ def coverage_by_template(metrics_wide: DataFrame, weights: Mapping = S.CARD_WEIG
         F.array(*[F.when(F.col(m).isNotNull(), F.lit(1.0)) for m in S.configured_metrics()]))
     rows = metrics_wide.withColumn("have", present)
     each = F.array(*[
-        F.struct(F.lit(c).alias("card"), card_struct(c, F.col("template"), F.col("have"), weights)["coverage"].alias(
+        F.struct(F.lit(c).alias("card"), card_struct(c, F.col("have"), weights)["coverage"].alias(
             "coverage")) for c in S.CARDS])
     covered = rows.select("template", F.explode(each).alias("e")).select("template", "e.card", "e.coverage")
     found = covered.groupBy("template", "card").agg(

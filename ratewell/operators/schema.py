@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ratewell import columns as H
 from ratewell import settings as S
-from ratewell.functions.text import is_missing, parse_bool, parse_events, parse_number
+from ratewell.functions.text import is_missing, number_sql, parse_bool, parse_events
 
 PREFIX = "fund__"
 
@@ -28,12 +28,17 @@ def find_column(columns: Iterable[str], aliases: Iterable[str]) -> str | None:
     return next((known[normal_header(a)] for a in aliases if normal_header(a) in known), None)
 
 
-def first_value(columns: Sequence[str], aliases: Iterable[str]) -> Column:
-    """Per row, the first non-blank cell among the aliases, each tried plain and then prefixed."""
+def first_value_sql(columns: Sequence[str], aliases: Iterable[str]) -> str | None:
+    """SQL of the first non-blank cell among the aliases, each tried plain and then prefixed; None if no header fits."""
     known = {normal_header(c): c for c in columns}
-    hits = [known[k] for a in aliases for k in (normal_header(a), normal_header(PREFIX + a)) if k in known]
-    cells = [F.when(F.trim(quoted(c).cast("string")) != "", quoted(c).cast("string")) for c in dict.fromkeys(hits)]
-    return F.coalesce(*cells) if cells else F.lit(None).cast("string")
+    hits = dict.fromkeys(
+        known[k] for a in aliases for k in (normal_header(a), normal_header(PREFIX + a)) if k in known)
+    cells = [f"if(trim(`{c}`) != '', string(`{c}`), null)" for c in hits]
+    return f"coalesce({', '.join(cells)})" if cells else None
+
+
+def first_value(columns: Sequence[str], aliases: Iterable[str]) -> Column:
+    return F.expr(first_value_sql(columns, aliases) or "string(null)")
 
 
 def rename_aliases(df: DataFrame, headers: Mapping[str, Sequence[str]]) -> DataFrame:
@@ -43,26 +48,29 @@ def rename_aliases(df: DataFrame, headers: Mapping[str, Sequence[str]]) -> DataF
         (quoted(c) if c else F.lit(None).cast("string")).alias(name) for name, c in found.items()])
 
 
+def _number(columns: Sequence[str], aliases: Iterable[str]) -> Column:
+    cell = first_value_sql(columns, aliases)
+    return F.expr(number_sql(cell) if cell else "double(null)")
+
+
 def metric_columns(columns: Sequence[str], metrics: Iterable[str] | None = None) -> dict[str, Column]:
     """Parsed metric columns of a text export (by default those some card weighs)."""
-    wanted = set(S.configured_metrics() if metrics is None else metrics)
-    out = {m: parse_number(first_value(columns, a)) for m, a in H.METRIC_HEADERS.items() if m in wanted}
-    return out | {m: F.lit(None).cast("double") for m in sorted(wanted - set(out))}
+    wanted = list(S.configured_metrics() if metrics is None else metrics)
+    return {m: _number(columns, H.METRIC_HEADERS.get(m, [])) for m in wanted}
 
 
 def input_columns(columns: Sequence[str]) -> dict[str, Column]:
     """Parsed raw inputs: stages as int (0 if unreadable), flags, event lists, numbers."""
     out: dict[str, Column] = {}
     for name, aliases in H.INPUT_HEADERS.items():
-        cell = first_value(columns, aliases)
         if name == "is_t2t":
-            out[name] = parse_bool(cell)
+            out[name] = parse_bool(first_value(columns, aliases))
         elif name == "governance_events":
-            out[name] = parse_events(cell)
+            out[name] = parse_events(first_value(columns, aliases))
         elif name in ("asm_stage", "gsm_stage"):
-            out[name] = F.coalesce(parse_number(cell).cast("int"), F.lit(0))
+            out[name] = F.coalesce(_number(columns, aliases).cast("int"), F.lit(0))
         else:
-            out[name] = parse_number(cell)
+            out[name] = _number(columns, aliases)
     return out
 
 

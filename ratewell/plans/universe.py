@@ -42,8 +42,8 @@ def read_export(export: DataFrame, arrival: str | None = None) -> DataFrame:
         F.col("macro_sector"), F.col("sector"), F.col("industry"), F.col("basic_industry")))
 
 
-def derived_steps() -> list[tuple[str, Column]]:
-    """Derived metrics in order; each may use the ones before it and fills only empty cells."""
+def derived_columns() -> dict[str, Column]:
+    """Derived metrics; a metric that is already there is kept."""
     c = F.col
 
     def fill(name: str, value: Column) -> tuple[str, Column]:
@@ -59,10 +59,11 @@ def derived_steps() -> list[tuple[str, Column]]:
     distress = M.distress_risk(c("debt_to_equity"), c("interest_coverage"), c("credit_rating_grade").cast("int"))
     watch = M.surveillance_risk(c("asm_stage"), c("gsm_stage"))
     governance = M.governance_risk(c("governance_events"))
-    return [
+    iv_gap = F.coalesce(c("iv_gap"), M.gap_pct(value, c("close_price")))
+    return dict([
         ("promoter_pledge", F.when(c("pledge_pct").isNotNull(), pledge_risk(c("pledge_pct"))).otherwise(c("promoter_pledge"))),
-        fill("iv_gap", M.gap_pct(value, c("close_price"))),
-        fill("discount_to_iv", c("iv_gap")),
+        ("iv_gap", iv_gap),
+        fill("discount_to_iv", iv_gap),
         fill("forward_view", rounded(M.forward_growth(
             c("eps_fy0"), c("eps_fy1"), c("eps_ttm"), F.coalesce("earnings_growth", "eps_growth_yoy")))),
         fill("roe_adj_pb", F.when(c("roe_ttm") > 0, c("pb_percentile") / c("roe_ttm"))),
@@ -90,13 +91,11 @@ def derived_steps() -> list[tuple[str, Column]]:
             c("gross_block_fy0"), c("gross_block_fy3"), c("asset_turnover"))),
         fill("margin_expansion", M.margin_expansion(
             c("ebitda_margin"), c("opm_fy1"), c("opm_fy2"), c("rev_growth_yoy"))),
-    ]
+    ])
 
 
 def with_derived(rows: DataFrame) -> DataFrame:
-    for name, value in derived_steps():
-        rows = rows.withColumn(name, value)
-    return rows
+    return rows.withColumns(derived_columns())
 
 
 def load_universe(export: DataFrame, bars: DataFrame | None = None, arrival: str | None = None,
