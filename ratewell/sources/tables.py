@@ -104,3 +104,15 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
         F.when(k % 3 == 0, "annual").when(k % 3 == 1, "quarterly").otherwise("shareholding").alias("filing_type"),
         F.concat(F.lit("feed-"), k % 4).alias("source"), (k % 10 == 0).alias("is_proxy"),
         F.col("event_id").alias("ingest_id"))
+
+
+def event_ticks(events: DataFrame) -> DataFrame:
+    """(key, ts, value, id) ticks of the event table; its zoneless times are read as UTC. Works on streams too."""
+    return events.select(
+        F.col("user_id").alias("key"), F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp").alias("ts"),
+        "value", F.col("event_id").alias("id"))
+
+
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    schema = table(spark, folder, "events").schema
+    return event_ticks(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder))
