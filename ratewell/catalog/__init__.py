@@ -6,7 +6,7 @@ from importlib import import_module
 
 from ratewell.catalog.base import ORACLES, QUERIES
 
-MODULES = ("rating",)
+MODULES = ("ingest", "metrics", "rating", "history")
 
 
 def load():

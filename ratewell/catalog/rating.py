@@ -380,7 +380,7 @@ def _lab(x: str, table: list) -> str:
 
 
 @query("thesis_text", with_(Q.rated() + _THESIS, f"""select t.ticker, concat_ws(' ',
- case when opportunity_score is not null then name || ' (' || t.ticker || ') scores ' || printf('%.1f', opportunity_score) || '/100 overall — an ' || {_lab('opportunity_score', S.THESIS_SCORE)} || ' opportunity in the ' || basic_industry || ' space.' end,
+ case when opportunity_score is not null then name || ' (' || t.ticker || ') scores ' || printf('%.1f', {Q.r('opportunity_score', 1)}) || '/100 overall — an ' || {_lab('opportunity_score', S.THESIS_SCORE)} || ' opportunity in the ' || basic_industry || ' space.' end,
  case when s.card is not null then 'Its strongest suit is ' || case s.card when 'performance' then 'price performance' when 'growth' then 'growth trajectory' when 'entry_point' then 'entry timing' else s.card end
   || ' (' || printf('%.0f', s.score) || '/100), driven by ' || d.drv || '.' end,
  case when valuation is not null then 'Valuation looks ' || {_lab('valuation', S.THESIS_VALUATION)} || ' (' || printf('%.0f', valuation) || '/100).' end,
@@ -459,7 +459,7 @@ def unknown_metrics(spark, sf):
     return K.unknown_metrics(long, weights)
 
 
-@query("long_to_wide_metrics", with_(Q.universe(True), "select ticker, pe_percentile, roe, default_distress from universe where pe_percentile is not null or roe is not null or default_distress is not null"))
+@query("long_to_wide_metrics", with_(Q.universe(True), "select ticker, pe_percentile, roe, cast(default_distress as double) as default_distress from universe where pe_percentile is not null or roe is not null or default_distress is not null"))
 def long_to_wide_metrics(spark, sf):
     """Metric rows pivoted back to columns."""
     return metrics_long(universe(spark, sf)).groupBy("ticker").pivot(

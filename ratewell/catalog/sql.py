@@ -122,7 +122,7 @@ _EVENT_POINTS = " + ".join(f"case when qty % {m} = 0 then {S.GOVERNANCE_EVENT_SC
 MODIFIED = ("typed as materialized (select ticker, name, macro_sector, sector, industry, basic_industry, template, t2t, qty, "
             + ", ".join(f'"{h}" as {m}' for m, h in (_ROUND_TRIP | INPUTS).items())
             + f', {_PCR} as provision_coverage, cast("ASM Stage" as integer) as asm_stage, cast("GSM Stage" as integer) as gsm_stage'
-            + f", least({_EVENT_POINTS}, 100.0) as event_risk from export)")
+            + f", cast(least({_EVENT_POINTS}, 100.0) as double) as event_risk from export)")
 
 
 def _flag(cond: str) -> str:
@@ -246,15 +246,15 @@ def card_ctes() -> list[str]:
     rules = [
         "case when gsm_stage >= 1 then printf('GSM Stage %d active', gsm_stage) end",
         "case when asm_stage >= 3 then printf('ASM Stage %d active', asm_stage) end",
-        "case when interest_coverage < 1 then printf('Interest Coverage %.2fx < 1.0', interest_coverage) end",
+        f"case when interest_coverage < 1 then printf('Interest Coverage %.2fx < 1.0', {r('interest_coverage', 2)}) end",
         "case when credit_rating_grade = 8 then 'Credit Rating in Default category (grade 8)' end",
-        f"case when coalesce(pledge_pct, promoter_pledge) > {d.PLEDGE_DISQUALIFIER} then printf('Promoter Pledge %.1f%% > 60%%', coalesce(pledge_pct, promoter_pledge)) end",
-        "case when gnpa_pct > 15 then printf('GNPA %.1f%% > 15%%', gnpa_pct) end",
-        "case when nnpa_pct > 8 then printf('NNPA %.1f%% > 8%%', nnpa_pct) end",
-        "case when car_pct < 10 then printf('CAR %.1f%% < 10%%', car_pct) end",
-        "case when pcr_pct < 30 then printf('PCR %.1f%% < 30%%', pcr_pct) end",
-        "case when alm_st_pct > 50 then printf('ALM ST Borrowings %.1f%% > 50%%', alm_st_pct) end",
-        "case when avg_daily_turnover_cr < 0.25 then printf('Daily Turnover ₹%.2fCr < ₹0.25Cr', avg_daily_turnover_cr) end",
+        f"case when coalesce(pledge_pct, promoter_pledge) > {d.PLEDGE_DISQUALIFIER} then printf('Promoter Pledge %.1f%% > 60%%', {r('coalesce(pledge_pct, promoter_pledge)', 1)}) end",
+        f"case when gnpa_pct > 15 then printf('GNPA %.1f%% > 15%%', {r('gnpa_pct', 1)}) end",
+        f"case when nnpa_pct > 8 then printf('NNPA %.1f%% > 8%%', {r('nnpa_pct', 1)}) end",
+        f"case when car_pct < 10 then printf('CAR %.1f%% < 10%%', {r('car_pct', 1)}) end",
+        f"case when pcr_pct < 30 then printf('PCR %.1f%% < 30%%', {r('pcr_pct', 1)}) end",
+        f"case when alm_st_pct > 50 then printf('ALM ST Borrowings %.1f%% > 50%%', {r('alm_st_pct', 1)}) end",
+        f"case when avg_daily_turnover_cr < 0.25 then printf('Daily Turnover ₹%.2fCr < ₹0.25Cr', {r('avg_daily_turnover_cr', 2)}) end",
     ]
     return [
         _WEIGHTS,

@@ -37,7 +37,7 @@ def parse_bool(x: Column) -> Column:
 def parse_events(x: Column) -> Column:
     """Split on ';' when present, else on ','; trims items and drops blanks."""
     items = F.when(x.contains(";"), F.split(x, ";")).otherwise(F.split(x, ","))
-    return F.coalesce(F.filter(F.transform(items, F.trim), lambda e: e != ""), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(items, lambda e: F.trim(e)), lambda e: e != ""), F.array().cast("array<string>"))
 
 
 def clean_symbol(x: Column) -> Column:

@@ -171,9 +171,9 @@ def large_deals(payloads: DataFrame, column: str = "payload") -> DataFrame:
 def surveillance_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """(symbol, stage) rows of JSON payloads, under whichever of the known keys they use."""
     entry = "array<map<string,string>>"
-    body = F.from_json(column, f"data {entry}, asm {entry}, ASM {entry}")
-    items = payloads.select(F.explode(F.coalesce(
-        body["data"], body["asm"], body["ASM"], F.from_json(column, entry))).alias("i"))
+    known = F.from_json(column, "map<string,string>")  # keys are case-sensitive; null for a bare list
+    listed = F.coalesce(*[F.try_element_at(known, F.lit(k)) for k in ("data", "asm", "ASM")], F.col(column))
+    items = payloads.select(F.explode(F.from_json(listed, entry)).alias("i"))
 
     def pick(*keys: str) -> Column:
         return F.coalesce(*[F.try_element_at("i", F.lit(k)) for k in keys])
