@@ -117,11 +117,11 @@ def bias_report(spark, sf):
     return P.bias_report(P.survivorship(*_active_and_gone(spark, sf), "1997-06-30"), _runs(spark, sf))
 
 
-@query("append_absent", """select c_custkey as k, 'customer' as origin, c_acctbal as balance from customer where c_custkey % 2 = 0
- union all select s_suppkey, 'supplier', null from supplier where s_suppkey not in (select c_custkey from customer where c_custkey % 2 = 0)""")
+@query("append_absent", """select c_custkey as k, 'customer' as origin, c_acctbal as balance from customer where c_acctbal >= 0
+ union all select s_suppkey, 'supplier', null from supplier where s_suppkey not in (select c_custkey from customer where c_acctbal >= 0)""")
 def append_absent_query(spark, sf):
     """Rows of a second source added only where the key is new; columns united by name."""
-    c = T.table(spark, sf, "customer").where(F.col("c_custkey") % 2 == 0).select(
+    c = T.table(spark, sf, "customer").where(F.col("c_acctbal") >= 0).select(
         F.col("c_custkey").alias("k"), F.lit("customer").alias("origin"), F.col("c_acctbal").alias("balance"))
     s = T.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.lit("supplier").alias("origin"))
     return append_absent(c, s, "k")

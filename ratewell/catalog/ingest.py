@@ -146,7 +146,7 @@ def metric_names(spark, sf):
 _EOD = """eod as (select case c_custkey % 4 when 0 then 'cu' || c_custkey || '.NS' when 1 then ' CU' || c_custkey || ' ' when 2 then 'Cu' || c_custkey else case when c_custkey % 28 = 3 then 'none' else 'cu' || c_custkey end end as sym,
  case when c_custkey % 9 = 0 then 'BE' else ' eq ' end as series, c_name as name, case when c_custkey % 3 = 0 then '' else c_mktsegment end as sector, c_custkey as k from customer)"""
 _UNI = """uni as materialized (select 'CU' || k as sym, name, sector, k from eod where k % 9 <> 0 and not (k % 4 = 3 and k % 28 = 3))"""
-_FUNDS = """funds as materialized (select 'CU' || o_custkey as sym, o_custkey as k, cast(floor(sum(cast(round(o_totalprice * 100) as bigint)) / 1e2) as bigint) as price from orders where o_custkey % 5 <> 0 group by o_custkey)"""
+_FUNDS = """funds as materialized (select 'CU' || o_custkey as sym, o_custkey as k, cast(floor(sum(cast(round(o_totalprice * 100) as bigint)) / 1e2) as bigint) as price from orders where o_orderstatus = 'F' group by o_custkey)"""
 
 
 def _eod(spark, sf):
@@ -165,7 +165,7 @@ def _eod(spark, sf):
 
 
 def _fundamentals(spark, sf):
-    o = T.table(spark, sf, "orders").where(F.col("o_custkey") % 5 != 0)
+    o = T.table(spark, sf, "orders").where(F.col("o_orderstatus") == "F")
     sums = o.groupBy("o_custkey").agg(F.sum(T.cents("o_totalprice")).alias("c"))
     k = F.col("o_custkey")
     return sums.select(
@@ -208,10 +208,10 @@ def universe_missing(spark, sf):
 
 
 @query("apply_classification", with_([_EOD, _UNI, Q.GEO], """select sym as symbol, case when sector <> '' then sector else coalesce(r_name, '') end as sector, coalesce(n_name, '') as industry
- from uni left join (select c_custkey as k, n_name, r_name from customer join geo on c_nationkey = n_nationkey where c_custkey % 2 = 0) using (k)"""))
+ from uni left join (select c_custkey as k, n_name, r_name from customer join geo on c_nationkey = n_nationkey where c_acctbal >= 0) using (k)"""))
 def apply_classification(spark, sf):
-    """Blank labels filled from a classification master that knows every second symbol."""
-    c = T.customers(spark, sf).where(F.col("ticker") % 2 == 0)
+    """Blank labels filled from a classification master that knows only customers out of debt."""
+    c = T.customers(spark, sf).where(F.col("balance") >= 0)
     master = c.select(F.concat(F.lit("CU"), F.col("ticker").cast("string")).alias("Symbol"), F.col("sector").alias("Sector"),
                       F.col("industry").alias("Industry"), F.col("ticker").alias("arrival"))
     return U.apply_classification(U.universe_frame(_eod(spark, sf), "arrival"), master, "arrival").select(

@@ -28,7 +28,7 @@ def keep_last_bar(spark, sf):
     """Several rows per supplier and day; the one that arrived last stays."""
     li = T.table(spark, sf, "lineitem").select(
         T.supplier_ticker(F.col("l_suppkey")).alias("ticker"), F.col("l_shipdate").cast("date").alias("date"),
-        F.col("l_extendedprice").alias("close"), F.struct("l_orderkey", "l_linenumber").alias("arrival"))
+        F.col("l_extendedprice").alias("close"), (F.col("l_orderkey") * 1000 + F.col("l_linenumber")).alias("arrival"))
     return B.keep_last_bar(li, "arrival")
 
 
@@ -161,8 +161,9 @@ def rs_turn(spark, sf):
  select symbol, {Q.r('a20')} as delivery_pct_20d_avg, {Q.r('a60')} as delivery_pct_60d_avg, case when a60 > 0 then {Q.r(Q.clip('a20 / a60 * 50.0', 0, 100))} end as volume_delivery, n as sessions_available from m""")
 def delivery_metrics(spark, sf):
     li = T.table(spark, sf, "lineitem")
-    rows = li.groupBy(T.supplier_ticker(F.col("l_suppkey")).alias("symbol"), F.col("l_shipdate").cast("date").alias("date")).agg(
-        F.sum(F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).otherwise(0.0)).alias("delivered"), F.sum("l_quantity").alias("traded"))
+    rows = li.groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("date")).agg(
+        F.sum(F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).otherwise(0.0)).alias("delivered"),
+        F.sum("l_quantity").alias("traded")).withColumn("symbol", T.supplier_ticker(F.col("l_suppkey")))
     return B.delivery_metrics(rows.select("symbol", "date", delivery_pct(
         F.lit("-"), F.col("delivered").cast("string"), F.col("traded").cast("string")).alias("delivery_pct")))
 

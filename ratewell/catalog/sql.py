@@ -43,8 +43,8 @@ SUPPLIERS = """suppliers as (select s_suppkey as suppkey, printf('SUPPLIER#%09d'
  from supplier join geo on s_nationkey = n_nationkey)"""
 
 # --- bars ------------------------------------------------------------------------------------
-BARS = """bars as materialized (select printf('SUPPLIER#%09d', l_suppkey) as ticker, d as date, first(p order by o, l, e, q) as open,
- max(p) as high, min(p) as low, last(p order by o, l, e, q) as close, sum(q) as volume, sum(c) * 5e0 as traded_value
+BARS = """bars as materialized (select printf('SUPPLIER#%09d', l_suppkey) as ticker, d as date, first(p order by o, l, c % 8191) as open,
+ max(p) as high, min(p) as low, last(p order by o, l, c % 8191) as close, sum(q) as volume, sum(c) * 5e0 as traded_value
  from (select l_suppkey, cast(l_shipdate as date) as d, l_extendedprice / l_quantity as p, l_orderkey as o, l_linenumber as l,
   l_extendedprice as e, l_quantity as q, cast(round(l_extendedprice * 100) as bigint) as c from lineitem) group by l_suppkey, d)"""
 INDEX = "index_bars as materialized (select date, avg(close) as close from bars group by date)"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ratewell import settings as S
 from ratewell.functions.bands import survivorship_severity
 from ratewell.functions.numeric import rounded
-from ratewell.operators.ordered import BLOCK_ROWS, with_block
+from ratewell.operators.ordered import BLOCK_ROWS, is_large, with_block, written
 
 
 def as_date(value) -> Column:
@@ -29,7 +29,7 @@ def snapshot(facts: DataFrame, as_of, keys: Sequence[str] = ("ticker", "metric")
 
 
 def as_of_join(requests: DataFrame, facts: DataFrame, keys: Sequence[str], request_time: str, fact_time: str,
-               payload: Sequence[str], tie: Sequence[str] = (), large: bool = True,
+               payload: Sequence[str], tie: Sequence[str] = (), large: bool | None = None,
                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Each request row with the payload of the latest fact of its key at or before the request time.
 
@@ -50,10 +50,13 @@ def as_of_join(requests: DataFrame, facts: DataFrame, keys: Sequence[str], reque
         F.struct(*own).alias("__own"))
     line = fact_rows.unionByName(request_rows, allowMissingColumns=True)
     order = ["__t", "__kind", "__tie"]
+    if large is None:
+        large = is_large(line, block_rows)
     if not large:
         upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         found = line.withColumn("__found", F.last("__fact", ignorenulls=True).over(upto))
     else:
+        line = written(line, "timeline")  # read by four branches below
         blocked = with_block(line, keys, F.struct(*order), block_rows).drop("__key")
         upto = Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         closing = blocked.groupBy(*keys, "__block").agg(F.max_by(

@@ -129,36 +129,41 @@ def index_returns(index_bars: DataFrame, lags: dict[str, int] | None = None) ->
         *[rounded((close_back(0) / close_back(lag) - 1.0) * 100.0).alias(name) for name, lag in lags.items()])
 
 
-def _trend_strength() -> Column:
-    """Direction-signed ADX(14) around 50, as a fold over the ticker's bars in date order.
+def _with_directional_index(rows: DataFrame) -> DataFrame:
+    """Add the per-bar directional index (``dx``, from the 14th true range on) and its sign (``up``).
 
-    The list holds one entry per session of one ticker.  The three Wilder averages and the average
-    of the directional index all follow a recursion, which the fold carries in one struct.
+    A Wilder average is a sum with weights that shrink by 13/14 per bar, so each of the three is a
+    running sum of inflated terms, deflated again.  Weights older than 4000 bars are below any double,
+    so longer series start there, which keeps the inflated terms finite.
     """
-    p = RSI_PERIOD
+    p, growth = RSI_PERIOD, RSI_PERIOD / (RSI_PERIOD - 1)
+    series = Window.partitionBy("ticker").orderBy("date")
+    running = series.rowsBetween(Window.unboundedPreceding, 0)
+    start = F.greatest(F.col("n") - 4000, F.lit(0))
     up, down = F.col("high") - F.col("prev_high"), F.col("prev_low") - F.col("low")
-    moves = F.array_sort(F.collect_list(F.when(F.col("seq") > 1, F.struct(
-        F.col("seq").alias("s"),
-        F.col("true_range").alias("r"),
-        F.when((up > down) & (up > 0), up).otherwise(0.0).alias("u"),
-        F.when((down > up) & (down > 0), down).otherwise(0.0).alias("d")))))
-
-    def smooth(i: Column, before: Column, x: Column) -> Column:
-        return F.when(i < p - 1, before + x).when(i == p - 1, (before + x) / p).otherwise((before * (p - 1) + x) / p)
-
-    def step(acc: Column, bar: Column) -> Column:
-        i = acc["i"]
-        r, u, d = smooth(i, acc["r"], bar["r"]), smooth(i, acc["u"], bar["u"]), smooth(i, acc["d"], bar["d"])
-        base = F.when(r == 0, F.lit(1e-10)).otherwise(r)
-        plus, minus = u / base * 100.0, d / base * 100.0
-        total = plus + minus
-        dx = F.abs(plus - minus) / F.when(total == 0, F.lit(1e-10)).otherwise(total) * 100.0
-        x = F.when(i < p - 1, acc["x"]).otherwise(smooth(i - (p - 1), acc["x"], dx))
-        return F.struct((i + 1).alias("i"), r.alias("r"), u.alias("u"), d.alias("d"), x.alias("x"))
-
-    start = F.struct(F.lit(0).alias("i"), *[F.lit(0.0).alias(c) for c in "rudx"])
-    return F.aggregate(moves, start, step, lambda acc: F.lit(50.0) + acc["x"] * F.when(
-        acc["u"] > acc["d"], 0.5).otherwise(-0.5))
+    terms = {
+        "true_range": F.col("true_range"),
+        "plus": F.when((up > down) & (up > 0), up).otherwise(0.0),
+        "minus": F.when((down > up) & (down > 0), down).otherwise(0.0)}
+    rows = rows.withColumn("j", F.col("seq") - start - 2)
+    inflate = F.when(F.col("j") >= 0, F.pow(F.lit(growth), F.greatest(F.col("j"), F.lit(p - 1))) / p)
+    rows = rows.withColumns({f"w_{k}": F.sum(x * inflate).over(running) for k, x in terms.items()})
+    deflate = F.pow(F.lit(1 / growth), F.col("j"))
+    atr = F.col("w_true_range") * deflate
+    base = F.when(atr == 0, F.lit(1e-10)).otherwise(atr)
+    plus, minus = F.col("w_plus") * deflate / base * 100.0, F.col("w_minus") * deflate / base * 100.0
+    total = plus + minus
+    dx = F.abs(plus - minus) / F.when(total == 0, F.lit(1e-10)).otherwise(total) * 100.0
+    return rows.withColumn("dx", F.when(F.col("j") >= p - 1, dx)).withColumn("up", F.col("w_plus") > F.col("w_minus"))
+
+
+def _trend_strength() -> Column:
+    """Aggregate: direction-signed Wilder average of the directional index around 50."""
+    p = RSI_PERIOD
+    t, last = F.col("j") - (p - 1), F.least(F.col("n"), F.lit(4000)) - 2 - (p - 1)
+    adx = F.sum(F.col("dx") * F.pow(F.lit((p - 1) / p), F.when(t < p, last - (p - 1)).otherwise(last - t)) / p)
+    rising = F.max(F.when(F.col("back") == 0, F.col("up")))
+    return F.lit(50.0) + adx * F.when(rising, 0.5).otherwise(-0.5)
 
 
 def momentum_metrics(bars: DataFrame, index_bars: DataFrame, lookback: int = 252) -> DataFrame:
@@ -169,7 +174,7 @@ def momentum_metrics(bars: DataFrame, index_bars: DataFrame, lookback: int = 252
     position = span - 1 - F.col("back")
     log_close = F.when(recent, F.ln("close"))
     rows = (
-        numbered(bars)
+        _with_directional_index(numbered(bars))
         .withColumn("peak", F.max(F.when(recent, F.col("close"))).over(
             series.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("pos", F.when(recent, position.cast("double")))

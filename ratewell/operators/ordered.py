@@ -133,6 +133,7 @@ def ordinal_ranks(df: DataFrame, groups: Sequence[str], key: Column, rank: str,
         whole = Window.partitionBy(*groups)
         return df.withColumn(rank, F.row_number().over(whole.orderBy(key)).cast("long")).withColumn(
             size, F.count(F.lit(1)).over(whole))
+    df = written(df, "ranked")  # read by four branches below
     blocked = with_block(df, groups, key, block_rows)
     inside = Window.partitionBy(*groups, "__block").orderBy("__key")
     return (
