@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ratewell.catalog import sql as Q
 from ratewell.catalog.base import query
+from ratewell.catalog.metrics import bars_table
 from ratewell.catalog.sql import with_
 from ratewell.operators import asof as P
 from ratewell.operators import backtest as B
@@ -130,7 +131,7 @@ def append_absent_query(spark, sf):
 # --- backtests -------------------------------------------------------------------------------
 def _recs(spark, sf):
     """Every supplier that traded in a quarter is recommended at the quarter's start."""
-    return T.daily_bars(spark, sf).groupBy("ticker", F.trunc("date", "quarter").alias("run_date")).agg(
+    return bars_table(spark, sf).groupBy("ticker", F.trunc("date", "quarter").alias("run_date")).agg(
         F.max("close").alias("score")).select("run_date", "ticker", "score")
 
 
@@ -144,7 +145,7 @@ def _nearest(targets: str, name: str) -> str:
 
 @query("nearest_price_join", with_([Q.BARS, _RECS, _nearest("select distinct ticker, run_date as target_date from recs", "near")], "select ticker, target_date, price, price_date from near"))
 def nearest_price_join(spark, sf):
-    bars = T.daily_bars(spark, sf)
+    bars = bars_table(spark, sf)
     return B.nearest_price(_recs(spark, sf).withColumnRenamed("run_date", "target_date"), bars)
 
 
@@ -160,7 +161,7 @@ _LONG = "rl as materialized (" + " union all ".join(f"select run_date, ticker, '
 
 @query("forward_returns", with_(_FWD, "select run_date, ticker, score, entry_price, " + ", ".join(f"return_{h}" for h in _H) + " from fr"))
 def forward_returns(spark, sf):
-    return B.forward_returns(_recs(spark, sf), T.daily_bars(spark, sf))
+    return B.forward_returns(_recs(spark, sf), bars_table(spark, sf))
 
 
 @query("backtest_stats", with_(_FWD + [_LONG], f"""select run_date, period, count(*) as n_stocks, {Q.r('cast(sum(cast(round(ret * 100) as bigint)) as double) / count(*) / 100')} as mean_return, {Q.r('median(ret)')} as median_return,
@@ -168,13 +169,13 @@ def forward_returns(spark, sf):
  count(*) filter (where ret <= 0) as losers, case when max(ret) > min(ret) then {Q.r('avg(ret) / nullif(stddev_pop(ret), 0)')} else 0e0 end as sharpe_like,
  case when sum(ret) filter (where ret < 0) < 0 then {Q.r('coalesce(sum(cast(round(ret * 100) as bigint)) filter (where ret > 0), 0) / -sum(cast(round(ret * 100) as bigint)) filter (where ret < 0)')} end as profit_factor from rl group by run_date, period"""))
 def backtest_stats(spark, sf):
-    return B.backtest_stats(B.returns_long(B.forward_returns(_recs(spark, sf), T.daily_bars(spark, sf))))
+    return B.backtest_stats(B.returns_long(B.forward_returns(_recs(spark, sf), bars_table(spark, sf))))
 
 
 @query("extreme_picks", with_(_FWD, """select run_date, 'top' as side, cast(p as integer) as position, ticker, return_3M as ret from (select *, row_number() over (partition by run_date order by return_3M desc, ticker) as p from fr where return_3M is not null) where p <= 5
  union all select run_date, 'bottom', cast(p as integer), ticker, return_3M from (select *, row_number() over (partition by run_date order by return_3M, ticker desc) as p from fr where return_3M is not null) where p <= 5"""))
 def extreme_picks(spark, sf):
-    return B.extreme_picks(B.forward_returns(_recs(spark, sf), T.daily_bars(spark, sf)))
+    return B.extreme_picks(B.forward_returns(_recs(spark, sf), bars_table(spark, sf)))
 
 
 @query("recommendation_outcomes", with_([Q.BARS, _RECS, "lastp as (select ticker, arg_max(close, date) as e from bars group by ticker)",
@@ -186,7 +187,7 @@ def recommendation_outcomes(spark, sf):
     history = _recs(spark, sf).select(
         "run_date", "ticker", F.when(F.col("score") > 6000, "Buy Candidate").otherwise("Watchlist").alias("recommendation"),
         F.col("score").alias("close_price"))
-    prices = T.daily_bars(spark, sf).groupBy("ticker").agg(F.max_by("close", "date").alias("close_price"))
+    prices = bars_table(spark, sf).groupBy("ticker").agg(F.max_by("close", "date").alias("close_price"))
     return B.recommendation_outcomes(history, prices, "2000-12-31")
 
 

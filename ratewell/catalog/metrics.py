@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ratewell.catalog import sql as Q
-from ratewell.catalog.base import query
+from ratewell.catalog.base import query, stored
 from ratewell.catalog.ingest import _YEAR, _deal_payloads
 from ratewell.catalog.rating import universe
 from ratewell.catalog.sql import with_
@@ -18,6 +18,11 @@ from ratewell.sources import files as L
 from ratewell.sources import tables as T
 
 
+def bars_table(spark, sf):
+    """The run's bar table, for queries whose branches read bars more than once."""
+    return stored(spark, sf, "bars", lambda: T.daily_bars(spark, sf))
+
+
 @query("daily_bars", with_([Q.BARS], "select ticker, date, open, high, low, close, volume, traded_value from bars"))
 def daily_bars(spark, sf):
     return T.daily_bars(spark, sf)
@@ -35,7 +40,7 @@ def keep_last_bar(spark, sf):
 @query("last_sessions", with_([Q.BARS], """select ticker, count(*) as n, min(date) as first_date, max(date) as last_date from bars
  where date in (select distinct date from bars where date <= date '2000-06-30' order by date desc limit 260) group by ticker"""))
 def last_sessions(spark, sf):
-    return B.last_sessions(T.daily_bars(spark, sf), "2000-06-30", 260).groupBy("ticker").agg(
+    return B.last_sessions(bars_table(spark, sf), "2000-06-30", 260).groupBy("ticker").agg(
         F.count(F.lit(1)).alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
@@ -94,7 +99,7 @@ def _ib(k: int) -> str:
  {Q.r(f'({_ib(0)} / {_ib(21)} - 1.0) * 100')} as return_1m, {Q.r(f'({_ib(0)} / {_ib(65)} - 1.0) * 100')} as return_3m,
  {Q.r(f'({_ib(0)} / {_ib(129)} - 1.0) * 100')} as return_6m, {Q.r(f'({_ib(0)} / {_ib(251)} - 1.0) * 100')} as return_1y"""))
 def index_returns(spark, sf):
-    out = B.index_returns(B.index_series(T.daily_bars(spark, sf)))
+    out = B.index_returns(B.index_series(bars_table(spark, sf)))
     return out.withColumn("sessions", F.col("sessions").cast("long"))
 
 
@@ -112,7 +117,7 @@ _ADX = ["""moves as materialized (select ticker, i - 1 as j, n, greatest(high -
 
 @query("adx_trend", with_([Q.BARS, Q.SEQ] + _ADX, "select ticker, trend_strength from trend"))
 def adx_trend(spark, sf):
-    bars = T.daily_bars(spark, sf)
+    bars = bars_table(spark, sf)
     return B.momentum_metrics(bars, B.index_series(bars)).select("ticker", "trend_strength")
 
 
@@ -132,7 +137,7 @@ _VF = f"case when v60 > 0 then {Q.clip('v20 / v60', 0.5, 2.0)} else 1e0 end"
  case when v.n >= 60 then case when hi = lo then 50.0 else {Q.r(Q.clip(f'(m.last - lo) / (hi - lo) * 80 + case when m.last >= hi * 0.95e0 then 10 * {_VF} else 0 end', 0, 100))} end end as breakout_score
  from vols v join mom m using (ticker) join resid r using (ticker) left join trend t using (ticker)"""))
 def momentum_metrics(spark, sf):
-    bars = T.daily_bars(spark, sf)
+    bars = bars_table(spark, sf)
     return B.momentum_metrics(bars, B.index_series(bars))
 
 
@@ -140,7 +145,7 @@ def momentum_metrics(spark, sf):
  from suppliers s left join vols v using (ticker)"""))
 def momentum_merge(spark, sf):
     """Momentum scores merged into the supplier export by ticker."""
-    bars = T.daily_bars(spark, sf)
+    bars = bars_table(spark, sf)
     base = T.suppliers(spark, sf).select(T.supplier_ticker(F.col("suppkey")).alias("ticker"))
     return merge_overwrite(base, B.momentum_metrics(bars, B.index_series(bars)), "ticker", {"dual_momentum": "Dual Momentum"})
 
@@ -151,7 +156,7 @@ def momentum_merge(spark, sf):
 def rs_turn(spark, sf):
     from ratewell.functions.numeric import rounded
 
-    bars = T.daily_bars(spark, sf)
+    bars = bars_table(spark, sf)
     return B.relative_strength_turn(bars, B.index_series(bars)).select("ticker", rounded(F.col("rs_turn"), 6).alias("rs_turn"))
 
 

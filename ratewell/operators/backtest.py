@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ratewell import settings as S
 from ratewell.functions.numeric import rounded
-from ratewell.operators.ordered import BLOCK_ROWS, exact_quantiles
+from ratewell.operators.ordered import BLOCK_ROWS, cumulative_counts, value_at
 
 
 def _candidates(targets: DataFrame, bars: DataFrame, tolerance: int) -> DataFrame:
@@ -70,19 +70,24 @@ def backtest_stats(returns: DataFrame, groups: tuple[str, ...] = ("run_date", "p
     Returns have two decimals, so sums are taken over whole hundredths.  A group without losers has
     no profit factor (null).
     """
-    x = F.col("ret")
+    x, cnt = F.col("ret"), F.col("cnt")
     whole = F.round(x * 100).cast("long")
-    median = exact_quantiles(returns, groups, "ret", {"median": 0.5}, large, block_rows)
-    moments = returns.groupBy(*groups).agg(
-        F.count(x).alias("n_stocks"), F.sum(whole).alias("total"), F.sum(whole.cast("decimal(20,0)") * whole).alias("squares"),
-        F.max(x).alias("best"), F.min(x).alias("worst"), F.count_if(x > 0).alias("winners"),
-        F.count_if(x <= 0).alias("losers"), F.sum(F.when(x > 0, whole)).alias("gains"),
-        F.sum(F.when(x < 0, whole)).alias("losses"))
+    middle = F.lit(0.5) * (F.col("n") - 1)
+    # everything follows from the distinct returns and how often each occurs
+    counts = cumulative_counts(returns, groups, "ret", large, block_rows)
+    moments = counts.groupBy(*groups).agg(
+        F.sum("cnt").alias("n_stocks"), F.sum(whole * cnt).alias("total"),
+        F.sum(whole.cast("decimal(18,0)") * whole * cnt).alias("squares"), F.max(x).alias("best"), F.min(x).alias("worst"),
+        F.coalesce(F.sum(F.when(x > 0, cnt)), F.lit(0)).alias("winners"),
+        F.coalesce(F.sum(F.when(x <= 0, cnt)), F.lit(0)).alias("losers"),
+        F.sum(F.when(x > 0, whole * cnt)).alias("gains"), F.sum(F.when(x < 0, whole * cnt)).alias("losses"),
+        value_at(F.floor(middle), "ret").alias("low"), value_at(F.ceil(middle), "ret").alias("high"))
     n = F.col("n_stocks")
     mean = F.col("total") / n / 100.0
     spread = F.sqrt(F.greatest(F.lit(0.0), F.col("squares").cast("double") / n / 10000.0 - mean * mean))
-    return moments.join(median.drop("n"), list(groups)).select(
-        *groups, "n_stocks", rounded(mean).alias("mean_return"), rounded(F.col("median")).alias("median_return"),
+    return moments.select(
+        *groups, "n_stocks", rounded(mean).alias("mean_return"),
+        rounded((F.col("low") + F.col("high")) / 2.0).alias("median_return"),
         rounded(F.col("best")).alias("best_return"), rounded(F.col("worst")).alias("worst_return"),
         rounded(spread).alias("std_dev"), rounded(F.col("winners") / n * 100.0, 1).alias("hit_rate"), "winners",
         "losers",

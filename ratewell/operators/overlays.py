@@ -10,7 +10,7 @@ from ratewell.functions.bands import confidence_label, confidence_rank, regime_l
 from ratewell.functions.formulas import (
     action_note, expected_downside, expected_upside, gate_reasons, recommendation, selection_score, staged_entry_plan)
 from ratewell.functions.numeric import clamp, ratio, rounded, weighted_mean
-from ratewell.operators.ordered import BLOCK_ROWS, match_groups, ordinal_ranks, upper_median
+from ratewell.operators.ordered import BLOCK_ROWS, is_large, match_groups, ordinal_ranks, upper_median
 
 
 def market_mode(universe: DataFrame, requested: str = "auto", large: bool | None = None,
@@ -48,8 +48,10 @@ def sector_regime(ratings: DataFrame) -> DataFrame:
             "sector_regime_label"))
 
 
-def with_overlays(ratings: DataFrame, large: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def with_overlays(ratings: DataFrame, large: bool | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add regime, confidence, expected up/downside, gate, final recommendation, selection score and notes."""
+    if large is None:
+        large = is_large(ratings, block_rows)
     rows = match_groups(ratings, sector_regime(ratings), ["sector"], "n_sector", ["ticker"], large,
                         block_rows).drop("n_sector")
     red, entry = F.col("card_red_flags.score"), F.col("card_entry_point.score")
@@ -89,8 +91,10 @@ def with_overlays(ratings: DataFrame, large: bool = False, block_rows: int = BLO
     )
 
 
-def with_ranks(ratings: DataFrame, large: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def with_ranks(ratings: DataFrame, large: bool | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Ordinal rank and percentile by opportunity score within sector and basic industry (ties by ticker)."""
+    if large is None:
+        large = is_large(ratings, block_rows)
     key = F.struct((-F.col("opportunity_score")).alias("down"), F.col("ticker"))
     scored = F.col("opportunity_score").isNotNull()
     rows = ratings

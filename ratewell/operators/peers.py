@@ -17,7 +17,7 @@ TAXONOMY = ["basic_industry", "industry", "sector"]
 
 
 def with_peer_level(entities: DataFrame, min_basic: int = S.PEER_MIN_BASIC_INDUSTRY,
-                    min_industry: int = S.PEER_MIN_INDUSTRY, large: bool = False,
+                    min_industry: int = S.PEER_MIN_INDUSTRY, large: bool | None = None,
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Resolve each entity's peer level (basic industry, else industry, else sector) and peer count.
 
@@ -25,6 +25,8 @@ def with_peer_level(entities: DataFrame, min_basic: int = S.PEER_MIN_BASIC_INDUS
     is scored in; members that resolved at a finer level still count as peers there.  Group sizes
     come from one table of distinct label triples, not from windows over the entities.
     """
+    if large is None:
+        large = is_large(entities, block_rows)
     triples = entities.groupBy(*TAXONOMY).agg(F.count(F.lit(1)).alias("n_triple"))
     by_basic, by_industry, by_sector = (Window.partitionBy(c) for c in TAXONOMY)
     needs_industry = F.col("n_basic") < min_basic
@@ -56,12 +58,15 @@ def with_peer_level(entities: DataFrame, min_basic: int = S.PEER_MIN_BASIC_INDUS
     return match_groups(entities, levels, TAXONOMY, "n_triple", ["ticker"], large, block_rows).drop("n_triple")
 
 
-def first_peers(entities: DataFrame, limit: int = 10, large: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def first_peers(entities: DataFrame, limit: int = 10, large: bool | None = None,
+                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The first ``limit`` peers by ticker of each entity, without pairing up the group.
 
     Needs :func:`with_peer_level`; keeps the first limit + 1 members of each group, enough for
     every entity to leave itself out.
     """
+    if large is None:
+        large = is_large(entities, block_rows)
     members = entities.select("ticker", F.explode("peer_groups").alias("g")).select("ticker", "g.level", "g.value")
     # row_number with an upper bound is cut down per task before the shuffle
     firsts = (

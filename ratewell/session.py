@@ -25,13 +25,15 @@ def local_session(name: str = "ratewell", cores: str | int = "*", shuffle_partit
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, a laptop) a fresh local folder is made and remembered in the
-    session, so later calls agree on it.
+    Only a local session without one (tests, a laptop) gets a fresh temporary folder, remembered in the
+    session so later calls agree on it; on a cluster a machine-local folder would lose data.
     """
-    for key in ("spark.checkpoint.dir", "spark.ratewell.folder"):
-        folder = spark.conf.get(key, None)
+    for folder in (spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.getCheckpointDir(),
+                   spark.conf.get("spark.ratewell.folder", None)):
         if folder:
             return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
     folder = tempfile.mkdtemp(prefix="ratewell-")
     spark.conf.set("spark.ratewell.folder", folder)
     return folder
