@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ratewell import settings as S
 from ratewell.functions.bands import (
-    card_label, confidence_label, entry_signal, investability, red_flag_cap, red_flag_status)
+    confidence_label, entry_signal, investability, red_flag_cap, red_flag_status)
 from ratewell.functions.formulas import base_recommendation, disqualifiers
 from ratewell.functions.numeric import rounded, weighted_mean
 
@@ -20,57 +20,66 @@ def title(name: str) -> str:
     return name.replace("_", " ").title()
 
 
-def _weight_list(card: str, weights: Mapping) -> Column:
-    """The card's (metric, weight, title) list for the row's ``template``, in configured order."""
+def _weight_list(card: str, weights: Mapping) -> str:
+    """SQL of the card's (metric, weight, title) list for the row's ``template``, in configured order."""
     cases = []
     for code, cards in weights.items():
         items = ", ".join(f"named_struct('m', '{m}', 'w', {float(w)!r}D, 't', '{title(m)}')"
                           for m, w in cards[card].items())
         cases.append(f"when '{code}' then array({items})")
-    return F.expr(f"case template {' '.join(cases)} end")
+    return f"case template {' '.join(cases)} end"
 
 
-def card_struct(card: str, scores: Column, weights: Mapping = S.CARD_WEIGHTS,
-                threshold: float = S.CARD_COVERAGE_MIN) -> Column:
-    """score, label, coverage, rankable and reason of one card from the row's metric -> score map.
+def _fold(card: str, scores: str, weights: Mapping) -> Column:
+    """Total weight, weight with data, weighted sum, and the metric that contributes most.
 
     Weights are added in configured order, because a coverage of exactly the threshold depends on it.
+    """
+    s = f"try_element_at({scores}, x.m)"
+    better = f"coalesce({s} * x.w > acc.best, false)"
+    return F.expr(f"""aggregate({_weight_list(card, weights)},
+        named_struct('total', 0D, 'seen', 0D, 'sum', 0D, 'best', -1D, 'title', '', 'top', 0D),
+        (acc, x) -> named_struct(
+            'total', acc.total + x.w,
+            'seen', acc.seen + if(isnull({s}), 0D, x.w),
+            'sum', acc.sum + coalesce({s} * x.w, 0D),
+            'best', if({better}, {s} * x.w, acc.best),
+            'title', if({better}, x.t, acc.title),
+            'top', if({better}, {s}, acc.top)))""")
+
+
+def _round_sql(x: str, digits: int) -> str:
+    return f"floor(({x}) * 1e{digits} + 0.5D) / 1e{digits}"
+
+
+def _card_sql(card: str, fold: str, threshold: float) -> Column:
+    rankable = f"({fold}.seen / {fold}.total >= {threshold!r}D and {fold}.seen > 0)"
+    score = f"if({rankable}, {_round_sql(f'{fold}.sum / {fold}.seen', 2)}, null)"
+    top = _round_sql(f"{fold}.top", 1)
+    label = " ".join(f"when s >= {low} and (s < {high}{' or s = 100' if high == 100 else ''}) then '{text}'"
+                     for low, high, text in S.CARD_LABELS[card]).replace("s >=", f"{score} >=").replace(
+        "s <", f"{score} <").replace("s = 100", f"{score} = 100")
+    return F.expr(f"""named_struct('score', {score}, 'label', case when not {rankable} then 'Unrankable' {label} end,
+        'coverage', {_round_sql(f'{fold}.seen / {fold}.total', 3)}, 'rankable', {rankable},
+        'reason', if({rankable}, format_string('Primary driver: %s scored %.1f/100 (%s relative to peers).',
+            {fold}.title, {top}, if({top} >= 60, 'strong', 'weak')), '{INSUFFICIENT}'))""")
+
+
+def with_card_structs(rows: DataFrame, scores: str = "scores", weights: Mapping = S.CARD_WEIGHTS,
+                      threshold: float = S.CARD_COVERAGE_MIN) -> DataFrame:
+    """Add ``card_<name>`` (score, label, coverage, rankable, reason) from the row's metric -> score map.
+
     Missing metrics drop out of the average instead of counting as zero.
     """
-    zero = F.lit(0.0)
-
-    def step(acc: Column, item: Column) -> Column:
-        s, w = F.try_element_at(scores, item["m"]), item["w"]
-        better = s.isNotNull() & (s * w > acc["best"])
-        return F.struct(
-            (acc["total"] + w).alias("total"),
-            F.when(s.isNotNull(), acc["seen"] + w).otherwise(acc["seen"]).alias("seen"),
-            F.when(s.isNotNull(), acc["sum"] + s * w).otherwise(acc["sum"]).alias("sum"),
-            F.when(better, s * w).otherwise(acc["best"]).alias("best"),
-            F.when(better, item["t"]).otherwise(acc["title"]).alias("title"),
-            F.when(better, s).otherwise(acc["top"]).alias("top"))
-
-    start = F.struct(zero.alias("total"), zero.alias("seen"), zero.alias("sum"), F.lit(-1.0).alias("best"),
-                     F.lit("").alias("title"), zero.alias("top"))
-
-    def finish(acc: Column) -> Column:
-        coverage = acc["seen"] / acc["total"]
-        rankable = (coverage >= threshold) & (acc["seen"] > 0)
-        score = F.when(rankable, rounded(acc["sum"] / acc["seen"]))
-        top = rounded(acc["top"], 1)
-        reason = F.when(rankable, F.format_string(
-            "Primary driver: %s scored %.1f/100 (%s relative to peers).", acc["title"], top,
-            F.when(top >= 60, "strong").otherwise("weak"))).otherwise(INSUFFICIENT)
-        return F.struct(score.alias("score"), card_label(card, score).alias("label"),
-                        rounded(coverage, 3).alias("coverage"), rankable.alias("rankable"), reason.alias("reason"))
-
-    return F.aggregate(_weight_list(card, weights), start, step, finish)
-
-
-def sub_scores(card: str, scores: Column, weights: Mapping = S.CARD_WEIGHTS) -> Column:
+    folded = rows.withColumns({f"__fold_{c}": _fold(c, scores, weights) for c in S.CARDS})
+    return folded.withColumns({f"card_{c}": _card_sql(c, f"__fold_{c}", threshold) for c in S.CARDS}).drop(
+        *[f"__fold_{c}" for c in S.CARDS])
+
+
+def sub_scores(card: str, scores: str = "scores", weights: Mapping = S.CARD_WEIGHTS) -> Column:
     """metric -> score map of one card; metrics without a score stay in it as null."""
-    names = F.transform(_weight_list(card, weights), lambda item: item["m"])
-    return F.map_from_arrays(names, F.transform(names, lambda m: F.try_element_at(scores, m)))
+    names = f"transform({_weight_list(card, weights)}, x -> x.m)"
+    return F.expr(f"map_from_arrays({names}, transform({names}, m -> try_element_at({scores}, m)))")
 
 
 def score_maps(scored: DataFrame) -> DataFrame:
@@ -84,8 +93,7 @@ def with_cards(rows: DataFrame, weights: Mapping = S.CARD_WEIGHTS) -> DataFrame:
     The exclusion leaves coverage and rankability of the red-flag card as they were, so a poorly
     covered one does not cap the opportunity score.
     """
-    scores = F.coalesce(F.col("scores"), F.create_map().cast("map<string,double>"))
-    rows = rows.withColumns({f"card_{c}": card_struct(c, scores, weights) for c in S.CARDS})
+    rows = with_card_structs(rows, weights=weights)
     triggered = disqualifiers(
         F.coalesce("asm_stage", F.lit(0)), F.coalesce("gsm_stage", F.lit(0)), F.col("interest_coverage"),
         F.col("credit_rating_grade").cast("int"), F.coalesce("pledge_pct", "promoter_pledge"), F.col("gnpa_pct"),
@@ -111,7 +119,7 @@ def with_composites(rows: DataFrame, market_mode: Column) -> DataFrame:
     order = ("performance", "valuation", "growth", "profitability", "entry_point", "contrarian")
     n_rankable = sum((_card(c, "rankable").cast("int") for c in S.CARDS), F.lit(0))
     enough = n_rankable >= S.MIN_RANKABLE_CARDS
-    bear = market_mode == "bear"
+    bear = F.col("market_mode") == "bear"
 
     def blend(weights: Mapping) -> Column:
         mean = weighted_mean([(F.when(_card(c, "rankable"), _card(c, "score")), weights[c]) for c in order])
@@ -138,27 +146,23 @@ def with_composites(rows: DataFrame, market_mode: Column) -> DataFrame:
     covered = weighted_mean([(F.when(_card(c, "rankable"), _card(c, "coverage")), 1.0) for c in S.CARDS])
     bonus = F.when(F.col("peer_level") == "Basic Industry", 10.0).when(F.col("peer_level") == "Industry", 5.0).otherwise(0.0)
     base_confidence = F.when(n_rankable > 0, covered * 100.0 + n_rankable * 4.0 + bonus)
-    return (
-        rows.withColumn("market_mode", market_mode)
-        .withColumn("n_rankable_cards", n_rankable)
-        .withColumn("raw_score", raw)
-        .withColumn("opportunity_score", opportunity)
-        .withColumn("investability_status", status)
-        .withColumn("ranked_cards", ranked)
-        .withColumn("strengths", F.slice(texts, 1, 3))
-        .withColumn("weaknesses", F.slice(texts, F.greatest(F.size(texts) - 2, F.lit(1)), F.lit(3)))
-        .withColumn("potential_score", rounded(weighted_mean(
-            [(_card(c, "score"), w) for c, w in S.POTENTIAL_WEIGHTS.items()])))
-        .withColumn("valuation_gap_score", rounded(weighted_mean(
-            [(_card(c, "score"), w) for c, w in S.VALUATION_GAP_WEIGHTS.items()])))
-        .withColumn("entry_signal", entry_signal(_card("entry_point", "score")))
-        .withColumn("base_confidence_score", base_confidence)
-        .withColumn("base_confidence", confidence_label(F.col("base_confidence_score")))
-        .withColumn("base_recommendation", base_recommendation(
-            F.col("investability_status"), _card("red_flags", "score"), F.col("potential_score"),
-            F.col("valuation_gap_score")))
-        .drop("ranked_cards")
-    )
+    rows = rows.withColumns({
+        "market_mode": market_mode,
+        "n_rankable_cards": n_rankable,
+        "ranked_cards": ranked,
+        "potential_score": rounded(weighted_mean([(_card(c, "score"), w) for c, w in S.POTENTIAL_WEIGHTS.items()])),
+        "valuation_gap_score": rounded(weighted_mean([(_card(c, "score"), w) for c, w in S.VALUATION_GAP_WEIGHTS.items()])),
+        "entry_signal": entry_signal(_card("entry_point", "score")),
+        "base_confidence_score": base_confidence})
+    rows = rows.withColumn("raw_score", raw).withColumn("opportunity_score", opportunity)
+    rows = rows.withColumns({
+        "investability_status": status,
+        "strengths": F.slice(texts, 1, 3),
+        "weaknesses": F.slice(texts, F.greatest(F.size(texts) - 2, F.lit(1)), F.lit(3)),
+        "base_confidence": confidence_label(F.col("base_confidence_score"))})
+    return rows.withColumn("base_recommendation", base_recommendation(
+        F.col("investability_status"), _card("red_flags", "score"), F.col("potential_score"),
+        F.col("valuation_gap_score"))).drop("ranked_cards")
 
 
 def cards_long(rows: DataFrame) -> DataFrame:
@@ -171,13 +175,11 @@ def cards_long(rows: DataFrame) -> DataFrame:
 
 def coverage_by_template(metrics_wide: DataFrame, weights: Mapping = S.CARD_WEIGHTS) -> DataFrame:
     """Mean weighted coverage and rankable share per template and card; empty templates keep zero rows."""
-    present = F.map_from_arrays(
-        F.array(*[F.lit(m) for m in S.configured_metrics()]),
-        F.array(*[F.when(F.col(m).isNotNull(), F.lit(1.0)) for m in S.configured_metrics()]))
-    rows = metrics_wide.withColumn("have", present)
-    each = F.array(*[
-        F.struct(F.lit(c).alias("card"), card_struct(c, F.col("have"), weights)["coverage"].alias(
-            "coverage")) for c in S.CARDS])
+    names = S.configured_metrics()
+    listed = ", ".join(f"'{m}', if(isnull(`{m}`), null, 1D)" for m in names)
+    present = F.expr(f"map({listed})")
+    rows = with_card_structs(metrics_wide.select("template", present.alias("have")), "have", weights)
+    each = F.array(*[F.struct(F.lit(c).alias("card"), F.col(f"card_{c}.coverage").alias("coverage")) for c in S.CARDS])
     covered = rows.select("template", F.explode(each).alias("e")).select("template", "e.card", "e.coverage")
     found = covered.groupBy("template", "card").agg(
         F.sum(F.round(F.col("coverage") * 1000).cast("long")).alias("covered"),

@@ -59,36 +59,36 @@ def with_overlays(ratings: DataFrame, large: bool | None = None, block_rows: int
     cash = F.when(F.col("template") == "A", F.try_element_at("scores", F.lit("cfo_pat_ratio")))
     gap = F.coalesce("iv_gap", "fair_value_gap")
     evidence = F.when(gap.isNotNull(), 8.0).otherwise(0.0) + F.when(F.col("hist_pb_band").isNotNull(), 7.0).otherwise(0.0)
-    return (
-        rows.withColumn("drawdown_resilience_score", rounded(weighted_mean([
-            (F.try_element_at("scores", F.lit("drawdown_recovery")), 0.45), (cash, 0.25), (red, 0.30)])))
-        .withColumn("valuation_confidence_score", rounded(F.least(
-            F.lit(100.0), F.col("card_valuation.coverage") * 100.0 + evidence)))
-        .withColumn("confidence", confidence_label(weighted_mean([
-            (F.col("valuation_confidence_score"), 0.35), (F.col("potential_score"), 0.35), (red, 0.30)])))
-        .withColumn("__up", expected_upside(
-            gap, F.col("valuation_gap_score"), F.col("confidence"), mode, F.col("sector_regime_score")))
-        .withColumn("__down", expected_downside(red, entry, F.col("drawdown_resilience_score"), mode))
-        .withColumn("__ratio", ratio(F.col("__up"), F.col("__down")))
-        .withColumn("expected_upside_pct", rounded(F.col("__up")))
-        .withColumn("expected_downside_pct", rounded(F.col("__down")))
-        .withColumn("risk_reward_ratio", rounded(F.col("__ratio")))
-        .withColumn("risk_reward_score", rounded(clamp(F.col("__ratio") * 35.0, 0, 100)))
-        .withColumn("gate_fail_reasons", gate_reasons(
+    rows = rows.withColumns({
+        "drawdown_resilience_score": rounded(weighted_mean([
+            (F.try_element_at("scores", F.lit("drawdown_recovery")), 0.45), (cash, 0.25), (red, 0.30)])),
+        "valuation_confidence_score": rounded(F.least(
+            F.lit(100.0), F.col("card_valuation.coverage") * 100.0 + evidence))})
+    rows = rows.withColumn("confidence", confidence_label(weighted_mean([
+        (F.col("valuation_confidence_score"), 0.35), (F.col("potential_score"), 0.35), (red, 0.30)])))
+    rows = rows.withColumns({
+        "__up": expected_upside(gap, F.col("valuation_gap_score"), F.col("confidence"), mode, F.col("sector_regime_score")),
+        "__down": expected_downside(red, entry, F.col("drawdown_resilience_score"), mode),
+        "gate_fail_reasons": gate_reasons(
             red, F.col("confidence"), F.col("avg_daily_turnover_cr"), F.col("promoter_pledge"),
-            F.col("default_distress"), mode))
-        .withColumn("gate_passed", F.size("gate_fail_reasons") == 0)
-        .withColumn("recommendation", recommendation(
+            F.col("default_distress"), mode)})
+    rows = rows.withColumns({"__ratio": ratio(F.col("__up"), F.col("__down")), "gate_passed": F.size("gate_fail_reasons") == 0})
+    rows = rows.withColumns({
+        "expected_upside_pct": rounded(F.col("__up")),
+        "expected_downside_pct": rounded(F.col("__down")),
+        "risk_reward_ratio": rounded(F.col("__ratio")),
+        "risk_reward_score": rounded(clamp(F.col("__ratio") * 35.0, 0, 100)),
+        "recommendation": recommendation(
             F.col("investability_status"), F.col("potential_score"), F.col("valuation_gap_score"),
-            F.col("gate_passed"), mode))
-        .withColumn("selection_score", selection_score(
-            F.col("opportunity_score"), F.col("potential_score"), F.col("risk_reward_score"), red, mode))
-        .withColumn("staged_entry_plan", staged_entry_plan(
-            F.col("entry_signal"), F.col("expected_upside_pct"), F.col("expected_downside_pct")))
-        .withColumn("action_note", action_note(
-            F.col("sector_regime_label"), F.col("risk_reward_ratio"), F.col("gate_passed"), F.col("gate_fail_reasons")))
-        .drop("__up", "__down", "__ratio")
-    )
+            F.col("gate_passed"), mode)})
+    return rows.withColumns({
+        "selection_score": selection_score(
+            F.col("opportunity_score"), F.col("potential_score"), F.col("risk_reward_score"), red, mode),
+        "staged_entry_plan": staged_entry_plan(
+            F.col("entry_signal"), F.col("expected_upside_pct"), F.col("expected_downside_pct")),
+        "action_note": action_note(
+            F.col("sector_regime_label"), F.col("risk_reward_ratio"), F.col("gate_passed"), F.col("gate_fail_reasons")),
+    }).drop("__up", "__down", "__ratio")
 
 
 def with_ranks(ratings: DataFrame, large: bool | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -135,7 +135,6 @@ def card_coverage(cards: DataFrame) -> DataFrame:
 # --- documents -------------------------------------------------------------------------------
 def documents(ratings: DataFrame, peers: DataFrame | None = None) -> DataFrame:
     """One nested record per rating (struct column ``document``); all seven cards are included."""
-    scores = F.coalesce("scores", F.create_map().cast("map<string,double>"))
     rows = ratings if peers is None else ratings.join(peers.select("ticker", "peers"), "ticker", "left")
     tickers = F.col("peers") if peers is not None else F.array().cast("array<string>")
 
@@ -145,7 +144,7 @@ def documents(ratings: DataFrame, peers: DataFrame | None = None) -> DataFrame:
             c["score"].alias("score"), c["label"].alias("label"),
             F.format_string("%.1f%%", rounded(c["coverage"] * 100.0, 1)).alias("data_coverage"),
             c["rankable"].alias("is_rankable"), c["reason"].alias("reason"),
-            sub_scores(card, scores).alias("sub_scores")).alias(card)
+            sub_scores(card).alias("sub_scores")).alias(card)
 
     plain = ["investability_status", "potential_score", "valuation_gap_score", "recommendation",
              F.col("confidence").alias("recommendation_confidence"), "entry_signal", "market_mode",
@@ -214,12 +213,10 @@ def _named(entries: Column) -> Column:
 
 def with_thesis(ratings: DataFrame) -> DataFrame:
     """Add the thesis text and its strengths, weaknesses and top metrics."""
-    scores = F.coalesce("scores", F.create_map().cast("map<string,double>"))
-
     def score(card: str) -> Column:
         return F.col(f"card_{card}.score")
 
-    rows = ratings.withColumns({f"__sub_{c}": sub_scores(c, scores) for c in (*THESIS_CARDS, "red_flags")})
+    rows = ratings.withColumns({f"__sub_{c}": sub_scores(c) for c in (*THESIS_CARDS, "red_flags")})
     ordered = F.array_sort(F.array_compact(F.array(*[
         F.when(score(c).isNotNull(), F.struct(
             (-score(c)).alias("k"), F.lit(i).alias("i"), F.lit(CARD_PHRASES[c]).alias("phrase"), score(c).alias("s"),

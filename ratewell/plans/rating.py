@@ -17,8 +17,8 @@ LEADERBOARD_EXCLUDED = ("Uninvestable", "Insufficient Data", "Unsupported Data")
 def metrics_long(universe: DataFrame, metrics: list[str] | None = None) -> DataFrame:
     """(ticker, metric, value) rows of the non-null metric cells."""
     names = metrics or S.configured_metrics()
-    return universe.select("ticker", *[F.col(m).cast("double") for m in names]).unpivot(
-        "ticker", names, "metric", "value").where(F.col("value").isNotNull())
+    return universe.select("ticker", *names).unpivot("ticker", names, "metric", "value").where(
+        F.col("value").isNotNull())
 
 
 def score_universe(universe: DataFrame, large: bool, block_rows: int = BLOCK_ROWS) -> DataFrame:
