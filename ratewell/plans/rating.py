@@ -17,8 +17,11 @@ LEADERBOARD_EXCLUDED = ("Uninvestable", "Insufficient Data", "Unsupported Data")
 def metrics_long(universe: DataFrame, metrics: list[str] | None = None) -> DataFrame:
     """(ticker, metric, value) rows of the non-null metric cells."""
     names = metrics or S.configured_metrics()
-    return universe.select("ticker", *names).unpivot("ticker", names, "metric", "value").where(
-        F.col("value").isNotNull())
+    values = ", ".join(f"`{m}`" for m in names)
+    labels = ", ".join(f"'{m}'" for m in names)
+    # one array per row: a generic unpivot plans a projection per metric
+    return universe.selectExpr("ticker", f"posexplode(array({values})) as (pos, value)").where(
+        F.col("value").isNotNull()).selectExpr("ticker", f"array({labels})[pos] as metric", "value")
 
 
 def score_universe(universe: DataFrame, large: bool, block_rows: int = BLOCK_ROWS) -> DataFrame:
