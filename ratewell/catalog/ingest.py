@@ -97,7 +97,7 @@ _FUND = """select p_partkey, p_name || case p_partkey % 8 when 0 then ' ETF' whe
  when 5 then ' Beesley' when 6 then ' etfs' else '' end as name from part"""
 
 
-@query("fund_like_filter", f"select p_partkey, name from ({_FUND}) where p_partkey % 8 > 3")
+@query("fund_like_filter", f"""select p_partkey, name from ({_FUND}) where not regexp_matches(lower(name), '(^|[^a-z0-9_])(etf|etn|bees|index fund|exchange traded fund)($|[^a-z0-9_])')""")
 def fund_like_filter(spark, sf):
     p = T.table(spark, sf, "part")
     suffix = F.element_at(F.array(*[F.lit(x) for x in (" ETF", " Gold Etf", " BeES", " index fund", " betfair", " Beesley", " etfs", "")]),
@@ -143,9 +143,9 @@ def metric_names(spark, sf):
 
 
 # --- universe preparation --------------------------------------------------------------------
-_EOD = """eod as (select case c_custkey % 4 when 0 then 'cu' || c_custkey || '.NS' when 1 then ' CU' || c_custkey || ' ' when 2 then 'Cu' || c_custkey else case when c_custkey % 28 = 3 then 'none' else 'cu' || c_custkey end end as sym,
- case when c_custkey % 9 = 0 then 'BE' else ' eq ' end as series, c_name as name, case when c_custkey % 3 = 0 then '' else c_mktsegment end as sector, c_custkey as k from customer)"""
-_UNI = """uni as materialized (select 'CU' || k as sym, name, sector, k from eod where k % 9 <> 0 and not (k % 4 = 3 and k % 28 = 3))"""
+_EOD = """eod as (select case c_custkey % 4 when 0 then 'cu' || c_custkey || '.NS' when 1 then ' CU' || c_custkey || ' ' when 2 then 'Cu' || c_custkey else case when c_acctbal < -500 then 'none' else 'cu' || c_custkey end end as sym,
+ case when c_mktsegment = 'BUILDING' then 'BE' else ' eq ' end as series, c_name as name, case when c_mktsegment = 'MACHINERY' then '' else c_mktsegment end as sector, c_custkey as k from customer)"""
+_UNI = """uni as materialized (select 'CU' || k as sym, name, sector, k from eod where upper(trim(series)) = 'EQ' and lower(trim(sym)) <> 'none')"""
 _FUNDS = """funds as materialized (select 'CU' || o_custkey as sym, o_custkey as k, cast(floor(sum(cast(round(o_totalprice * 100) as bigint)) / 1e2) as bigint) as price from orders where o_orderstatus = 'F' group by o_custkey)"""
 
 
@@ -155,10 +155,10 @@ def _eod(spark, sf):
     text = k.cast("string")
     symbol = (
         F.when(k % 4 == 0, F.concat(F.lit("cu"), text, F.lit(".NS"))).when(k % 4 == 1, F.concat(F.lit(" CU"), text, F.lit(" ")))
-        .when(k % 4 == 2, F.concat(F.lit("Cu"), text)).when(k % 28 == 3, F.lit("none")).otherwise(F.concat(F.lit("cu"), text)))
+        .when(k % 4 == 2, F.concat(F.lit("Cu"), text)).when(F.col("c_acctbal") < -500, F.lit("none")).otherwise(F.concat(F.lit("cu"), text)))
     rows = c.select(
-        symbol.alias("SYMBOL"), F.when(k % 9 == 0, "BE").otherwise(" eq ").alias("SERIES"),
-        F.col("c_name").alias("NAME OF COMPANY"), F.when(k % 3 == 0, "").otherwise(F.col("c_mktsegment")).alias("Sector"),
+        symbol.alias("SYMBOL"), F.when(F.col("c_mktsegment") == "BUILDING", "BE").otherwise(" eq ").alias("SERIES"),
+        F.col("c_name").alias("NAME OF COMPANY"), F.when(F.col("c_mktsegment") == "MACHINERY", "").otherwise(F.col("c_mktsegment")).alias("Sector"),
         k.alias("arrival"))
     again = rows.withColumn("arrival", F.col("arrival") + 1_000_000_000_000).withColumn("NAME OF COMPANY", F.lit("later copy"))
     return rows.unionByName(again)
@@ -181,7 +181,7 @@ def universe_symbols(spark, sf):
         F.col("NSE Symbol").alias("symbol"), F.col("Name").alias("name"), F.col("Sector").alias("sector"))
 
 
-@query("universe_all_series", with_([_EOD], "select count(*) as n from eod where not (k % 4 = 3 and k % 28 = 3)"))
+@query("universe_all_series", with_([_EOD], "select count(*) as n from eod where lower(trim(sym)) <> 'none'"))
 def universe_all_series(spark, sf):
     return U.universe_frame(_eod(spark, sf), "arrival", include_all_series=True).agg(F.count(F.lit(1)).alias("n"))
 
@@ -240,22 +240,22 @@ def merge_overwrite(spark, sf):
     return G.merge_overwrite(base, other, "k", {"top": "balance", "n": "n_orders"}, default=0)
 
 
-@query("merge_fill", """select c_custkey as k, coalesce(case when c_custkey % 2 = 0 then c_acctbal end, o.p) as balance, o.n as n_orders
+@query("merge_fill", """select c_custkey as k, coalesce(case when c_acctbal >= 0 then c_acctbal end, o.p) as balance, o.n as n_orders
  from customer left join (select o_custkey as k, max(o_totalprice) as p, count(*) as n from orders group by 1) o on o.k = c_custkey""")
 def merge_fill(spark, sf):
     base = T.table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("balance"))
+        F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"))
     other = T.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(
         F.max("o_totalprice").alias("balance"), F.count(F.lit(1)).alias("n_orders"))
     return G.merge_fill(base, other, "k", ["balance", "n_orders"])
 
 
-@query("enrichment_gain", """select 'balance' as column_name, count(*) filter (where c_custkey % 2 = 0) as n_before, count(*) filter (where c_custkey % 2 = 0 or o.k is not null) as n_after,
- count(*) filter (where c_custkey % 2 <> 0 and o.k is not null) as improvement from customer left join (select distinct o_custkey as k from orders) o on o.k = c_custkey
+@query("enrichment_gain", """select 'balance' as column_name, count(*) filter (where c_acctbal >= 0) as n_before, count(*) filter (where c_acctbal >= 0 or o.k is not null) as n_after,
+ count(*) filter (where c_acctbal < 0 and o.k is not null) as improvement from customer left join (select distinct o_custkey as k from orders) o on o.k = c_custkey
  union all select 'n_orders', 0, count(*), count(*) from (select distinct o_custkey from orders join customer on c_custkey = o_custkey)""")
 def enrichment_gain(spark, sf):
     base = T.table(spark, sf, "customer").select(
-        F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("balance"))
+        F.col("c_custkey").alias("k"), F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("balance"))
     other = T.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("k")).agg(
         F.max("o_totalprice").alias("balance"), F.count(F.lit(1)).alias("n_orders"))
     return K.enrichment_gain(base, G.merge_fill(base, other, "k", ["balance", "n_orders"]), ["balance", "n_orders"])

@@ -18,6 +18,7 @@ def local_session(name: str = "ratewell", cores: str | int = "*", shuffle_partit
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("RATEWELL_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.codegen.cache.maxEntries", "2000")  # a rating run has more than the default 100
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no call-site capture per expression
         .getOrCreate()
     )
