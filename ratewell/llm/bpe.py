@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
@@ -26,11 +25,12 @@ from pyspark.sql import DataFrame
 
 from ratewell.llm.common import text_blocks, texts
 
-#: Documents whose white space is more than single blanks and line ends between words take the general path.
-ODD_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-                       "|[ \n][ \n]|\\A[ \n]|[ \n]\\Z")
+#: White space other than blanks and line ends, in any library's reading.
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 BLOCK_CHARS = 24_000_000
-CACHE_WORDS = 400_000
+#: Words that a worker remembers of each kind before it starts afresh.
+CACHE_WORDS = 600_000
+NEVER = np.int64(2**62)
 
 
 class Vocabulary:
@@ -42,78 +42,104 @@ class Vocabulary:
         self.token = [b""] * self.size
         for token, rank in self.ranks.items():
             self.token[rank] = token
-        self.byte = [self.ranks[bytes([b])] for b in range(256)]
         # every way to cut a token into two tokens: two neighbours merge exactly if their bytes are a token
-        self.pair = {self.ranks[t[:k]] * self.size + self.ranks[t[k:]]: rank for t, rank in self.ranks.items()
-                     for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks}
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word after all merges, lowest rank first, leftmost first among equals."""
-        pair, size = self.pair, self.size
-        starts, sym = [], []
-        for word in words:
-            starts.append(len(sym))
-            sym.extend(map(self.byte.__getitem__, word))
+        pairs = {self.ranks[t[:k]] * self.size + self.ranks[t[k:]]: rank for t, rank in self.ranks.items()
+                 for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks}
+        self.pair = np.array(sorted(pairs), np.int64)
+        self.pair_rank = np.array([pairs[k] for k in self.pair.tolist()], np.int64)
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair, ``NEVER`` where the two don't merge."""
+        key = left * self.size + right
+        at = np.searchsorted(self.pair, key)
+        at[at == len(self.pair)] = 0
+        return np.where(self.pair[at] == key, self.pair_rank[at], NEVER)
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of each word after all merges, lowest rank first, leftmost first among equals.
+
+        ``places`` is the inverted index: rank of a pair -> positions of its left token, some of them outdated.
+        """
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        starts = np.cumsum(length) - length
+        sym = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         n = len(sym)
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        ends = starts[1:] + [n]
-        places: dict[int, list[int]] = {}
-        for a, b in zip(starts, ends):
-            if a < b:
-                before[a] = -1
-                after[b - 1] = -1
-                for p in range(a, b - 1):
-                    rank = pair.get(sym[p] * size + sym[p + 1])
-                    if rank is not None:
-                        if rank in places:
-                            places[rank].append(p)
-                        else:
-                            places[rank] = [p]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        before[starts[length > 0]] = -1
+        after[(starts + length - 1)[length > 0]] = -1
+        inner = np.flatnonzero(after >= 0)
+        rank_at = np.full(n, NEVER, np.int64)  # of the pair that a position and the next one make
+        rank_at[inner] = self.merged(sym[inner], sym[inner + 1])
+        alive = np.ones(n, bool)
+        order = np.argsort(rank_at, kind="stable")
+        order = order[:np.searchsorted(rank_at[order], NEVER)]
+        ranks, at = np.unique(rank_at[order], return_index=True)
+        places = {r: part.tolist() for r, part in zip(ranks.tolist(), np.split(order, at[1:]))}
         queue = list(places)
         heapify(queue)
         while queue:
             rank = heappop(queue)
-            todo = places.pop(rank, None)
-            if todo is None:
+            p = np.array(places.pop(rank, ()), np.int64)
+            p = np.unique(p[rank_at[p] == rank])
+            if not len(p):
                 continue
-            todo.sort()
-            held = -1  # places of one word up to here wait: it got a pair of lower rank, which goes first
-            for p in todo:
+            q = after[p]
+            if (p[1:] == q[:-1]).any():  # "aaa": the leftmost goes first, the place it takes part in is gone
+                free, taken = [], -1
+                for x, y in zip(p.tolist(), q.tolist()):
+                    if x != taken:
+                        free.append(x)
+                        taken = y
+                p = np.array(free, np.int64)
                 q = after[p]
-                if q < 0 or sym[p] < 0 or pair.get(sym[p] * size + sym[q]) != rank:
-                    continue
-                if p < held:
-                    if rank not in places:
-                        places[rank] = []
-                        heappush(queue, rank)
-                    places[rank].append(p)
-                    continue
-                sym[p] = rank
-                sym[q] = -1
-                r = after[p] = after[q]
-                after[q] = -1
-                if r >= 0:
-                    before[r] = p
-                    new = pair.get(rank * size + sym[r])
-                    if new is not None:
-                        if new not in places:
-                            places[new] = []
-                            heappush(queue, new)
-                        places[new].append(p)
-                        if new < rank:
-                            held = ends[bisect_right(starts, p) - 1]
-                l = before[p]
-                if l >= 0:
-                    new = pair.get(sym[l] * size + rank)
-                    if new is not None:
-                        if new not in places:
-                            places[new] = []
-                            heappush(queue, new)
-                        places[new].append(l)
-                        if new < rank:
-                            held = ends[bisect_right(starts, p) - 1]
-        return [[s for s in sym[a:b] if s >= 0] for a, b in zip(starts, ends)]
+            left, right = before[p], after[q]
+            if ((left >= 0) & (self.merged(sym[left], np.full(len(p), rank)) < rank)
+                    | (right >= 0) & (self.merged(np.full(len(p), rank), sym[right]) < rank)).any():
+                # a merge makes a pair that goes before this rank: one place a word now, the others afterwards
+                first = np.unique(np.searchsorted(starts, p, "right"), return_index=True)[1]
+                if len(first) < len(p):
+                    places[rank] = np.delete(p, first).tolist()
+                    heappush(queue, rank)
+                    p = p[first]
+                    q = after[p]
+                    right = after[q]
+            sym[p] = rank
+            alive[q] = False
+            rank_at[q] = NEVER
+            after[p] = right
+            before[right[right >= 0]] = p[right >= 0]
+            left = before[p]
+            own = np.where(right >= 0, self.merged(sym[p], sym[right]), NEVER)
+            rank_at[p] = own
+            touched, left = p[own < NEVER].tolist(), left[left >= 0]
+            new = own[own < NEVER].tolist()
+            own = self.merged(sym[left], sym[after[left]])
+            rank_at[left] = own
+            touched += left[own < NEVER].tolist()
+            new += own[own < NEVER].tolist()
+            for place, r in zip(touched, new):
+                if r in places:
+                    places[r].append(place)
+                else:
+                    places[r] = [place]
+                    heappush(queue, r)
+        kept = np.cumsum(alive)
+        ends = np.where(length > 0, kept[np.maximum(starts + length - 1, 0)] if n else 0, 0).tolist()
+        packed, out, a = sym[alive].astype("<u4").tobytes(), [], 0
+        for end, size in zip(ends, length.tolist()):
+            if size:
+                out.append(packed[4 * a:4 * end])
+                a = end
+            else:
+                out.append(b"")
+        return out
+
+
+def plain(text: str) -> bool:
+    """Only single blanks and line ends between words?  Other texts take the general path."""
+    return not (not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or "\n\n" in text or " \n" in text
+                or "\n " in text or OTHER_SPACE.search(text))
 
 
 class Encoder:
@@ -122,22 +148,34 @@ class Encoder:
     def __init__(self, rank_file: bytes, pattern: str):
         self.vocabulary = Vocabulary(rank_file)
         self.pattern = regex.compile(pattern)
+        probe = " été. Año, été, año"
+        self.by_letters = self.pattern.findall(probe) == [" été", ".", " Año", ",", " été", ",", " año"]
         self.piece: dict[str, bytes] = {}   # one match of the pattern -> packed ids
         self.first: dict[str, bytes] = {}   # a run between blanks at the start of a line
         self.later: dict[str, bytes] = {}   # a run that follows a blank: its first match takes the blank
 
+    def _cut(self, run: str, blank: str = "") -> list[str] | tuple[str, ...]:
+        """Matches of the pattern in a run between blanks; of letters and a stop there is no need to search."""
+        if self.by_letters:
+            if run.isalpha():
+                return (blank + run,)
+            if run[-1] in ".," and run[:-1].isalpha():
+                return blank + run[:-1], run[-1]
+        return self.pattern.findall(blank + run)
+
     def _learn(self, pieces: set[str]) -> None:
         new = [w for w in pieces if w not in self.piece]
-        for word, ids in zip(new, self.vocabulary.replay([w.encode() for w in new])):
-            self.piece[word] = np.array(ids, "<u4").tobytes()
+        self.piece.update(zip(new, self.vocabulary.replay([w.encode() for w in new])))
 
     def encode(self, found: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, each match of the pattern encoded by itself."""
-        if len(self.piece) + len(self.first) + len(self.later) > CACHE_WORDS:
-            self.piece, self.first, self.later = {}, {}, {}
-        plain = [not ODD_SPACE.search(t) and bool(t) for t in found]
+        if len(self.first) + len(self.later) > CACHE_WORDS:
+            self.first, self.later = {}, {}
+        if len(self.piece) > CACHE_WORDS:
+            self.piece = {}
+        simple_texts = [plain(t) for t in found]
         first, later, pieces = set(), set(), {"\n"}
-        for text, simple in zip(found, plain):
+        for text, simple in zip(found, simple_texts):
             if simple:
                 for line in text.split("\n"):
                     runs = line.split(" ")
@@ -145,18 +183,20 @@ class Encoder:
                     later.update(runs[1:])
             else:
                 pieces.update(self.pattern.findall(text))
-        cut = {}
-        for seen, runs, blank in ((self.first, first, ""), (self.later, later, " ")):
-            for run in runs:
-                if run not in seen:
-                    cut[blank, run] = own = self.pattern.findall(blank + run)
-                    pieces.update(own)
+        first, later = list(first.difference(self.first)), list(later.difference(self.later))
+        for run in first:
+            pieces.update(self._cut(run))
+        for run in later:
+            pieces.update(self._cut(run, " "))
         self._learn(pieces)
+        del pieces
         piece = self.piece.__getitem__
-        for (blank, run), own in cut.items():
-            (self.later if blank else self.first)[run] = b"".join(map(piece, own))
+        for run in first:
+            self.first[run] = b"".join(map(piece, self._cut(run)))
+        for run in later:
+            self.later[run] = b"".join(map(piece, self._cut(run, " ")))
         end, first_ids, later_ids, out = piece("\n"), self.first, self.later.__getitem__, []
-        for text, simple in zip(found, plain):
+        for text, simple in zip(found, simple_texts):
             if simple:
                 lines = []
                 for line in text.split("\n"):
