@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewell.llm import bpe, lines
+from ratewell.llm import bpe, jaccard, lines
 from ratewell.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,24 @@ from marked group by doc_id"""
 def line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """What each document loses when lines of 40 code points that 5 documents share stay in the last one only."""
     return lines.line_report(table(spark, folder, "documents"))
+
+
+#: Words of a text as the Jaccard join takes them, in DuckDB.
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+JACCARD_SQL = f"""
+with recursive w as (select doc_id, {WORDS} a from documents),
+s as (select distinct doc_id, unnest(case when len(a) = 0 then [] when len(a) < 4 then [array_to_string(a, ' ')]
+      else list_transform(range(1, len(a) - 2), lambda i: array_to_string(a[i:i + 3], ' ')) end) sh from w),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select x.doc_id a, y.doc_id b, count(*) c from s x join s y using (sh) where x.doc_id < y.doc_id group by 1, 2),
+l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 85 * (na.n + nb.n - c)),
+e as (select a, b from l union all select b, a from l),
+reach as (select doc_id, doc_id other from documents union select reach.doc_id, e.b from reach join e on e.a = reach.other)
+select doc_id, coalesce(any_value(n.n), 0)::bigint n_shingles, min(other) component_id
+from reach left join n using (doc_id) group by doc_id"""
+
+
+@query("op4_jaccard_join", JACCARD_SQL)
+def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-copy component of every document: 4-word shingles, at least 85 of 100 in common."""
+    return jaccard.linked_components(table(spark, folder, "documents"))
