@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -33,6 +34,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded_broadcast(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df``, to be broadcast if it has at most so many rows; beyond that the join shuffles both sides."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 class Scratch:
     """Tables written to the folder that all executors share, for one run; ``close`` removes them again."""
 
@@ -46,6 +52,11 @@ class Scratch:
         df.write.partitionBy(*partition_by).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark's cleaner drop the shuffle files of finished steps now and not at the driver's next collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def close(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -20,6 +20,7 @@ result, a good one gives short lists.  Shingles are 64-bit hashes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from math import ceil, log2
 
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratewell.llm.common import Scratch, WordHashes, cut, mixed, texts
+from ratewell.llm.common import Scratch, WordHashes, bounded_broadcast, cut, mixed, texts
 from ratewell.llm.components import connected
 
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63,
@@ -45,8 +46,8 @@ def words(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Sorted distinct shingle hashes of a word sequence; fewer words than ``width`` make one shingle, none make none."""
+def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every shingle of a word sequence; fewer words than ``width`` make one shingle, none make none."""
     n = len(hashes)
     if n == 0:
         return hashes
@@ -54,8 +55,13 @@ def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
         return mixed((hashes * FACTORS[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n))
     total = hashes[:n - width + 1] * FACTORS[0]
     for k in range(1, width):
-        total = total + hashes[k:n - width + 1 + k] * FACTORS[k]
-    return np.unique(mixed(total))
+        total += hashes[k:n - width + 1 + k] * FACTORS[k]
+    return mixed(total)
+
+
+def profile(found: np.ndarray) -> np.ndarray:
+    """Shingles by the first bits of their hash, 255 at most: the profiles of two sets differ by no more than the sets."""
+    return np.minimum(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.int16)
 
 
 def least_common(n, percent: int):
@@ -72,35 +78,37 @@ def _each(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[int |
     hashes = WordHashes()
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
-            yield doc_id.as_py(), shingle_set(hashes.of(words(text.as_py() or "")), width)
+            yield doc_id.as_py(), shingles(hashes.of(words(text.as_py() or "")), width)
             hashes.trim()
 
 
 def shingle_counts(docs: DataFrame, width: int, percent: int, bits: int) -> tuple[np.ndarray, float, dict[int, int]]:
     """Order class by hash prefix (one byte each), mean partners in a front list, documents by front length.
 
-    The tables collected have fixed sizes: 2^bits counters, summed by Spark over all tasks, and a histogram of
+    A shingle counts as often as it stands in a text.  The tables collected have fixed sizes: 2^bits counters, summed by Spark over all tasks, and a histogram of
     front lengths by steps of an eighth of their power of two.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, lengths, waiting, size = np.zeros(1 << bits, np.int64), {}, [], 0
+        counts, lengths, waiting, size = np.zeros(1 << bits, np.uint32), {}, [], 0
         for _, found in _each(batches, width):
             waiting.append((found >> np.uint64(64 - bits)).astype(np.int64))
             size += len(found)
             if size >= 1 << bits:
-                counts += np.bincount(np.concatenate(waiting), minlength=1 << bits)
+                counts += np.bincount(np.concatenate(waiting), minlength=1 << bits).astype(np.uint32)
                 waiting, size = [], 0
             if len(found):
                 p = front(len(found), percent, 1)
                 step = 1 << max(0, p.bit_length() - 4)
                 lengths[p // step * step] = lengths.get(p // step * step, 0) + 1
         if size:
-            counts += np.bincount(np.concatenate(waiting), minlength=1 << bits)
+            counts += np.bincount(np.concatenate(waiting), minlength=1 << bits).astype(np.uint32)
         for at in range(0, 1 << bits, BLOCK):
             part = counts[at:at + BLOCK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([part.astype("<u4").tobytes()], pa.binary()), pa.array([None], pa.int64())], ["block", "counts", "n"])
+                # byte by byte: the upper bytes of most counters are zero and pack well
+                packed = zlib.compress(part.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([pa.array([at // BLOCK], pa.int32()), pa.array([packed], pa.binary()), pa.array([None], pa.int64())], ["block", "counts", "n"])
         for p, n in lengths.items():
             yield pa.RecordBatch.from_arrays([pa.array([-1 - p], pa.int32()), pa.array([None], pa.binary()), pa.array([n], pa.int64())], ["block", "counts", "n"])
 
@@ -108,7 +116,8 @@ def shingle_counts(docs: DataFrame, width: int, percent: int, bits: int) -> tupl
         block = int(frame["block"].iloc[0])
         if block < 0:
             return pd.DataFrame({"block": [block], "counts": [None], "n": [int(frame["n"].sum())]})
-        total = sum(np.frombuffer(x, "<u4").astype(np.uint64) for x in frame["counts"])
+        total = sum(np.frombuffer(zlib.decompress(x), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.uint64)
+                    for x in frame["counts"])
         return pd.DataFrame({"block": [block], "counts": [total.tobytes()], "n": [None]})
 
     schema = "block int, counts binary, n long"
@@ -180,28 +189,36 @@ def linked_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Dat
         rows: list[tuple] = []
 
         def packed():
-            ids, sizes, digests, keys = zip(*rows)
+            ids, sizes, digests, profiles, keys = zip(*rows)
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()),
-                 pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "keys"])
+                 pa.array(profiles, pa.list_(pa.int16())), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "n", "digest", "profile", "keys"])
 
         for doc_id, found in _each(batches, width):
+            found = np.unique(found)
             digest = xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None
-            rows.append((doc_id, len(found), digest, candidate_keys(found, order.value, bits, percent, heavy_from).view(np.int64)))
+            rows.append((doc_id, len(found), digest, profile(found), candidate_keys(found, order.value, bits, percent, heavy_from).view(np.int64)))
             if len(rows) == 1000:
                 yield packed()
                 rows.clear()
         if rows:
             yield packed()
 
-    sets = scratch.write(docs.mapInArrow(keyed_sets, "doc_id long, n int, digest binary, keys array<long>"))
-    nodes = sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    keyed = nodes.where("node is not null").select("node", "n", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("key")
+    sets = scratch.write(docs.mapInArrow(keyed_sets, "doc_id long, n int, digest binary, profile array<short>, keys array<long>"))
+    first = cut(sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("members")))
+    copies = (sets.select("doc_id", "digest").join(first.where("members > 1"), "digest")
+              .where("doc_id <> node").select("doc_id").distinct())
+    nodes = (sets.where("digest is not null and doc_id is not null").join(bounded_broadcast(copies), "doc_id", "left_anti")
+             .withColumnRenamed("doc_id", "node"))
+    keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     lists = scratch.write(keyed.join(shared, "key"))
-    links = _links(lists, docs, scratch, width, percent)
+    scratch.release()
+    profiles = nodes.select("node", "n", "profile")
+    links = _links(lists, profiles, docs, scratch, width, percent)
     labels = connected(links)
-    of_digest = (nodes.select("digest", "node").join(labels, "node", "left")
+    of_digest = (first.select("digest", "node").join(labels, "node", "left")
                  .select("digest", F.coalesce("label", "node").alias("component_id")))
     out = cut(sets.select("doc_id", "n", "digest").join(of_digest, "digest", "left")
               .select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")))
@@ -209,25 +226,35 @@ def linked_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Dat
     return out
 
 
-def _links(lists: DataFrame, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
+def _links(lists: DataFrame, profiles: DataFrame, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
     """Links (a, b) that connect what is connected, out of lists (key, node, n) of documents with a common key."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, found in _each(batches, width):
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([found.view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
-
-    wanted = lists.select(F.col("node").alias("doc_id")).distinct()
-    full = scratch.write(docs.join(wanted, "doc_id").mapInArrow(run, "node long, shingles array<long>"))
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([np.unique(found).view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
 
     def close(a, b):
         return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose sets are alike enough."""
+        """The pairs (a, b) whose sets are alike enough.
+
+        Profiles rule out most: with d shingles in only one of two sets, common / all = (both - d) / (both + d),
+        and d is at least the difference of the profiles.  The sets of the rest are made anew from their texts.
+        """
+        left, right = profiles.toDF("a", "n_a", "left"), profiles.toDF("b", "n_b", "right")
+        apart = F.aggregate(F.zip_with("left", "right", lambda x, y: F.abs(x - y).cast("int")), F.lit(0), lambda s, x: s + x)
+        both = F.col("n_a") + F.col("n_b")
+        pairs = scratch.write(pairs.distinct().join(left, "a").join(right, "b")
+                              .where(100 * (both - apart) >= percent * (both + apart)).select("a", "b"))
+        wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
+        full = scratch.write(docs.join(bounded_broadcast(wanted), "doc_id").mapInArrow(run, "node long, shingles array<long>"))
         left, right = full.toDF("a", "left"), full.toDF("b", "right")
         common = F.size(F.array_intersect("left", "right"))
-        return cut(pairs.distinct().join(left, "a").join(right, "b")
-                   .where(100 * common >= percent * (F.size("left") + F.size("right") - common)).select("a", "b"))
+        found = cut(pairs.join(left, "a").join(right, "b")
+                    .where(100 * common >= percent * (F.size("left") + F.size("right") - common)).select("a", "b").distinct())
+        scratch.release()
+        return found
 
     links, labelled = None, lists.withColumn("label", F.col("node"))
     for _ in range(2):
