@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewell.llm import bpe, jaccard, lines
+from ratewell.llm import bpe, decontaminate, jaccard, langid, lines
 from ratewell.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,15 @@ from reach left join n using (doc_id) group by doc_id"""
 def jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """The near-copy component of every document: 4-word shingles, at least 85 of 100 in common."""
     return jaccard.linked_components(table(spark, folder, "documents"))
+
+
+@query("op8_language_id")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from three of four folds."""
+    return langid.identify(table(spark, folder, "documents"))
+
+
+@query("op3_decontamination")
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Which documents hold which benchmark items, also with other numbers, names and units."""
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
