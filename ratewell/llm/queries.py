@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewell.llm import bpe, chat, decontaminate, jaccard, langid, lines
-from ratewell.llm.common import table
+from ratewell.llm import bpe, chat, decontaminate, jaccard, langid, lines, tokenfiles
+from ratewell.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,3 +101,10 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
     forged = spark.range(1).selectExpr(f"explode(array(struct(-1L conv_id, 0L turn, 'user' role, '{said}' text), struct(-1L conv_id, 1L turn, 'assistant' role, '{said}' text))) r").select("r.*")
     rows = table(spark, folder, "conversations").selectExpr("conv_id", "cast(turn as long) turn", "role", "text")
     return chat.format_digests(chat.format_conversations(rows.unionByName(forged)))
+
+
+@query("op5_token_files")
+def token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids written to directly addressable files, and what these say when read back."""
+    files = tokenfiles.write_token_files(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, Scratch(spark, "tokens"))
+    return tokenfiles.read_documents(files)
