@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewell.llm import bpe, chat, decontaminate, jaccard, langid, lines, tokenfiles
+from ratewell.llm import bpe, chat, decontaminate, fingerprints, jaccard, langid, lines, quality, tokenfiles
 from ratewell.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,16 @@ def token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's ids written to directly addressable files, and what these say when read back."""
     files = tokenfiles.write_token_files(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, Scratch(spark, "tokens"))
     return tokenfiles.read_documents(files)
+
+
+@query("op7_quality")
+def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from the labelled ones outside the held-out fold."""
+    docs = table(spark, folder, "documents")
+    return quality.scored(docs, quality.train(docs, table(spark, folder, "labels")))
+
+
+@query("op9_fingerprints")
+def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and their half-replaced versions, and their likeness."""
+    return fingerprints.fingerprints(table(spark, folder, "documents"), Scratch(spark, "fingerprints"))
