@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewell.llm import bpe, chat, decontaminate, fingerprints, jaccard, langid, lines, quality, tokenfiles
+from ratewell.llm import bpe, chat, decontaminate, fingerprints, jaccard, langid, licences, lines, quality, tokenfiles
 from ratewell.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,9 @@ def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
 def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of all documents and their half-replaced versions, and their likeness."""
     return fingerprints.fingerprints(table(spark, folder, "documents"), Scratch(spark, "fingerprints"))
+
+
+@query("op6_licence_scan")
+def licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence families that documents name or quote."""
+    return licences.scan(table(spark, folder, "documents"))
