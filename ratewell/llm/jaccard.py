@@ -9,8 +9,8 @@ alike enough share the first shingles of what they have in common, and these lie
   1 / 0.85 of the boundary give 2-subsets and sets from the boundary on give single shingles, so two sets on
   different sides meet as well.
 
-A list of documents with a common key isn't expanded into its pairs.  First each member is compared with the
-smallest one, twice over, and what links is merged into components; only pairs of different components that are
+A list of documents with a common key isn't expanded into its pairs.  First each member is compared with one of
+them, a few times over, and what links is merged into components; only pairs of different components that are
 left in a list are then compared one by one.  No link between two components can be missed, and the copies
 within one are never paired.
 
@@ -37,6 +37,8 @@ from ratewell.llm.components import connected
 FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63,
                     0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 BLOCK = 1 << 14
+#: Rounds in which the members of a list are compared with one of them, before the rest goes pair by pair.
+STARS = 3
 #: Cost of comparing two sets, in costs of writing one key; share of the list partners a 2-subset still has.
 COMPARE_COST, SUBSET_PARTNERS = 20.0, 0.1
 
@@ -257,8 +259,11 @@ def _links(lists: DataFrame, profiles: DataFrame, docs: DataFrame, scratch: Scra
         return found
 
     links, labelled = None, lists.withColumn("label", F.col("node"))
-    for _ in range(2):
-        best = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("label", "node", "n")).alias("hub"))
+    for turn in range(STARS):
+        # another member of the smallest component in each list each time: who links with some of it soon meets one
+        drawn = F.xxhash64("node", "key", F.lit(turn)) if turn else F.col("node")
+        best = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                           F.min(F.struct("label", drawn.alias("drawn"), "node", "n")).alias("hub"))
         mixed_lists = labelled.join(best.where("low < high").select("key", "hub"), "key")
         pairs = (mixed_lists.where("label <> hub.label").where(close(F.col("n"), F.col("hub.n")))
                  .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")))

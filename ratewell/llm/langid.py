@@ -9,6 +9,7 @@ themselves, ``top`` n-grams a language.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,6 +24,8 @@ UNKNOWN = "und"
 NO_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
 MARK = np.uint64(ord("_"))
 SHIFT = np.uint64(21)
+#: N-grams a task holds before it sums them.
+WAITING = 4_000_000
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -50,14 +53,25 @@ def language_profiles(docs: DataFrame, top: int = 400) -> dict[str, list[int]]:
     """Profile of every language of ``docs`` (text, lang); rows without text or language teach nothing."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[str, list[np.ndarray]] = {}
+        size: Counter = Counter()
+
+        def summed(lang):
+            codes, counts = np.unique(np.concatenate(waiting.pop(lang)), return_counts=True)
+            size[lang] = 0
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64), pa.int64()),
+                                               pa.array(counts, pa.int64())], ["lang", "gram", "n"])
+
         for batch in batches:
-            by: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-                by.setdefault(lang, []).append(grams(text.as_py()))
-            for lang, found in by.items():
-                codes, counts = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes.view(np.int64), pa.int64()),
-                                                  pa.array(counts, pa.int64())], ["lang", "gram", "n"])
+            for lang, text in zip(batch.column("lang"), batch.column("text")):
+                lang, found = lang.as_py(), grams(text.as_py())
+                waiting.setdefault(lang, []).append(found)
+                size[lang] += len(found)
+                if size[lang] >= WAITING:
+                    yield summed(lang)
+                elif size.total() >= 4 * WAITING:
+                    yield from [summed(x) for x in list(waiting)]
+        yield from (summed(x) for x in list(waiting))
 
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     rows = (docs.where("text is not null and lang is not null").select("lang", "text")
