@@ -38,7 +38,7 @@ FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                     0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 BLOCK = 1 << 14
 #: Rounds in which the members of a list are compared with one of them, before the rest goes pair by pair.
-STARS = 3
+STARS = 2
 #: Cost of comparing two sets, in costs of writing one key; share of the list partners a 2-subset still has.
 COMPARE_COST, SUBSET_PARTNERS = 20.0, 0.1
 
@@ -259,11 +259,8 @@ def _links(lists: DataFrame, profiles: DataFrame, docs: DataFrame, scratch: Scra
         return found
 
     links, labelled = None, lists.withColumn("label", F.col("node"))
-    for turn in range(STARS):
-        # another member of the smallest component in each list each time: who links with some of it soon meets one
-        drawn = F.xxhash64("node", "key", F.lit(turn)) if turn else F.col("node")
-        best = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"),
-                                           F.min(F.struct("label", drawn.alias("drawn"), "node", "n")).alias("hub"))
+    for _ in range(STARS):
+        best = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("label", "node", "n")).alias("hub"))
         mixed_lists = labelled.join(best.where("low < high").select("key", "hub"), "key")
         pairs = (mixed_lists.where("label <> hub.label").where(close(F.col("n"), F.col("hub.n")))
                  .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")))
