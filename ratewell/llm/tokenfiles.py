@@ -223,7 +223,7 @@ def read_documents(files: DataFrame) -> DataFrame:
                 doc_ids, offsets, levels, base = (batch.column(c)[row].as_py() for c in ("doc_ids", "offsets", "levels", "base"))
                 segment = Segment(levels)
                 sums = []
-                step = 64  # documents whose places are looked up together
+                step = 1024  # documents whose places are looked up together
                 for a in range(0, len(doc_ids), step):
                     b = min(a + step, len(doc_ids))
                     ids = segment.at(np.arange(offsets[a], offsets[b])).astype("<u4")
