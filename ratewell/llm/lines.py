@@ -126,7 +126,7 @@ def dropped_keys(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, ba
 
 def _kept(text: str | None, keys: list[bytes] | None) -> tuple[str, int, int]:
     text = text or ""
-    if not keys:
+    if keys is None or not len(keys):
         return text, text.count("\n") + 1, 0
     lines, lost = text.split("\n"), set(keys)
     kept = [line for line, key in zip(lines, line_keys(text)) if not key or key_hash(key) not in lost]

@@ -14,6 +14,7 @@ ROWS += [(10, f"  {LONG.upper()}\t\nshort"), (11, "short\nshort\nshort"), (12, "
          (15, LONG + "\n" + LONG), (20, UMLAUT), (21, UMLAUT), (22, UMLAUT), (23, UMLAUT), (24, UMLAUT + "\n" + UMLAUT + "ä"),
          (25, UMLAUT + "Ä"), (30, "y" * 200_000 + "\n" + LONG), (31, LONG), (31, LONG)]
 ROWS += [(40 + i, UMLAUT + "ä\r") for i in range(5)]
+ROWS += [(9, f"{LONG}\n{UMLAUT}ä\nstays")]  # loses two keys
 
 
 def brute(rows, least_chars=40, least_docs=5):
