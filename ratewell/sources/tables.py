@@ -53,7 +53,8 @@ def suppliers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def supplier_ticker(key: Column) -> Column:
-    return F.concat(F.lit("SUPPLIER#"), F.lpad(key.cast("string"), 9, "0"))
+    digits = key.cast("string")
+    return F.concat(F.lit("SUPPLIER#"), F.when(F.length(digits) < 9, F.lpad(digits, 9, "0")).otherwise(digits))
 
 
 def daily_bars(spark: SparkSession, folder: str) -> DataFrame:
