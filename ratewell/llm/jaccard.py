@@ -10,9 +10,10 @@ alike enough share the first shingles of what they have in common, and these lie
   different sides meet as well.
 
 A list of documents with a common key isn't expanded into its pairs.  First each member is compared with one of
-them, a few times over, and what links is merged into components; only pairs of different components that are
-left in a list are then compared one by one.  No link between two components can be missed, and the copies
-within one are never paired.
+them, a few times over, and what links is merged into components.  Members of different components that are left
+in a short list are then compared one by one.  Those of a long list meet by what sets them apart from its hub: two
+alike sets either both link with the hub, or they share deviations from it (see ``_by_deviations``).  No link between
+two components can be missed, and the copies within one are never paired.
 
 Counts behind the order are kept in a sketch of bounded size, summed over all documents; any order gives the same
 result, a good one gives short lists.  Shingles are 64-bit hashes.
@@ -30,6 +31,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ratewell.llm.common import Scratch, WordHashes, bounded_broadcast, cut, mixed, texts
 from ratewell.llm.components import connected
@@ -39,6 +41,8 @@ FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 BLOCK = 1 << 14
 #: Rounds in which the members of a list are compared with one of them, before the rest goes pair by pair.
 STARS = 2
+#: Longest list whose rest is compared pair by pair; longer ones go by deviations from their hub, with the same links.
+SHORT = 64
 #: Cost of comparing two sets, in costs of writing one key; share of the list partners a 2-subset still has.
 COMPARE_COST, SUBSET_PARTNERS = 20.0, 0.1
 
@@ -231,13 +235,6 @@ def linked_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Dat
 def _links(lists: DataFrame, profiles: DataFrame, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
     """Links (a, b) that connect what is connected, out of lists (key, node, n) of documents with a common key."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_id, found in _each(batches, width):
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([np.unique(found).view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
-
-    def close(a, b):
-        return 100 * F.least(a, b) >= percent * F.greatest(a, b)
-
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are alike enough.
 
@@ -249,8 +246,8 @@ def _links(lists: DataFrame, profiles: DataFrame, docs: DataFrame, scratch: Scra
         both = F.col("n_a") + F.col("n_b")
         pairs = scratch.write(pairs.distinct().join(left, "a").join(right, "b")
                               .where(100 * (both - apart) >= percent * (both + apart)).select("a", "b"))
-        wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-        full = scratch.write(docs.join(bounded_broadcast(wanted), "doc_id").mapInArrow(run, "node long, shingles array<long>"))
+        wanted = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b"))
+        full = scratch.write(_sets_of(docs, wanted, width))
         left, right = full.toDF("a", "left"), full.toDF("b", "right")
         common = F.size(F.array_intersect("left", "right"))
         found = cut(pairs.join(left, "a").join(right, "b")
@@ -262,17 +259,80 @@ def _links(lists: DataFrame, profiles: DataFrame, docs: DataFrame, scratch: Scra
     for _ in range(STARS):
         best = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct("label", "node", "n")).alias("hub"))
         mixed_lists = labelled.join(best.where("low < high").select("key", "hub"), "key")
-        pairs = (mixed_lists.where("label <> hub.label").where(close(F.col("n"), F.col("hub.n")))
+        pairs = (mixed_lists.where("label <> hub.label").where(_near(F.col("n"), F.col("hub.n"), percent))
                  .select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")))
         found = verified(pairs)
         links = found if links is None else links.unionAll(found)
         labels = connected(links)
         labelled = lists.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    ends = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
+    ends = (labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                        F.min(F.struct("label", "node")).alias("hub"), F.count(F.lit(1)).alias("members"))
+            .where("low < high").select("key", F.col("hub.node").alias("hub"), "members"))
     rest = scratch.write(labelled.join(ends, "key"))
-    a, b = rest.toDF("key", "a", "n_a", "label_a"), rest.toDF("key", "b", "n_b", "label_b")
-    pairs = a.join(b, "key").where("a < b and label_a <> label_b").where(close(F.col("n_a"), F.col("n_b"))).select("a", "b")
-    return links.unionAll(verified(pairs))
+    short = rest.where(F.col("members") <= SHORT).select("key", "node", "n", "label")
+    a, b = short.toDF("key", "a", "n_a", "label_a"), short.toDF("key", "b", "n_b", "label_b")
+    pairs = a.join(b, "key").where("a < b and label_a <> label_b").where(_near(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    stars, far_pairs = _by_deviations(rest.where(F.col("members") > SHORT).select("hub", "node", "label").distinct(), docs, scratch, width, percent)
+    return links.unionAll(stars).unionAll(verified(pairs.unionAll(far_pairs)))
+
+
+def _near(a, b, percent: int):
+    """Are sets of these sizes near enough in size to be alike?"""
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the documents in ``wanted`` (node), made from their texts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_id, found in _each(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([np.unique(found).view(np.int64)], pa.list_(pa.int64()))], ["node", "shingles"])
+
+    wanted = wanted.select(F.col("node").alias("doc_id")).distinct()
+    return docs.join(bounded_broadcast(wanted), "doc_id").mapInArrow(run, "node long, shingles array<long>")
+
+
+def _by_deviations(groups: DataFrame, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) to the hubs of groups (hub, node, label), and the pairs (a, b) of other members that may link.
+
+    The deviations D of a set are the shingles that it or the hub's set has, but not both; the weight of a set of n
+    shingles is w = (100 + percent) * |D| - (100 - percent) * n.  Two sets a and b link if and only if
+    2 * (100 + percent) * |Da and Db| >= w(a) + w(b), and the hub, with no deviations, has the least weight of all
+    sets.  So a and b without a common deviation link only where both link with the hub, and need not be paired.
+    Of two members that don't both link with it, one has a weight above -w(hub), which says how many deviations
+    they share at least.  Hence they share one among the first of both, rarest in the group first: of all but
+    ``need - 1`` of each.  A partner that links with the hub needs a longer front from the other than one that doesn't.
+    """
+    over, under = 100 + percent, 100 - percent
+    groups = scratch.write(groups)
+    sets = scratch.write(_sets_of(docs, groups.select("node").unionAll(groups.select("hub")), width))
+    centres = sets.join(groups.select(F.col("hub").alias("node")).distinct(), "node").groupBy("node").agg(F.min("shingles").alias("centre"))
+    off = F.concat(F.array_except("shingles", "centre"), F.array_except("centre", "shingles"))
+    members = (groups.join(sets, "node").join(centres.withColumnRenamed("node", "hub"), "hub")
+               .select("hub", "node", "label", F.xxhash64("shingles").alias("version"), F.size("shingles").cast("long").alias("n"),
+                       (under * F.size("centre").cast("long")).alias("reach"), off.alias("off"))
+               .withColumn("d", F.size("off").cast("long")).withColumn("w", over * F.col("d") - under * F.col("n")))
+    members = scratch.write(members.withColumn("linked", F.col("w") <= F.col("reach")))
+    links = members.where("linked and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+    def need(*bounds):
+        return F.greatest(F.lit(1), *[F.ceil(x) for x in bounds])
+
+    with_linked = need((F.col("w") - F.col("reach")) / (2 * over), (F.col("w") - under * F.floor(100 * F.col("n") / percent)) / over)
+    with_other = need((F.col("w") + F.col("reach") + 1) / (2 * over))
+    placed = (members.withColumn("near_front", F.col("d") - with_other + 1)
+              .withColumn("front", F.when(F.col("linked"), F.col("near_front")).otherwise(F.greatest("near_front", F.col("d") - with_linked + 1)))
+              .withColumn("off", F.explode("off")))
+    times = placed.groupBy("hub", "off").agg(F.count(F.lit(1)).alias("times"), F.min("label").alias("low"), F.max("label").alias("high"))
+    rarest = Window.partitionBy("hub", "node", "version").orderBy("times", "off")
+    fronts = scratch.write(placed.join(times, ["hub", "off"]).withColumn("place", F.row_number().over(rarest))
+                           .where("place <= front and low < high")
+                           .select("hub", "off", "node", "label", "n", "d", "w", "linked", (F.col("place") <= F.col("near_front")).alias("near")))
+    left = fronts.where("not linked").toDF("hub", "off", "a", "label_a", "n_a", "d_a", "w_a", "linked_a", "near_a")
+    right = fronts.toDF("hub", "off", "b", "label_b", "n_b", "d_b", "w_b", "linked_b", "near_b")
+    pairs = (left.join(right, ["hub", "off"]).where("label_a <> label_b and (linked_b or near_a and near_b and a < b)")
+             .where(_near(F.col("n_a"), F.col("n_b"), percent) & (F.col("w_a") + F.col("w_b") <= 2 * over * F.least("d_a", "d_b"))))
+    return links, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def one_of_each(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:

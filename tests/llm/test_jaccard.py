@@ -64,6 +64,25 @@ def test_any_boundary_is_whole(frame, monkeypatch, heavy_from):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [5])
+def test_long_lists_go_by_deviations(frame, monkeypatch, seed):
+    """One group of near copies in which many pairs are just below or above the limit, and the mixed corpus."""
+    monkeypatch.setattr(jaccard, "SHORT", 2)
+    monkeypatch.setattr(jaccard, "STARS", 1)
+    rng = random.Random(seed)
+    base, rows = ["b%d" % k for k in range(80)], []
+    for k in range(70):
+        text = list(base)
+        for _ in range(rng.randint(0, 5)):
+            text[rng.choice([3, 17, 40, 41, 60, 79, rng.randrange(80)])] = "n%d" % rng.randint(0, 3)
+        rows.append((k, " ".join(text[rng.randint(0, 3):])))
+    rows += [(100 + i, text) for i, text in corpus(seed)[:60]]
+    got = sorted(tuple(r) for r in jaccard.linked_components(frame(rows)).collect())
+    want = brute(rows)
+    assert got == want
+    assert 3 < len({c for i, _, c in want if i < 70}) < 60
+
+
 def test_odd_rows(frame):
     long = " ".join(f"x{k}" for k in range(30_000))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE "), (6, "a b c"), (7, "a b"), (8, "A\x0bB c"), (9, long), (10, long + " y"),
