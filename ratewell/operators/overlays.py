@@ -58,7 +58,9 @@ def with_overlays(ratings: DataFrame, large: bool | None = None, block_rows: int
     mode = F.col("market_mode")
     cash = F.when(F.col("template") == "A", F.try_element_at("scores", F.lit("cfo_pat_ratio")))
     gap = F.coalesce("iv_gap", "fair_value_gap")
-    evidence = F.when(gap.isNotNull(), 8.0).otherwise(0.0) + F.when(F.col("hist_pb_band").isNotNull(), 7.0).otherwise(0.0)
+    # the loader keeps weighed metrics only, so the price-to-earnings band comes with universes of other origin
+    bands = [F.col(c) for c in ("hist_val_band", "hist_pb_band") if c in ratings.columns]
+    evidence = F.when(gap.isNotNull(), 8.0).otherwise(0.0) + F.when(F.coalesce(*bands).isNotNull(), 7.0).otherwise(0.0)
     rows = rows.withColumns({
         "drawdown_resilience_score": rounded(weighted_mean([
             (F.try_element_at("scores", F.lit("drawdown_recovery")), 0.45), (cash, 0.25), (red, 0.30)])),

@@ -183,6 +183,19 @@ def test_rating_run_on_three_stocks(spark):
     assert sorted(r.sector_rank for r in got.values()) == [1, 2, 3]
 
 
+def test_either_valuation_band_is_evidence(spark):
+    """Seven points for a price-to-earnings or a price-to-book band, once."""
+    from pyspark.sql import functions as F
+
+    thin = {"P/E": "-", "FCF Yield": "-"}
+    rows = load_universe(export(spark, *[_stock(t, "24", "2", **thin) for t in ("AAA", "BBB", "CCC", "DDD")]))
+    rows = rows.withColumn("hist_val_band", F.when(F.col("ticker").isin("BBB", "DDD"), 78.0)).withColumn(
+        "hist_pb_band", F.when(F.col("ticker").isin("CCC", "DDD"), 60.0))
+    got = {r.ticker: (r.valuation_confidence_score, r.card_valuation.coverage) for r in rate_universe(rows).collect()}
+    assert len({c for _, c in got.values()}) == 1 and got["AAA"][0] < 93
+    assert [round(got[t][0] - got["AAA"][0], 6) for t in ("BBB", "CCC", "DDD")] == [7, 7, 7]
+
+
 @pytest.mark.parametrize("more,severe", [
     ({"ASM Stage": "1"}, False), ({"ASM Stage": "3"}, True), ({"GSM Stage": "1"}, True),
     ({"Pledged percentage": "75"}, True), ({"Pledged percentage": "20", "Promoter Pledge Risk": "75"}, False)])
