@@ -89,10 +89,10 @@ def _each(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[int |
 
 
 def shingle_counts(docs: DataFrame, width: int, percent: int, bits: int) -> tuple[np.ndarray, float, dict[int, int]]:
-    """Order class by hash prefix (one byte each), mean partners in a front list, documents by front length.
+    """Order class by hash prefix (one byte each), mean partners in a front list, documents by set size.
 
-    A shingle counts as often as it stands in a text.  The tables collected have fixed sizes: 2^bits counters, summed by Spark over all tasks, and a histogram of
-    front lengths by steps of an eighth of their power of two.
+    A shingle counts as often as it stands in a text.  The tables collected have fixed sizes: 2^bits counters, summed
+    by Spark over all tasks, and a histogram of set sizes by steps of an eighth of their power of two.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +104,8 @@ def shingle_counts(docs: DataFrame, width: int, percent: int, bits: int) -> tupl
                 counts += np.bincount(np.concatenate(waiting), minlength=1 << bits).astype(np.uint32)
                 waiting, size = [], 0
             if len(found):
-                p = front(len(found), percent, 1)
-                step = 1 << max(0, p.bit_length() - 4)
-                lengths[p // step * step] = lengths.get(p // step * step, 0) + 1
+                step = 1 << max(0, len(found).bit_length() - 4)
+                lengths[len(found) // step * step] = lengths.get(len(found) // step * step, 0) + 1
         if size:
             counts += np.bincount(np.concatenate(waiting), minlength=1 << bits).astype(np.uint32)
         for at in range(0, 1 << bits, BLOCK):
@@ -143,17 +142,25 @@ def shingle_counts(docs: DataFrame, width: int, percent: int, bits: int) -> tupl
     return np.minimum(255, 8 * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8), partners, lengths
 
 
+def is_light(n: int, percent: int, heavy_from: int) -> bool:
+    """Does a set of ``n`` shingles give 2-subsets?  Sets somewhat above the boundary do, to meet those below it."""
+    return 100 * heavy_from > percent * n
+
+
 def boundary(partners: float, lengths: dict[int, int], percent: int) -> int:
-    """Smallest set size that counts as heavy: where the total cost over all documents is least."""
-    def cost(p: int, light: bool) -> float:
-        return p * (p + 1) / 2 * (1 + COMPARE_COST * partners * SUBSET_PARTNERS) if light else p * (1 + COMPARE_COST * partners)
+    """Smallest set size that counts as heavy: where the total cost over all documents is least.
+
+    A set within 1 / similarity above the boundary pays for both kinds of keys, so a boundary just below a size that
+    is frequent or large is dear; each size is also tried as the first that is far enough above it.
+    """
+    def cost(n: int, heavy_from: int) -> float:
+        p = front(n, percent, 1)
+        scan = p * (1 + COMPARE_COST * partners) if n >= heavy_from else 0
+        subsets = p * (p + 1) / 2 * (1 + COMPARE_COST * partners * SUBSET_PARTNERS) if is_light(n, percent, heavy_from) else 0
+        return scan + subsets
 
-    best, best_cost = 1, None
-    for p in [1, *sorted(lengths)]:
-        total = sum(n * cost(q, q < p) for q, n in lengths.items())
-        if best_cost is None or total < best_cost:
-            best, best_cost = p, total
-    return min(n for n in range(1, 100 * (best + 2)) if front(n, percent, 1) >= best)
+    tried = sorted({1, *lengths, *(max(1, percent * n // 100) for n in lengths)})
+    return min(tried, key=lambda h: sum(times * cost(n, h) for n, times in lengths.items()))
 
 
 def candidate_keys(found: np.ndarray, classes: np.ndarray, bits: int, percent: int, heavy_from: int) -> np.ndarray:
@@ -166,7 +173,7 @@ def candidate_keys(found: np.ndarray, classes: np.ndarray, bits: int, percent: i
         return np.empty(0, np.uint64)
     order = found[np.lexsort((found, classes[(found >> np.uint64(64 - bits)).astype(np.int64)]))]
     keys = []
-    if 100 * heavy_from > percent * n:
+    if is_light(n, percent, heavy_from):
         part = order[:front(n, percent, 2)]
         a, b = np.triu_indices(len(part), 1)
         keys.append(mixed(part[a] * FACTORS[2] + part[b]))

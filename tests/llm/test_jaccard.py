@@ -83,6 +83,13 @@ def test_long_lists_go_by_deviations(frame, monkeypatch, seed):
     assert 3 < len({c for i, _, c in want if i < 70}) < 60
 
 
+def test_boundary_counts_both_keys_near_it():
+    """Long sets never get 2-subsets, also not as the neighbours of the boundary."""
+    for lengths in ({1: 5, 5: 1, 28_672: 3}, {40: 10_000, 28_672: 1}, {28_672: 1}):
+        assert not jaccard.is_light(28_672, 85, jaccard.boundary(0.5, lengths, 85))
+    assert jaccard.is_light(8, 85, jaccard.boundary(50.0, {8: 1000, 28_672: 3}, 85))
+
+
 def test_odd_rows(frame):
     long = " ".join(f"x{k}" for k in range(30_000))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE "), (6, "a b c"), (7, "a b"), (8, "A\x0bB c"), (9, long), (10, long + " y"),
