@@ -262,10 +262,10 @@ def enrichment_gain(spark, sf):
 
 
 @query("column_completeness", "select c as column_name, n as n_filled, t as n_rows, floor(n / t * 1000 + 0.5) / 10 as filled_pct from (select count(*) as t, " + ", ".join(
-    f'count("{h}") as c{i}' for i, (h, *_) in enumerate(Q.CELLS[:8])) + " from (" + with_(_TYPED[:3], "select * from export") + ")) x, lateral (select unnest([" + ", ".join(
-    Q.q(h) for h, *_ in Q.CELLS[:8]) + "]) as c, unnest([" + ", ".join(f"c{i}" for i in range(8)) + "]) as n) y")
+    f'count("{h}") as c{i}' for i, (h, *_) in enumerate(Q.CELLS)) + " from (" + with_(_TYPED[:3], "select * from export") + ")) x, lateral (select unnest([" + ", ".join(
+    Q.q(h) for h, *_ in Q.CELLS) + "]) as c, unnest([" + ", ".join(f"c{i}" for i in range(len(Q.CELLS))) + "]) as n) y")
 def column_completeness(spark, sf):
-    names = [h for h, *_ in Q.CELLS[:8]]
+    names = [h for h, *_ in Q.CELLS]
     return K.completeness(supplier_export(spark, sf), names, blank_is_missing=True)
 
 
