@@ -21,9 +21,7 @@ from pyspark.sql import functions as F
 from ratewell.session import shared_folder
 
 BLOCK_ROWS = 1_000_000
-MAX_BLOCKS = 512
 SAMPLES_PER_BLOCK = 20
-_SPREAD = 64
 
 
 def is_large(df: DataFrame, block_rows: int = BLOCK_ROWS) -> bool:
@@ -43,7 +41,8 @@ def match_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], size: s
     """Left join on ``keys`` to a table with one row per key, where ``size`` counts the left rows of the key.
 
     For large inputs, keys above ``block_rows`` rows (few, so broadcast) are matched in place; their
-    rows then travel through the join for the other keys spread by a hash of ``spread``.
+    rows then travel through the join for the other keys spread by a hash of ``spread``, over as many
+    salts as the key has blocks of ``block_rows`` rows.
     """
     keys = list(keys)
     values = [c for c in right.columns if c not in keys]
@@ -52,9 +51,10 @@ def match_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], size: s
     heavy = right.where(F.col(size) > block_rows).select(*keys, F.struct(*values).alias("__heavy"))
     light = right.where(F.col(size) <= block_rows).select(
         *keys, F.lit(0).alias("__spread"), F.struct(*values).alias("__light"))
+    salts = F.ceil(F.col(f"__heavy.{size}") / block_rows)
     tagged = left.join(F.broadcast(heavy), keys, "left").withColumn(
         "__spread",
-        F.when(F.col("__heavy").isNotNull(), (F.pmod(F.xxhash64(*spread), F.lit(_SPREAD)) + 1).cast("int")).otherwise(0))
+        F.when(F.col("__heavy").isNotNull(), (F.pmod(F.xxhash64(*spread), salts) + 1).cast("int")).otherwise(0))
     joined = tagged.join(light, [*keys, "__spread"], "left")
     return joined.select(
         *left.columns,
@@ -71,7 +71,7 @@ def with_block(df: DataFrame, groups: Sequence[str], key: Column, block_rows: in
     keyed = df.withColumn("__key", key)
     stride = max(1, block_rows // SAMPLES_PER_BLOCK)
     sample = F.when(F.pmod(F.xxhash64("__key"), F.lit(stride)) == 0, F.col("__key"))
-    blocks = F.least(F.ceil(F.col("__n") / block_rows), F.lit(MAX_BLOCKS)).cast("int")
+    blocks = F.ceil(F.col("__n") / block_rows).cast("int")
     step = F.size("__keys") / blocks
     borders = (
         keyed.groupBy(*groups)
@@ -90,7 +90,7 @@ def with_block(df: DataFrame, groups: Sequence[str], key: Column, block_rows: in
 
 
 def block_offsets(blocked: DataFrame, groups: Sequence[str], weight: Column) -> DataFrame:
-    """Weight before each block and weight of the whole group (at most MAX_BLOCKS rows per group)."""
+    """Weight before each block and weight of the whole group (one row per block)."""
     per_block = blocked.groupBy(*groups, "__block").agg(F.sum(weight).alias("__size"))
     ordered = Window.partitionBy(*groups).orderBy("__block")
     return per_block.select(
