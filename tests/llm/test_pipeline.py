@@ -46,3 +46,11 @@ def test_stages_keep_the_columns(spark, frame, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).dtypes == docs.dtypes
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_near_copies_go_by_five_words(spark, frame, tmp_path):
+    """One changed word in the middle of 50 leaves 41 of 51 shingles of 5 words (linked), but 43 of 51 of 4 words; two leave fewer."""
+    words = [f"w{k}" for k in range(50)]
+    one, two = words[:25] + ["other"] + words[26:], words[:15] + ["other"] + words[16:35] + ["more"] + words[36:]
+    docs = frame([(1, " ".join(words)), (2, " ".join(one)), (3, " ".join(two))])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == [1, 3]
