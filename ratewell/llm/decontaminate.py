@@ -1,10 +1,10 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Texts become templates: numbers, names (capitalised words inside a sentence) and units are replaced by typed
-placeholders, everything else is lower-cased words.  Every window of an item's template is indexed; a document
-gives one window in ``STEP``, so any run of ``WIDTH + STEP - 1`` template words it shares with an item meets one.
-Windows join by hash.  Along each copy (item and shift of the places) a slot value of the item must always stand
-for the same value in the document; copies with contradicting slots are no copies.
+placeholders, everything else is lower-cased words.  A number with its sign, decimals and thousands is one placeholder,
+and so are up to ``NAMES`` words of one name.  Items and documents give every window of ``WIDTH`` template words, so
+any run of ``WIDTH`` they share meets one.  Windows join by hash.  Along each copy (item and shift of the places) a slot
+value of the item must always stand for the same value in the document; copies with contradicting slots are no copies.
 
 A document leaks an item when its windows cover half of the item's template, or 15 words of it.
 """
@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from ratewell.llm.common import bounded_broadcast, texts
 
-WIDTH, STEP = 6, 3
+#: Words in a window; words that are one name when they follow each other.
+WIDTH, NAMES = 6, 4
 #: Words in a window that must be no placeholders; windows a run needs to count by itself.
-LITERALS, RUN = 3, 4
+LITERALS, RUN = 3, 10
 NUMBER, NAME, UNIT = "0n", "0p", "0u"
 #: Words taken as units of measure or money.
 UNITS = ("kg", "km", "cm", "mm", "mg", "ml", "lb", "lbs", "oz", "mph", "kmh", "kwh", "kw", "ghz", "mhz", "gb", "mb", "usd", "eur",
@@ -27,57 +28,67 @@ UNITS = ("kg", "km", "cm", "mm", "mg", "ml", "lb", "lbs", "oz", "mph", "kmh", "k
          "dollar", "dollars", "euro", "euros", "cent", "cents", "pound", "pounds")
 
 
+#: A name; a number with sign, decimals, thousands and the letters that follow; any other word.  Possessive, so long texts need no stack.
+_W = r"[\p{L}\p{M}\p{N}]"
+_NAME = rf"\x01{_W}++(?:-{_W}++)*+"
+TOKEN = rf"{_NAME}(?: {_NAME}){{0,{NAMES - 1}}}+|(?:(?<!{_W})[-+])?(?:(?<!{_W})\.)?(?<!{_W})[0-9]++(?:[.,][0-9]++)*+{_W}*+|{_W}++"
+
+
 def raw_words(text: Column) -> Column:
-    """Lower-cased words in order; names carry a leading U+0001."""
-    clean = F.translate(F.coalesce(text, F.lit("")), "\x01", " ")
+    """Lower-cased words in order; names carry a leading U+0001, numbers may have a leading sign or point."""
+    clean = F.translate(F.coalesce(text, F.lit("")), "\x01\u2212", " -")
     marked = F.regexp_replace(clean, r"(?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{Ll})", "\x01")
-    return F.filter(F.split(F.lower(marked), r"[^\p{L}\p{M}\p{N}\x01]+"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(marked), F.lit(TOKEN), F.lit(0))
+
+
+def _is_number(word: Column) -> Column:
+    """Signs, point and digits are the only characters of words from ``+`` to ``9``."""
+    return F.substring(word, 1, 1).between("+", "9")
 
 
 def template(words: Column) -> Column:
     """Words with numbers, names and units replaced by their placeholders."""
-    return F.transform(words, lambda w: F.when(w.startswith("\x01"), NAME).when(F.substring(w, 1, 1).between("0", "9"), NUMBER)
+    return F.transform(words, lambda w: F.when(w.startswith("\x01"), NAME).when(_is_number(w), NUMBER)
                        .when(w.isin(*UNITS), UNIT).otherwise(w))
 
 
-def _windows(rows: DataFrame, key: str, step: int) -> DataFrame:
-    """(key, pos, hash, slots): every ``step``-th window with enough words that are no placeholders."""
-    at = F.expr(f"sequence(1, size(words) - {WIDTH} + 1, {step})")
+def _windows(rows: DataFrame, key: str) -> DataFrame:
+    """(key, total, pos, hash, slots): every window with enough words that are no placeholders; ``total`` words has the text."""
+    at = F.expr(f"sequence(1, size(words) - {WIDTH} + 1)")
     placed = (rows.select(key, raw_words(F.col("text")).alias("words")).where(F.size("words") >= WIDTH)
               .select(key, "words", template(F.col("words")).alias("form"))
-              .select(key, F.explode(F.transform(at, lambda i: F.struct(
+              .select(key, F.size("words").alias("total"), F.explode(F.transform(at, lambda i: F.struct(
                   i.alias("pos"), F.slice("form", i, WIDTH).alias("form"), F.slice("words", i, WIDTH).alias("words")))).alias("w")))
     hole = F.col("w.form").getItem
     holes = sum((hole(k).isin(NUMBER, NAME, UNIT).cast("int") for k in range(WIDTH)), F.lit(0))
-    slots = F.when(holes > 0, F.filter("w.words", lambda w: w.startswith("\x01") | F.substring(w, 1, 1).between("0", "9") | w.isin(*UNITS)))
-    return placed.where(holes <= WIDTH - LITERALS).select(key, F.col("w.pos").alias("pos"), F.xxhash64("w.form").alias("hash"), slots.alias("slots"))
+    slots = F.when(holes > 0, F.filter("w.words", lambda w: w.startswith("\x01") | _is_number(w) | w.isin(*UNITS)))
+    return placed.where(holes <= WIDTH - LITERALS).select(key, "total", F.col("w.pos").alias("pos"), F.xxhash64("w.form").alias("hash"), slots.alias("slots"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item it holds: ``doc_id``, ``item_id``, ``windows``, ``coverage``, ``slots``.
 
     ``windows`` counts the item's places met, ``coverage`` is their share of the item (0 to 1), ``slots`` the values
-    put into its placeholders.  Null and empty texts hold nothing; items of fewer than ``WIDTH + STEP - 1`` template
+    put into its placeholders.  Null and empty texts hold nothing; items of fewer than ``WIDTH`` template
     words are too short to tell.  Rows with one ``doc_id`` are one document, repeated items one item; rows without
     id are left out.  Either table may be empty.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     lower = items.select("item_id", F.lower("text").alias("text"))  # for copies whose capitals are gone
-    length = F.size(raw_words(F.col("text")))
-    sizes = items.select("item_id", length.alias("words")).where(length >= WIDTH + STEP - 1).groupBy("item_id").agg(F.max("words").alias("words"))
-    index = (_windows(items, "item_id", 1).unionAll(_windows(lower, "item_id", 1)).dropDuplicates(["item_id", "pos", "hash"])
-             .join(sizes, "item_id").select("item_id", "words", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots")))
-    met = _windows(texts(docs).where("doc_id is not null"), "doc_id", STEP).join(bounded_broadcast(index), "hash")
+    index = (_windows(items, "item_id").unionAll(_windows(lower, "item_id")).dropDuplicates(["item_id", "total", "pos", "hash"])
+             .select("item_id", "total", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots")))
+    met = _windows(texts(docs).where("doc_id is not null"), "doc_id").drop("total").join(bounded_broadcast(index), "hash")
     pairs = F.when(F.col("slots").isNotNull() & F.col("item_slots").isNotNull(), F.arrays_zip("item_slots", "slots"))
-    copies = (met.groupBy("doc_id", "item_id", "words", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    copies = (met.groupBy("doc_id", "item_id", "total", (F.col("pos") - F.col("item_pos")).alias("shift"))
               .agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("filled")))
     consistent = F.size(F.array_distinct(F.transform("filled", lambda p: p["item_slots"]))) == F.size("filled")
-    found = (copies.where(consistent).groupBy("doc_id", "item_id", "words")
+    found = (copies.where(consistent).groupBy("doc_id", "item_id", "total")
              .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("windows"),
                   F.size(F.array_distinct(F.flatten(F.collect_list("filled")))).cast("long").alias("slots")))
-    coverage = F.least(F.lit(1.0), F.col("windows") * STEP / (F.col("words") - (WIDTH - 1)))
+    coverage = F.least(F.lit(1.0), F.col("windows") / (F.col("total") - (WIDTH - 1)))
+    best = F.max(F.struct("coverage", "windows", "slots")).alias("best")  # texts of one item that differ in length
     return (found.withColumn("coverage", coverage).where((F.col("coverage") >= 0.5) | (F.col("windows") >= RUN))
-            .select("doc_id", "item_id", "windows", "coverage", "slots"))
+            .groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.windows", "best.coverage", "best.slots"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

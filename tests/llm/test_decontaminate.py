@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from ratewell.llm import decontaminate
 
 rng = random.Random(3)
@@ -36,3 +38,22 @@ def test_leaks(spark, frame):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted("10 15 17 18 19 21 23 None".split())
     assert decontaminate.leaks(frame(DOCS), items(spark, ITEMS).limit(0)).count() == 0
     assert decontaminate.leaks(frame(DOCS).limit(0), items(spark, ITEMS)).count() == 0
+
+
+def test_every_offset_and_values_of_any_length(spark, frame):
+    """Values that turn decimal, signed or get thousands, and longer names, at all places; a slot stays one value."""
+    short = "my friend Anna keeps 2 dollars for 5 pens and the shop sells 35 pens to us"
+    other = "my friend Clara Maria Jones keeps 1.50 dollars for -7 pens and the shop sells 1,250.75 pens to us"
+    chain = "take 4 boxes from room 12 and put 30 boxes into room 9 then carry 4 boxes back"
+    changed = chain.replace("4 boxes", "2,400 boxes").replace("12", "0.5").replace("30", "1,000,000")
+    twisted = "take 3 boxes from room 12.5 and put 7 boxes into room 12.5 then carry 8,000 boxes back"
+    docs = [(10 * k + offset, prose(20 + offset) + " " + text + " " + prose(11)) for k, text in enumerate([other, changed, twisted, short]) for offset in range(3)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(docs), items(spark, [(1, short), (2, chain)])).collect()}
+    assert got == {(0 + k, 1) for k in range(3)} | {(10 + k, 2) for k in range(3)} | {(30 + k, 1) for k in range(3)}
+
+
+def test_a_number_is_one_word(spark):
+    text = "Pay 62.5 or 1,200 of -3 (+4) at .5 and 7-4, 3x − 2.5kg by 1.250,50 in 2019. Then ask Mary Ann Smith-Jones now"
+    row = spark.createDataFrame([(text,)], "text string").select(decontaminate.raw_words(F.col("text")).alias("w")).first()
+    assert row.w == ["pay", "62.5", "or", "1,200", "of", "-3", "+4", "at", ".5", "and", "7", "4", "3x", "2.5kg", "by", "1.250,50", "in", "2019",
+                     "then", "ask", "\x01mary \x01ann \x01smith-jones", "now"]
