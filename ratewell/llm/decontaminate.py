@@ -6,7 +6,11 @@ and so are up to ``NAMES`` words of one name.  Items and documents give every wi
 any run of ``WIDTH`` they share meets one.  Windows join by hash.  Along each copy (item and shift of the places) a slot
 value of the item must always stand for the same value in the document; copies with contradicting slots are no copies.
 
-A document leaks an item when its windows cover half of the item's template, or 15 words of it.
+Windows of fewer than ``LITERALS`` words that are no placeholders (dense ones) say little as templates: they join by
+the hash of their own words, values included, so a run of numbers counts where the document has the same numbers.
+
+A document leaks an item when its windows cover half of the item's template, or 15 words of it, or half of the
+windows that join as templates, if these are at least ``PLAIN`` (a dense item with other values).
 """
 
 from __future__ import annotations
@@ -18,8 +22,10 @@ from ratewell.llm.common import bounded_broadcast, texts
 
 #: Words in a window; words that are one name when they follow each other.
 WIDTH, NAMES = 6, 4
-#: Words in a window that must be no placeholders; windows a run needs to count by itself.
+#: Words in a window that must be no placeholders to join as a template; windows a run needs to count by itself.
 LITERALS, RUN = 3, 10
+#: Least windows that join as templates for their share alone to tell an item.
+PLAIN = 3
 NUMBER, NAME, UNIT = "0n", "0p", "0u"
 #: Words taken as units of measure or money.
 UNITS = ("kg", "km", "cm", "mm", "mg", "ml", "lb", "lbs", "oz", "mph", "kmh", "kwh", "kw", "ghz", "mhz", "gb", "mb", "usd", "eur",
@@ -53,7 +59,7 @@ def template(words: Column) -> Column:
 
 
 def _windows(rows: DataFrame, key: str) -> DataFrame:
-    """(key, total, pos, hash, slots): every window with enough words that are no placeholders; ``total`` words has the text."""
+    """(key, total, pos, hash, slots, dense): every window of the text of ``total`` words."""
     at = F.expr(f"sequence(1, size(words) - {WIDTH} + 1)")
     placed = (rows.select(key, raw_words(F.col("text")).alias("words")).where(F.size("words") >= WIDTH)
               .select(key, "words", template(F.col("words")).alias("form"))
@@ -62,30 +68,36 @@ def _windows(rows: DataFrame, key: str) -> DataFrame:
     hole = F.col("w.form").getItem
     holes = sum((hole(k).isin(NUMBER, NAME, UNIT).cast("int") for k in range(WIDTH)), F.lit(0))
     slots = F.when(holes > 0, F.filter("w.words", lambda w: w.startswith("\x01") | _is_number(w) | w.isin(*UNITS)))
-    return placed.where(holes <= WIDTH - LITERALS).select(key, "total", F.col("w.pos").alias("pos"), F.xxhash64("w.form").alias("hash"), slots.alias("slots"))
+    dense = holes > WIDTH - LITERALS
+    code = F.when(dense, F.xxhash64(F.lit(True), "w.words")).otherwise(F.xxhash64("w.form"))
+    return placed.select(key, "total", F.col("w.pos").alias("pos"), code.alias("hash"), slots.alias("slots"), dense.alias("dense"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each document and benchmark item it holds: ``doc_id``, ``item_id``, ``windows``, ``coverage``, ``slots``.
 
-    ``windows`` counts the item's places met, ``coverage`` is their share of the item (0 to 1), ``slots`` the values
-    put into its placeholders.  Null and empty texts hold nothing; items of fewer than ``WIDTH`` template
+    ``windows`` counts the item's places met, ``coverage`` is their share of the item, or of its places that join as
+    templates if that is more (0 to 1), ``slots`` the values put into its placeholders.  Null and empty texts hold nothing; items of fewer than ``WIDTH`` template
     words are too short to tell.  Rows with one ``doc_id`` are one document, repeated items one item; rows without
     id are left out.  Either table may be empty.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     lower = items.select("item_id", F.lower("text").alias("text"))  # for copies whose capitals are gone
     index = (_windows(items, "item_id").unionAll(_windows(lower, "item_id")).dropDuplicates(["item_id", "total", "pos", "hash"])
-             .select("item_id", "total", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots")))
-    met = _windows(texts(docs).where("doc_id is not null"), "doc_id").drop("total").join(bounded_broadcast(index), "hash")
+             .select("item_id", "total", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "dense"))
+    plain = F.when(~F.col("dense"), F.col("item_pos"))
+    sizes = index.groupBy("item_id", "total").agg(F.count_distinct(plain).alias("n_plain"))
+    index = index.join(sizes, ["item_id", "total"])
+    met = _windows(texts(docs).where("doc_id is not null"), "doc_id").drop("total", "dense").join(bounded_broadcast(index), "hash")
     pairs = F.when(F.col("slots").isNotNull() & F.col("item_slots").isNotNull(), F.arrays_zip("item_slots", "slots"))
-    copies = (met.groupBy("doc_id", "item_id", "total", (F.col("pos") - F.col("item_pos")).alias("shift"))
-              .agg(F.collect_set("item_pos").alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("filled")))
+    copies = (met.groupBy("doc_id", "item_id", "total", "n_plain", (F.col("pos") - F.col("item_pos")).alias("shift"))
+              .agg(F.collect_set("item_pos").alias("places"), F.collect_set(plain).alias("plain"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("filled")))
     consistent = F.size(F.array_distinct(F.transform("filled", lambda p: p["item_slots"]))) == F.size("filled")
-    found = (copies.where(consistent).groupBy("doc_id", "item_id", "total")
+    found = (copies.where(consistent).groupBy("doc_id", "item_id", "total", "n_plain")
              .agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("windows"),
+                  F.size(F.array_distinct(F.flatten(F.collect_list("plain")))).alias("plain"),
                   F.size(F.array_distinct(F.flatten(F.collect_list("filled")))).cast("long").alias("slots")))
-    coverage = F.least(F.lit(1.0), F.col("windows") / (F.col("total") - (WIDTH - 1)))
+    coverage = F.greatest(F.col("windows") / (F.col("total") - (WIDTH - 1)), F.when(F.col("n_plain") >= PLAIN, F.col("plain") / F.col("n_plain")))
     best = F.max(F.struct("coverage", "windows", "slots")).alias("best")  # texts of one item that differ in length
     return (found.withColumn("coverage", coverage).where((F.col("coverage") >= 0.5) | (F.col("windows") >= RUN))
             .groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.windows", "best.coverage", "best.slots"))

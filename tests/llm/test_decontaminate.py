@@ -57,3 +57,17 @@ def test_a_number_is_one_word(spark):
     row = spark.createDataFrame([(text,)], "text string").select(decontaminate.raw_words(F.col("text")).alias("w")).first()
     assert row.w == ["pay", "62.5", "or", "1,200", "of", "-3", "+4", "at", ".5", "and", "7", "4", "3x", "2.5kg", "by", "1.250,50", "in", "2019",
                      "then", "ask", "\x01mary \x01ann \x01smith-jones", "now"]
+
+
+def test_dense_items(spark, frame):
+    """Arithmetic and lists of names are found as verbatim copies; other numbers in the same places are none."""
+    dense = ["Compute 12 + 7 * 3 - 4 and 15 * 6 - 8 / 2, then add 31 + 18 * 5 to 44 / 11 - 2.",
+             "Solve for x: 3x + 12 = 48, 5x - 7 = 33, 2x + 9 = 41.",
+             "we know that Anna, Boris, Clara, David, Emil, Fritz, Greta and Hans met at 3, 4, 5, 6 and 7 in 2019"]
+    mixed = "how much is 3 plus 4 minus 5 times 6 over 7 of 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26 27"
+    wanted = [(k, text) for k, text in enumerate(dense)] + [(3, mixed)]
+    docs = [(10 * k + offset, prose(20 + offset) + ". " + text + " " + prose(11)) for k, text in wanted for offset in range(3)]
+    docs += [(90, prose(9) + ". Solve the rest: 4x + 11 = 49, 6x - 8 = 34, 3x + 7 = 51. " + prose(9)), (91, "1 2 3 4 5 6 7 8 9 10 11 12 " * 20),
+             (92, "how much is 30 plus 40 minus 50 times 60 over 70 of " + " ".join(str(k) for k in range(80, 280, 10)))]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(docs), items(spark, wanted)).collect()}
+    assert got == {(10 * k + offset, k) for k in range(4) for offset in range(3)} | {(92, 3)}
