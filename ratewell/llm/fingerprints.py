@@ -1,7 +1,8 @@
 """Document fingerprints by invertible Bloom lookup sketches.
 
 A text is cut into paragraphs at line ends, and inside long ones after words chosen by their last bytes, so an edit
-moves few cuts.  Each paragraph (and which repetition it is) has a 64-bit digest.  A sketch adds every digest to
+moves few cuts.  What is longer than ``LONG`` bytes all the same (no blanks, or the same words again and again) is cut
+where a rolling hash of the last ``WINDOW`` bytes says so, into pieces of ``SMALLEST`` to ``LARGEST`` bytes.  Each paragraph (and which repetition it is) has a 64-bit digest.  A sketch adds every digest to
 three cells: a count, the xor of the digests, the xor of their checks.  The difference of two sketches holds only what
 the texts don't share; peeling cells with a single digest recovers those digests.  If the peeling gets stuck, sketches
 four times as large are made, until it succeeds.  All documents of a block are peeled together in numpy.
@@ -23,6 +24,10 @@ from ratewell.llm.common import Scratch, mixed, texts
 
 HASHES, CELLS, GROW = 3, 8, 4
 BLOCK_CHARS = 2_000_000
+#: Bytes: pieces beyond the first are cut further; window of the rolling hash; limits of what that makes.
+LONG, WINDOW, SMALLEST, LARGEST = 512, 12, 32, 256
+#: One place in so many is a cut.
+SELDOM = np.uint64(64)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SALTS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
 BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
@@ -41,8 +46,6 @@ def paragraph_digests(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     blank = blank[blank - (ends - sizes)[np.searchsorted(ends, blank, "right")] >= 3]  # the three bytes are the text's own
     cut[blank[(b[blank - 1].astype(np.int64) * 31 + b[blank - 2].astype(np.int64) * 17 + b[blank - 3]) % 8 == 0]] = True
     cut[ends[sizes > 0] - 1] = True
-    stop = np.flatnonzero(cut) + 1
-    start = np.concatenate([[0], stop[:-1]])
     power = np.full(len(b) + 1, MULTIPLIER)
     power[0] = 1
     power = np.cumprod(power, dtype=np.uint64)
@@ -50,6 +53,13 @@ def paragraph_digests(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.full(len(b) + 1, np.uint64(pow(int(MULTIPLIER), -1, 1 << 64)))
     inverse[0] = 1
     inverse = np.cumprod(inverse, dtype=np.uint64)
+    stop = np.flatnonzero(cut) + 1
+    start = np.concatenate([[0], stop[:-1]])
+    far = stop - start > LONG
+    for x, y in zip(start[far].tolist(), stop[far].tolist()):
+        cut[_inner_cuts(total[x:y + 1], inverse[x:y + 1]) + x - 1] = True
+    stop = np.flatnonzero(cut) + 1
+    start = np.concatenate([[0], stop[:-1]])
     digest = mixed((total[stop] - total[start]) * inverse[start] + (stop - start).astype(np.uint64) * SALTS[0])
     owner = np.searchsorted(ends, start, "right")
     order = np.lexsort((digest, owner))
@@ -59,6 +69,20 @@ def paragraph_digests(found: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return owner, mixed(digest + (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64) * SALTS[1])
 
 
+def _inner_cuts(total: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+    """Ends of the pieces inside one piece, but for the last; by its running hashes before each byte and at its end."""
+    n = len(total) - 1
+    rolling = mixed((total[WINDOW:] - total[:-WINDOW]) * inverse[:-WINDOW])
+    chosen = np.flatnonzero(rolling % SELDOM == 0) + WINDOW
+    ends, at, k = [], 0, 0
+    while n - at > SMALLEST:
+        k += int(np.searchsorted(chosen[k:], at + SMALLEST))
+        at = min(at + LARGEST, int(chosen[k]) if k < len(chosen) else n)
+        if at < n:
+            ends.append(at)
+    return np.array(ends, np.int64)
+
+
 def sketches(owner: np.ndarray, digest: np.ndarray, n: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts, digests and checks of ``n`` sketches of ``HASHES * cells`` cells, in one row each."""
     size = HASHES * cells
@@ -76,11 +100,15 @@ def _add(count, key, check, owner, digest, cells, sign) -> None:
         np.bitwise_xor.at(check, at, mark)
 
 
-def peeled(count, key, check, cells: int) -> np.ndarray:
-    """Digests recovered from each difference of two sketches, -1 where the peeling gets stuck."""
+def peeled(count, key, check, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """How many digests each difference of two sketches gives, -1 where the peeling gets stuck; and these digests.
+
+    The digests come as (difference, digest, side); side 1 is the sketch subtracted from, -1 the subtracted one.
+    Those of a stuck difference are left out.
+    """
     n, size = count.shape
     count, key, check = count.ravel().copy(), key.ravel().copy(), check.ravel().copy()
-    found = np.zeros(n, np.int64)
+    found, rows = np.zeros(n, np.int64), []
     while True:
         pure = np.flatnonzero(((count == 1) | (count == -1)) & (mixed(key ^ SALTS[2]) == check))
         if not len(pure):
@@ -91,13 +119,22 @@ def peeled(count, key, check, cells: int) -> np.ndarray:
         first = np.concatenate([[True], (digest[1:] != digest[:-1]) | (owner[1:] != owner[:-1])])
         owner, digest, sign = owner[first], digest[first], sign[first]
         np.add.at(found, owner, 1)
+        rows.append((owner, digest, sign))
         _add(count, key, check, owner, digest, cells, -sign)
     stuck = ((count != 0) | (key != 0)).reshape(n, size).any(axis=1)
-    return np.where(stuck, -1, found)
+    owner, digest, side = (np.concatenate(x) for x in zip((np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)), *rows))
+    whole = ~stuck[owner]
+    return np.where(stuck, -1, found), owner[whole], digest[whole], side[whole]
 
 
 def differences(owner: np.ndarray, digest: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
     """Number of digests that only one of texts ``left[k]`` and ``right[k]`` has, by sketches that grow until they peel."""
+    return differing(owner, digest, left, right, n, False)[0]
+
+
+def differing(owner: np.ndarray, digest: np.ndarray, left: np.ndarray, right: np.ndarray, n: int, keep: bool = True) -> tuple[np.ndarray, ...]:
+    """The numbers of ``differences``; and, to ``keep``, the digests as (k, digest, side), 1 of ``left[k]``, -1 of ``right[k]``."""
+    rows = [(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))]
     out, open_pairs, cells = np.full(len(left), -1), np.arange(len(left)), CELLS
     starts = np.searchsorted(owner, np.arange(n + 1))
     while len(open_pairs):
@@ -108,9 +145,37 @@ def differences(owner: np.ndarray, digest: np.ndarray, left: np.ndarray, right:
         for a in range(0, len(open_pairs), step):
             part = open_pairs[a:a + step]
             x, y = np.searchsorted(used, left[part]), np.searchsorted(used, right[part])
-            out[part] = peeled(count[x] - count[y], key[x] ^ key[y], check[x] ^ check[y], cells)
+            out[part], at, apart, side = peeled(count[x] - count[y], key[x] ^ key[y], check[x] ^ check[y], cells)
+            if keep:
+                rows.append((part[at], apart, side))
         open_pairs, cells = np.flatnonzero(out < 0), cells * GROW
-    return out
+    return out, *(np.concatenate(x) for x in zip(*rows))
+
+
+def differing_paragraphs(pairs: DataFrame) -> DataFrame:
+    """``pair_id``, ``digest``, ``side`` of every paragraph that only one of the texts of (pair_id, left, right) has.
+
+    ``side`` is 1 for a paragraph of the left text, -1 for one of the right.  Null texts are empty.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("pair_id", "left", "right")]
+            a = 0
+            while a < len(columns[0]):
+                b, size = a, 0
+                while b < len(columns[0]) and (b == a or size < BLOCK_CHARS):
+                    size += len(columns[1][b] or "") + len(columns[2][b] or "")
+                    b += 1
+                n = b - a
+                owner, digest = paragraph_digests([t or "" for t in columns[1][a:b] + columns[2][a:b]])
+                _, at, apart, side = differing(owner, digest, np.arange(n), np.arange(n) + n, 2 * n)
+                yield pa.RecordBatch.from_arrays([pa.array([columns[0][a + k] for k in at], pa.int64()), pa.array(apart.view(np.int64), pa.int64()),
+                                                  pa.array(side, pa.int32())], ["pair_id", "digest", "side"])
+                a = b
+
+    rows = pairs.select(F.col("pair_id").cast("long").alias("pair_id"), F.col("left").cast("string").alias("left"), F.col("right").cast("string").alias("right"))
+    return rows.mapInArrow(run, "pair_id long, digest long, side int")
 
 
 def _written(count, key, check) -> list[str]:

@@ -64,3 +64,31 @@ def test_documents(spark, frame):
         assert fp.fingerprints(frame(rows).limit(0), scratch).count() == 0
         assert fp.fingerprints(frame([(1, "a b c")]), scratch).first().near_next == 1.0
         scratch.close()
+
+
+def test_unbroken_and_repetitive_texts():
+    """Texts without blanks or of the same words: half a text stays half alike, an edit moves few cuts, others share nothing."""
+    rng = random.Random(12)
+    cjk = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(3000))
+    base64 = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(9000))
+    other = "".join(chr(rng.randint(0xAC00, 0xD7A3)) for _ in range(3000))
+    found = [cjk, base64, "x" * 9000, "alpha " * 1500, other]  # no blank of these is a cut
+    rows = fp.compare_block(found, [other, other, other, other, cjk])
+    for row, text in zip(rows, found):
+        assert 0.1 < row[4] < 0.7 and row[5] == 0, text[:10]
+        owner, _ = fp.paragraph_digests([text])
+        assert len(text.encode()) / fp.LARGEST <= len(owner) <= len(text.encode()) / fp.SMALLEST + 1
+    for text in (cjk, base64):
+        owner, digest = fp.paragraph_digests([text, text[:40] + "!" + text[40:]])
+        assert fp.differences(owner, digest, np.array([0]), np.array([1]), 2)[0] <= 6
+
+
+def test_differing_digests_and_their_side(spark):
+    left, right = "one\ntwo\nthree\ntwo\n", "one\nfour\ntwo\n"
+    want = {}
+    for k, text in ((1, left), (-1, right)):
+        want[k] = set(fp.paragraph_digests([text])[1].view(np.int64).tolist())
+    pairs = spark.createDataFrame([(7, left, right), (8, left, left), (9, None, right)], "pair_id long, left string, right string")
+    got = {(r.pair_id, r.side, r.digest) for r in fp.differing_paragraphs(pairs).collect()}
+    assert got == {(7, 1, d) for d in want[1] - want[-1]} | {(7, -1, d) for d in want[-1] - want[1]} | {(9, -1, d) for d in want[-1]}
+    assert len([g for g in got if g[0] == 7]) == 3
