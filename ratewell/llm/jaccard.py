@@ -221,15 +221,19 @@ def linked_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Dat
     sets = scratch.write(docs.mapInArrow(keyed_sets, "doc_id long, n int, digest binary, profile array<short>, keys array<long>"))
     first = cut(sets.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("members")))
     copies = (sets.select("doc_id", "digest").join(first.where("members > 1"), "digest")
-              .where("doc_id <> node").select("doc_id").distinct())
-    nodes = (sets.where("digest is not null and doc_id is not null").join(bounded_broadcast(copies), "doc_id", "left_anti")
-             .withColumnRenamed("doc_id", "node"))
+              .where("doc_id <> node").select("doc_id", "digest").distinct())
+    whole = sets.where("digest is not null and doc_id is not null")
+    nodes = whole.join(bounded_broadcast(copies), ["doc_id", "digest"], "left_anti").withColumnRenamed("doc_id", "node")
+    code = F.xxhash64("digest")
+    several = whole.groupBy("doc_id").agg(F.min(code).alias("low"), F.max(code).alias("high")).where("low < high").select("doc_id")
+    own = (whole.select("doc_id", "digest").join(bounded_broadcast(several), "doc_id").join(first, "digest")
+           .where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct())
     keyed = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     lists = scratch.write(keyed.join(shared, "key"))
     scratch.release()
     profiles = nodes.select("node", "n", "profile")
-    links = _links(lists, profiles, docs, scratch, width, percent)
+    links = _links(lists, profiles, docs, scratch, width, percent).unionAll(own)
     labels = connected(links)
     of_digest = (first.select("digest", "node").join(labels, "node", "left")
                  .select("digest", F.coalesce("label", "node").alias("component_id")))

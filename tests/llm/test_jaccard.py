@@ -103,6 +103,14 @@ def test_odd_rows(frame):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted("1 2 3 4 4 6 7 9 12 13 21 None".split())
 
 
+def test_a_document_of_several_texts(frame):
+    """A document that is a copy by one of its texts keeps the links of the others, and is one component."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (5, a), (5, b), (9, b + " more"), (12, c), (13, c), (13, "b"), (14, "b"), (20, c + " more")]
+    got = sorted(tuple(r) for r in jaccard.linked_components(frame(rows)).collect())
+    assert got == brute(rows) and {(i, c) for i, _, c in got} == {(1, 1), (5, 1), (9, 1), (12, 12), (13, 12), (14, 12), (20, 12)}
+
+
 def test_chain_is_one_component(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in connected(links).collect()}
