@@ -26,6 +26,8 @@ MARK = np.uint64(ord("_"))
 SHIFT = np.uint64(21)
 #: N-grams a task holds before it sums them.
 WAITING = 4_000_000
+#: Texts are in a language from this share of this quantile of the scores of its own documents.
+MARGIN, LOW = 0.8, 0.01
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -135,9 +137,22 @@ def identify(docs: DataFrame, parts: int = 4, held_out: int = 2, top: int = 400)
             .select("doc_id", "held_out", "p.lang_pred", "p.score"))
 
 
+def least_scores(rows: DataFrame, profiles: dict[str, list[int]], top: int = 400) -> dict[str, float]:
+    """Score from which a text counts as of a language: ``MARGIN`` of the ``LOW`` quantile of the scores of the language's own
+    documents, of ``rows`` (text, lang) that are predicted right."""
+    own = rows.select("lang", identified(F.col("text"), profiles, top).alias("p")).where("lang = p.lang_pred and p.score > 0")
+    return {r.lang: MARGIN * r.low for r in own.groupBy("lang").agg(F.percentile_approx("p.score", LOW, 10_000).alias("low")).collect()}
+
+
 def in_known_language(docs: DataFrame, parts: int = 4, held_out: int = 2, top: int = 400) -> DataFrame:
-    """The rows of ``docs`` whose text is in a learned language; texts without letters or any known n-gram go."""
+    """The rows of ``docs`` whose text is in a learned language; texts without letters and those that score less than
+    ``least_scores`` of the training folds go."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    found = language_profiles(rows.where(~in_fold(docs["doc_id"], parts, held_out)), top)
+    taught = rows.where(~in_fold(docs["doc_id"], parts, held_out))
+    found = language_profiles(taught, top)
+    least = least_scores(taught, found, top) if found else {}
+    enough = F.lit(False)
+    for lang, score in least.items():
+        enough = enough | (F.col("p.lang_pred") == lang) & (F.col("p.score") >= score)
     row = docs.select(F.struct("*").alias("row")).withColumn("p", identified(F.col("row.text"), found, top))
-    return row.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") > 0)).select("row.*")
+    return row.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") > 0) & enough).select("row.*")

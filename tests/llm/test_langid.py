@@ -42,3 +42,13 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
     assert got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0] > 0.97
+
+
+def test_unlearned_language_goes(spark, frame):
+    """Finnish and gibberish in Latin letters go, documents of the learned languages stay."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text", "lang").limit(300).collect()
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."
+    odd = [(10**9, finnish, None), (10**9 + 1, "xqzj kwvx qqjz zxkv wqjx vkzq jxqw " * 5, None), (10**9 + 2, "xqzj", None)]
+    kept = {r.doc_id for r in langid.in_known_language(frame([tuple(r) for r in docs] + odd)).collect()}
+    assert not kept & {k for k, _, _ in odd}
+    assert len(kept) > 0.97 * len(docs)
