@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewell.llm import bpe, chat, decontaminate, fingerprints, jaccard, langid, licences, lines, quality, tokenfiles
+from ratewell.llm import bpe, chat, decontaminate, divergence, fingerprints, jaccard, langid, licences, lines, quality, tokenfiles
 from ratewell.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +127,27 @@ def document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Licence families that documents name or quote."""
     return licences.scan(table(spark, folder, "documents"))
+
+
+#: Every count and share as in the contract: a dense table of all groups and kept terms of each language.
+DIVERGENCE_SQL = r"""
+with docs as (select coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as r from documents),
+found as (select lang, source, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+vocab as materialized (select lang, term, count(*)::hugeint as lc from found group by lang, term having count(distinct r) >= 30),
+uses as materialized (select lang, source, term, count(*)::hugeint as c from found semi join vocab using (lang, term) group by all),
+v as (select lang, count(*)::hugeint as v, sum(lc)::hugeint as n from vocab group by lang),
+grp as materialized (select g.lang, g.source, coalesce(v.v, 0) as v, coalesce(v.n, 0) as lang_n, coalesce(t.n, 0) as n from (select distinct lang, source from docs) g
+  left join v using (lang) left join (select lang, source, sum(c)::hugeint as n from uses group by all) t using (lang, source)),
+p as materialized (select grp.lang, grp.source, term, coalesce(c, 0) as c, 1 + 1000000000::hugeint * (coalesce(c, 0) + 5) // (grp.n + 5 * grp.v) as p,
+  1 + 1000000000::hugeint * (lc + 5) // (grp.lang_n + 5 * grp.v) as q from grp join vocab using (lang) left join uses using (lang, source, term)),
+pair as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(d.f, 0)::bigint as value from grp a join grp b on a.lang = b.lang and a.source <> b.source
+  left join (select x.lang, x.source as s, y.source as t, sum(abs(x.p - y.p)) as f from p x join p y on x.lang = y.lang and x.term = y.term group by all) d on d.lang = a.lang and d.s = a.source and d.t = b.source),
+term as (select lang, source, 'term' as part, term as item, (p - q)::bigint as value from p where c > 0 and p > q),
+ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank from (select * from pair union all select * from term))
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 50"""
+
+
+@query("op11_source_divergence", DIVERGENCE_SQL)
+def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the term use of every source is from the others of its language, and by which terms."""
+    return divergence.audit(table(spark, folder, "documents"))
