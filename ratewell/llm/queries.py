@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewell.llm import bpe, chat, decontaminate, divergence, fingerprints, jaccard, langid, licences, lines, quality, tokenfiles
+from ratewell.llm import bpe, chat, decontaminate, divergence, fingerprints, jaccard, langid, licences, lines, minhash, quality, tokenfiles
 from ratewell.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,21 @@ select lang, source, part, item, value, rank from ranked where part = 'pair' or
 def source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     """How far the term use of every source is from the others of its language, and by which terms."""
     return divergence.audit(table(spark, folder, "documents"))
+
+
+NEAR_DEDUP_SQL = f"""
+with recursive w as (select doc_id, {WORDS} a from documents),
+s as (select distinct doc_id, unnest(case when len(a) = 0 then [] when len(a) < 2 then a else list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]) end) sh from w),
+n as (select doc_id, count(*) n from s group by doc_id),
+p as (select x.doc_id a, y.doc_id b, count(*) c from s x join s y using (sh) where x.doc_id < y.doc_id group by 1, 2),
+l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)),
+e as (select a, b from l union all select b, a from l),
+reach as (select doc_id, doc_id other from documents union select reach.doc_id, e.b from reach join e on e.a = reach.other)
+select doc_id, coalesce(any_value(n.n), 0)::bigint n_shingles, min(other) component_id, doc_id = min(other) kept
+from reach left join n using (doc_id) group by doc_id"""
+
+
+@query("op12_minhash_dedup", NEAR_DEDUP_SQL)
+def minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """The near-copy component of every document and which one is kept: 2-word shingles, at least 80 of 100 in common."""
+    return minhash.near_duplicates(table(spark, folder, "documents"))
