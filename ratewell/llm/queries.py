@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ratewell.llm import bpe, chat, decontaminate, divergence, fingerprints, jaccard, langid, licences, lines, minhash, quality, tokenfiles
+from ratewell.llm import bpe, chat, decontaminate, divergence, fingerprints, jaccard, langid, licences, lines, minhash, quality, structure, tokenfiles
 from ratewell.llm.common import Scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,52 @@ from reach left join n using (doc_id) group by doc_id"""
 def minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """The near-copy component of every document and which one is kept: 2-word shingles, at least 80 of 100 in common."""
     return minhash.near_duplicates(table(spark, folder, "documents"))
+
+
+def _structure_sql() -> str:
+    """Damage, faults and the cheapest edits, row by row from the end: each state's cost, edits and repaired rows."""
+    def made(cost: str, edits: str, lines: str) -> str:
+        return "{'c': " + cost + ", 'a': " + edits + ", 'r': " + lines + "}"
+
+    def after(state: str, cost: str, letter: str, line: str | None) -> str:
+        return made(f"{state}.c + {cost}", f"'{letter}' || {state}.a", f"list_prepend({line}, {state}.r)" if line else f"{state}.r")
+
+    def least(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    onward = {"z": ("t", "user"), "o": ("t", "user"), "t": ("h", "assistant"), "h": ("t", "user")}  # states: start, system, user, assistant
+    kept = {"z": {"s": "o", "u": "t"}, "o": {"u": "t"}, "t": {"a": "h"}, "h": {"u": "t"}}
+    moves = []
+    for state, (to, role) in onward.items():
+        others = [after(to, "3 + w", "R", f"'{role}:' || text")]
+        keep = " ".join(f"when ini = '{i}' then {after(k, 'w', 'K', 'line')}" for i, k in kept[state].items())
+        moves.append(f"case when fault in (1, 2) then {after(state, '4', 'D', None)} else {least(after(state, '4', 'D', None), *others, f'case {keep} else {others[0]} end')} end as {state}")
+    blank = r"[\x20\x09-\x0D]"
+    return rf"""
+with recursive keyed as (select conv_id, turn::bigint as turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''),
+   lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: case when x >= 0 then xor(c, x) when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as crc from conversations),
+kinds as (select *, xor(crc, 4294967295) % 20 as kind from keyed),
+rows as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(case when kind = 3 then [1, 2] else [1] end) as copy from kinds where kind <> 0),
+placed as materialized (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos from rows),
+faulty as materialized (select *, role || ':' || text as line, left(role, 1) as ini, case when not regexp_matches(text, '[^ 	-
+]') then 1
+   when row_number() over (partition by conv_id, role, text order by pos) > 1 then 2 when regexp_matches(text, '[^.!? 	-
+]{blank}*$') then 3 else 0 end as fault from placed),
+pairs as (select *, lag(ini) over (partition by conv_id order by pos) as prior from faulty),
+sums as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (where fault = 1) as blank, count(*) filter (where fault = 2) as duplicate,
+   count(*) filter (where fault = 3) as truncated, count(*) filter (where prior is not null and prior || ini not in ('su', 'ua', 'au')) as illegal, count(*) as n from pairs group by conv_id),
+back as (select conv_id, n + 1 as pos, {made("0", "''", "[]::varchar[]")} as z, {made("6", "'II'", "['user:', 'assistant:']")} as o, {made("3", "'I'", "['assistant:']")} as t, {made("0", "''", "[]::varchar[]")} as h from sums
+  union all select conv_id, pos, {least("z", after("t2", "3", "I", "'user:'"))}, {least("o", after("t2", "3", "I", "'user:'"))}, t2, {least("h", after("t", "3", "I", "'user:'"))} from (
+   select *, {least("t", after("h", "3", "I", "'assistant:'"))} as t2 from (
+    select conv_id, pos, {', '.join(moves)} from (select b.conv_id, f.pos, b.z, b.o, b.t, b.h, f.fault, f.ini, f.text, f.line, case when f.fault = 3 then 3 else 0 end as w
+     from back b join faulty f on f.conv_id is not distinct from b.conv_id and f.pos = b.pos - 1)))),
+done as (select conv_id, z from back where pos = 1)
+select i.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+ coalesce(z.c, 0)::bigint as cost, coalesce(z.a, '') as audit, sha256(coalesce(array_to_string(z.r, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) i left join sums s on s.conv_id is not distinct from i.conv_id left join done d on d.conv_id is not distinct from i.conv_id"""
+
+
+@query("op13_structure_repair", _structure_sql())
+def structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations with seeded faults, and the cheapest edits that make them sound again."""
+    return structure.repair_report(structure.damaged(table(spark, folder, "conversations")))
