@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,6 +72,44 @@ def as_of_join(requests: DataFrame, facts: DataFrame, keys: Sequence[str], reque
         *keys, *[F.col(f"__own.{c}").alias(c) for c in own], *[F.col(f"__found.{c}").alias(c) for c in payload])
 
 
+def nearest_day_join(requests: DataFrame, facts: DataFrame, keys: Sequence[str], request_day: str, fact_day: str,
+                     payload: Sequence[str], tolerance: int, range_days: int = 1024) -> DataFrame:
+    """Each request row with the payload of its key's fact nearest in days, and that fact's date as ``near_day``.
+
+    Facts more than ``tolerance`` days away don't count; of two equally near ones the later is taken.  Requests
+    without one keep null payload and day; so do requests whose key or day is null.  Facts need a day each.
+
+    Facts and requests lie on one time line per key, cut into ranges of ``range_days`` days.  A fact near a border
+    lies in both ranges, so every request sees all it may be given, and a key's line is no single task.  One sort
+    serves both directions: the last fact up to the day and the first from it on, within the tolerance.
+    """
+    keys = list(keys)
+    own = [c for c in requests.columns if c not in keys]
+
+    def day(column: str) -> Column:
+        return F.unix_date(F.col(column).cast("date"))
+
+    def part(days: Column) -> Column:
+        return F.floor(days / range_days).cast("int")
+
+    seen_from = F.sequence(part(day(fact_day) - tolerance), part(day(fact_day) + tolerance))
+    fact_rows = facts.where(F.col(fact_day).isNotNull()).select(
+        *keys, F.explode(seen_from).alias("__range"), day(fact_day).alias("__day"),
+        F.struct(F.col(fact_day).cast("date").alias("near_day"), *payload).alias("__fact"))
+    request_rows = requests.select(*keys, part(day(request_day)).alias("__range"), day(request_day).alias("__day"),
+                                   F.struct(*own).alias("__own"))
+    line = Window.partitionBy(*keys, "__range").orderBy("__day")
+    found = fact_rows.unionByName(request_rows, allowMissingColumns=True).select(
+        "*", F.last("__fact", ignorenulls=True).over(line.rangeBetween(-tolerance, 0)).alias("__past"),
+        F.first("__fact", ignorenulls=True).over(line.rangeBetween(0, tolerance)).alias("__next"))
+    known = [F.col(k).isNotNull() for k in keys]
+    back = F.datediff(F.date_from_unix_date("__day"), F.col("__past.near_day"))
+    ahead = F.datediff(F.col("__next.near_day"), F.date_from_unix_date("__day"))
+    near = F.when((F.col("__next").isNotNull()) & (F.col("__past").isNull() | (ahead <= back)), F.col("__next")).otherwise(F.col("__past"))
+    return found.where(F.col("__own").isNotNull()).withColumn("__near", F.when(reduce(and_, known), near)).select(
+        *keys, *[F.col(f"__own.{c}").alias(c) for c in own], "__near.near_day", *[F.col(f"__near.{c}").alias(c) for c in payload])
+
+
 def look_ahead_audit(facts: DataFrame, requested: DataFrame, as_of) -> DataFrame:
     """Status of each requested (ticker, metric) by its latest filing overall.
 

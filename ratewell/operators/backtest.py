@@ -9,50 +9,47 @@ from pyspark.sql import functions as F
 
 from ratewell import settings as S
 from ratewell.functions.numeric import rounded
+from ratewell.operators.asof import nearest_day_join
 from ratewell.operators.ordered import BLOCK_ROWS, cumulative_counts, value_at
 
 
-def _candidates(targets: DataFrame, bars: DataFrame, tolerance: int) -> DataFrame:
-    """Bars within ``tolerance`` days of each target date, with their preference ``pick`` (0 = the date itself).
+def nearest_price(targets: DataFrame, bars: DataFrame, tolerance: int = 5) -> DataFrame:
+    """Distinct targets (ticker, target_date) with the close nearest to the date, later dates first at equal distance.
 
-    Every target asks for its 2 x tolerance + 1 candidate dates, which turns the range condition into
-    an equality join on (ticker, date) with one bar per candidate at most.
+    Targets without a close within ``tolerance`` days have a null price and date.
     """
-    offsets = [0] + [sign * d for d in range(1, tolerance + 1) for sign in (1, -1)]
-    asked = targets.select("*", F.posexplode(F.array(*[F.lit(o) for o in offsets])).alias("pick", "__days"))
-    return asked.withColumn("date", F.date_add("target_date", F.col("__days"))).drop("__days").join(
-        bars.where(F.col("close").isNotNull()).select("ticker", "date", "close"), ["ticker", "date"])
-
-
-def nearest_price(targets: DataFrame, bars: DataFrame, tolerance: int = 5) -> DataFrame:
-    """Distinct targets (ticker, target_date) with the close nearest to the date, later dates first at equal distance."""
+    closes = bars.where(F.col("close").isNotNull()).select("ticker", "date", F.col("close").alias("price"))
     wanted = targets.select("ticker", "target_date").distinct()
-    found = _candidates(wanted, bars, tolerance).groupBy("ticker", "target_date").agg(
-        F.min_by("close", "pick").alias("price"), F.min_by("date", "pick").alias("price_date"))
-    return wanted.join(found, ["ticker", "target_date"], "left")
+    return nearest_day_join(wanted, closes, ["ticker"], "target_date", "date", ["price"], tolerance).select(
+        "ticker", "target_date", "price", F.col("near_day").alias("price_date"))
 
 
 def forward_returns(recs: DataFrame, bars: DataFrame, horizons: Mapping[str, int] = S.BACKTEST_HORIZONS,
                     tolerance: int = 5) -> DataFrame:
     """One row per recommendation with an entry price, and its percent return per horizon.
 
-    Horizons are trading days, turned into int(1.5 x days) calendar days.  All runs are handled in
-    one job; recs need unique (run_date, ticker).
+    Horizons are trading days, turned into int(1.5 x days) calendar days.  A recommendation is one row per date it
+    asks a price for, on the time line of its ticker; the entry row carries its columns, so nothing is joined back.
+    All runs are handled in one job; recs need unique (run_date, ticker).
     """
-    legs = F.array(F.struct(F.lit("entry").alias("leg"), F.lit(0).alias("days")), *[
-        F.struct(F.lit(name).alias("leg"), F.lit(int(days * 1.5)).alias("days")) for name, days in horizons.items()])
+    own = F.struct(*recs.columns)
+    legs = F.array(F.struct(F.lit("entry").alias("leg"), F.lit(0).alias("days"), own.alias("rec")), *[
+        F.struct(F.lit(name).alias("leg"), F.lit(int(days * 1.5)).alias("days"),
+                 F.lit(None).cast(recs.select(own.alias("r")).schema["r"].dataType).alias("rec"))
+        for name, days in horizons.items()])
     targets = recs.select("run_date", "ticker", F.explode(legs).alias("l")).select(
-        "run_date", "ticker", "l.leg", F.date_add("run_date", F.col("l.days")).alias("target_date"))
-    priced = _candidates(targets, bars, tolerance)
+        "run_date", "ticker", "l.leg", "l.rec", F.date_add("run_date", F.col("l.days")).alias("target_date"))
+    closes = bars.where(F.col("close").isNotNull()).select("ticker", "date", F.col("close").alias("price"))
+    priced = nearest_day_join(targets, closes, ["ticker"], "target_date", "date", ["price"], tolerance)
 
     def price(leg: str):
-        return F.min_by("close", F.when(F.col("leg") == leg, F.col("pick")))
+        return F.max(F.when(F.col("leg") == leg, F.col("price")))
 
     folded = priced.groupBy("run_date", "ticker").agg(
-        price("entry").alias("entry_price"), *[price(h).alias(f"exit_price_{h}") for h in horizons])
+        F.max_by("rec", F.when(F.col("leg") == "entry", F.lit(1))).alias("rec"), price("entry").alias("entry_price"),
+        *[price(h).alias(f"exit_price_{h}") for h in horizons])
     entry = F.col("entry_price")
-    rows = recs.join(folded, ["run_date", "ticker"]).where(entry > 0)
-    return rows.select(*recs.columns, "entry_price", *[
+    return folded.where(entry > 0).select(*[F.col(f"rec.{c}").alias(c) for c in recs.columns], "entry_price", *[
         F.when(F.col(f"exit_price_{h}") > 0, rounded((F.col(f"exit_price_{h}") / entry - 1.0) * 100.0)).alias(
             f"return_{h}") for h in horizons])
 
@@ -135,3 +132,19 @@ def label_changes(current: DataFrame, prior: DataFrame, run_date) -> DataFrame:
         F.col("prior_status") != F.coalesce("investability_status", F.lit(""))).select(
         "ticker", "name", F.lit(run_date).cast("string").alias("run_date"), "prior_status",
         F.col("investability_status").alias("new_status"), "prior_score", F.col("opportunity_score").alias("new_score"))
+
+
+def run_changes(history: DataFrame) -> DataFrame:
+    """Label changes of every run of a history (run_date, ticker, name, investability_status, opportunity_score) against the run before.
+
+    A ticker that the run before doesn't have is 'New', also when an earlier run had it.  Every row is laid beside the
+    same ticker's row of the next run by an equality join on the run's number.
+    """
+    runs = history.select("run_date").distinct().withColumn("run", F.row_number().over(Window.orderBy("run_date")))
+    numbered = history.join(F.broadcast(runs), "run_date")  # one row per run
+    before = numbered.select((F.col("run") + 1).alias("run"), "ticker", F.col("investability_status").alias("prior_status"),
+                             F.col("opportunity_score").alias("prior_score"))
+    return numbered.join(before, ["run", "ticker"], "left").withColumn("prior_status", F.coalesce("prior_status", F.lit("New"))).where(
+        F.col("prior_status") != F.coalesce("investability_status", F.lit(""))).select(
+        "ticker", "name", "run_date", "prior_status", F.col("investability_status").alias("new_status"), "prior_score",
+        F.col("opportunity_score").alias("new_score"))
