@@ -10,7 +10,7 @@ from ratewell.operators.ordered import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-_STORED: dict[tuple[str, str, str], DataFrame] = {}
+_STORED: dict[tuple[str, str, str], tuple] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -28,9 +28,26 @@ def query(name: str, sql: str | None = None):
 def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A run table: written to the shared folder on first use in a session, read from there afterwards.
 
-    A rating run writes its metric table and ratings once and serves every report from them.
+    A rating run writes its metric table and ratings once and serves every report from them.  Tables that change
+    under the same folder are a new input: the names, sizes and times of its files belong to the key.
     """
+    return kept(spark, folder, name, lambda: written(build(), name))
+
+
+def kept(spark: SparkSession, folder: str, name: str, make: Callable[[], object]):
+    """What ``make`` gives, made once for the present files of a folder."""
     key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _STORED:
-        _STORED[key] = written(build(), name)
-    return _STORED[key]
+    state = _input_state(spark, folder)
+    if key not in _STORED or _STORED[key][0] != state:
+        _STORED[key] = state, make()
+    return _STORED[key][1]
+
+
+def _input_state(spark: SparkSession, folder: str) -> tuple:
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(root, True)
+    files = []
+    while found.hasNext():
+        status = found.next()
+        files.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(files))

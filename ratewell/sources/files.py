@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratewell import columns as H
 from ratewell.functions.text import clean_symbol, delivery_pct, parse_date, parse_number, parse_stage
-from ratewell.operators.bars import keep_last_bar, last_sessions
+from ratewell.operators.bars import keep_last_bar
+from ratewell.sources.dated import read_dated
 
 
 def read_text_csv(spark: SparkSession, path) -> DataFrame:
@@ -32,96 +30,42 @@ def file_date(name: Column, kind: str) -> Column:
     return F.coalesce(*tries)
 
 
-_ROWS = "file_name string, row_number long, cells map<string,string>"
-
-
-def read_packed_rows(spark: SparkSession, path, suffixes: Sequence[str] = (".csv", ".dat", ".txt"),
-                     chunk_rows: int = 50_000) -> DataFrame:
-    """Rows of zipped or plain delimited files as (file_name, row_number, header -> text map).
-
-    Each task opens whole files (one session per file) and streams them in chunks; the first member
-    with a known suffix is read from an archive.  The separator is the one of comma, pipe and tab that
-    gives the header the most columns.
-    """
-    known = tuple(suffixes)
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                base = name.rsplit("/", 1)[-1]
-                if base.lower().endswith(".zip"):
-                    archive = zipfile.ZipFile(io.BytesIO(content))
-                    members = [m for m in archive.namelist() if m.lower().endswith(known)]
-                    if not members:
-                        continue
-                    handle = archive.open(members[0])
-                else:
-                    handle = io.BytesIO(content)
-                header = handle.readline().decode("utf-8", errors="replace").rstrip("\r\n")
-                separator = max(",|\t", key=header.count)
-                names = [h.strip().strip('"') for h in header.split(separator)]
-                seen = 0
-                for chunk in pd.read_csv(handle, sep=separator, names=names, dtype=str, keep_default_na=False,
-                                         chunksize=chunk_rows, encoding_errors="replace", index_col=False):
-                    yield pd.DataFrame({
-                        "file_name": base, "row_number": range(seen, seen + len(chunk)),
-                        "cells": chunk.to_dict("records")})
-                    seen += len(chunk)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(parse, _ROWS)
-
-
-def cell(aliases: Sequence[str], cells: str = "cells") -> Column:
-    """First header alias present in the row's map, ignoring case and punctuation."""
-    wanted = [F.lit("".join(ch for ch in a.lower() if ch.isalnum())) for a in aliases]
-    keyed = F.transform_keys(cells, lambda k, _: F.regexp_replace(F.lower(k), "[^a-z0-9]", ""))
-    return F.coalesce(*[F.try_element_at(keyed, w) for w in wanted])
-
-
 def read_daily_bars(spark: SparkSession, path, run_date: str | None = None, tickers: DataFrame | None = None,
                     sessions: int = 1300) -> DataFrame:
-    """Bars out of daily end-of-day archives: EQ series, newest sessions, last row per (ticker, date).
+    """Bars out of the newest ``sessions`` daily archives up to ``run_date``: EQ series, last row per (ticker, date).
 
-    ``tickers`` (one column ``ticker``) restricts the scan by a semi join.
+    Files without a ticker, date or close column are passed over.  ``tickers`` (one column ``ticker``) restricts the
+    rows by a semi join.
     """
-    rows = read_packed_rows(spark, path, (".csv",)).withColumn("session", file_date(F.col("file_name"), "bars"))
-    rows = rows.where(F.col("session").isNotNull())
-    if run_date is not None:
-        rows = rows.where(F.col("session") <= F.lit(run_date).cast("date"))
-    series = F.upper(F.trim(cell(H.BAR_HEADERS["series"])))
-    numbers = {c: parse_number(cell(H.BAR_HEADERS[c])) for c in (
-        "open", "high", "low", "close", "prev_close", "volume", "traded_value")}
+    rows = read_dated(spark, path, "bars", H.BAR_HEADERS, ("ticker", "date", "close"), ".csv", newest=sessions, until=run_date)
+    series = F.upper(F.trim("series"))
     bars = rows.where(series.isNull() | (series == "EQ")).select(
-        F.upper(F.trim(cell(H.BAR_HEADERS["ticker"]))).alias("ticker"),
-        parse_date(cell(H.BAR_HEADERS["date"]), ["yyyy-MM-dd"]).alias("date"),
-        *[v.alias(k) for k, v in numbers.items()],
+        F.upper(F.trim("ticker")).alias("ticker"), parse_date(F.col("date"), ["yyyy-MM-dd"]).alias("date"),
+        *[parse_number(c).alias(c) for c in ("open", "high", "low", "close", "prev_close", "volume", "traded_value")],
         F.struct("session", "row_number").alias("arrival"),
     ).where((F.col("ticker") != "") & F.col("date").isNotNull())
     if tickers is not None:
         bars = bars.join(tickers.select("ticker"), "ticker", "left_semi")
-    return last_sessions(keep_last_bar(bars, "arrival"), run_date, sessions)
+    return keep_last_bar(bars, "arrival")
 
 
 def read_delivery(spark: SparkSession, path, run_date: str | None = None, sessions: int = 60) -> DataFrame:
-    """(symbol, date, delivery_pct) of the newest sessions of delivery files in any of their formats."""
-    rows = read_packed_rows(spark, path).withColumn("date", file_date(F.col("file_name"), "delivery"))
-    series = F.upper(F.trim(cell(H.DELIVERY_HEADERS["series"])))
-    rows = rows.where(F.col("date").isNotNull() & (series.isNull() | (series == "EQ"))).select(
-        F.upper(F.trim(cell(H.DELIVERY_HEADERS["symbol"]))).alias("symbol"), "date",
-        delivery_pct(cell(H.DELIVERY_HEADERS["delivery_pct"]), cell(H.DELIVERY_HEADERS["deliverable_qty"]),
-                     cell(H.DELIVERY_HEADERS["traded_qty"])).alias("delivery_pct"))
-    return last_sessions(rows.where((F.col("symbol") != "") & F.col("delivery_pct").isNotNull()), run_date, sessions)
+    """(symbol, date, delivery_pct) of the newest delivery files, in any of their formats."""
+    rows = read_dated(spark, path, "delivery", H.DELIVERY_HEADERS, ("symbol",), newest=sessions, until=run_date)
+    series = F.upper(F.trim("series"))
+    return rows.where(series.isNull() | (series == "EQ")).select(
+        F.upper(F.trim("symbol")).alias("symbol"), F.col("session").alias("date"),
+        delivery_pct(F.col("delivery_pct"), F.col("deliverable_qty"), F.col("traded_qty")).alias("delivery_pct")).where(
+        (F.col("symbol") != "") & F.col("delivery_pct").isNotNull())
 
 
 def read_index_closes(spark: SparkSession, path, run_date: str | None = None, sessions: int = 260) -> DataFrame:
-    """(index_name, date, close) of the tracked indices out of dated index files."""
-    rows = read_packed_rows(spark, path).withColumn("date", file_date(F.col("file_name"), "index"))
+    """(index_name, date, close) of the tracked indices out of the newest index files."""
+    rows = read_dated(spark, path, "index", H.INDEX_HEADERS, ("index_name", "close"), newest=sessions, until=run_date)
     names = F.create_map(*[F.lit(x) for kv in H.INDEX_SHORT_NAMES.items() for x in kv])
-    rows = rows.where(F.col("date").isNotNull()).select(
-        F.try_element_at(names, F.upper(F.trim(cell(H.INDEX_HEADERS["index_name"])))).alias("index_name"), "date",
-        parse_number(cell(H.INDEX_HEADERS["close"])).alias("close"))
-    return last_sessions(rows.where(F.col("index_name").isNotNull() & F.col("close").isNotNull()), run_date, sessions)
+    return rows.select(
+        F.try_element_at(names, F.upper(F.trim("index_name"))).alias("index_name"), F.col("session").alias("date"),
+        parse_number("close").alias("close")).where(F.col("index_name").isNotNull() & F.col("close").isNotNull())
 
 
 def read_holdings(spark: SparkSession, path) -> DataFrame:
@@ -139,9 +83,26 @@ def read_weight_changes(spark: SparkSession, path) -> DataFrame:
         "new_config_hash string, changed_by string").json(path)
 
 
-def read_entity_documents(spark: SparkSession, path, schema) -> DataFrame:
-    """One JSON document per file; unreadable files are skipped."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+def entity_documents(spark: SparkSession, path) -> DataFrame:
+    """(file, text, document): one JSON document per file as a variant, null where the text can't be read.
+
+    Files without a byte hold no document; Spark's scans pass over them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.col("path").alias("file"), F.col("content").cast("string").alias("text")).withColumn(
+        "document", F.try_parse_json("text"))
+
+
+def read_entity_documents(spark: SparkSession, path, schema: str) -> DataFrame:
+    """One row per readable document with the fields of ``schema``; fields of another type than asked for are null."""
+    fields = spark.createDataFrame([], schema).schema
+    return entity_documents(spark, path).where("document is not null").select(*[
+        F.try_variant_get("document", f"$['{f.name}']", f.dataType.simpleString()).alias(f.name) for f in fields])
+
+
+def unreadable_documents(spark: SparkSession, path) -> DataFrame:
+    """(file, n_chars) of the documents that ``read_entity_documents`` leaves out."""
+    return entity_documents(spark, path).where("document is null").select("file", F.length("text").cast("long").alias("n_chars"))
 
 
 def manifest(spark: SparkSession, path) -> DataFrame:
@@ -152,20 +113,30 @@ def manifest(spark: SparkSession, path) -> DataFrame:
 
 
 def large_deals(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """Deal rows of JSON payloads that hold BULK_DEALS_DATA and BLOCK_DEALS_DATA lists."""
+    """Deal rows of JSON payloads that hold BULK_DEALS_DATA and BLOCK_DEALS_DATA lists.
+
+    A payload is parsed once, into a variant, and both lists come out of it together.  Unreadable payloads give no
+    rows; ``unreadable_payloads`` has them.
+    """
     item = ("array<struct<symbol:string,clientName:string,buySell:string,quantityTraded:string,"
             "tradedPrice:string,dealDate:string>>")
-    body = payloads.select(F.from_json(column, f"BULK_DEALS_DATA {item}, BLOCK_DEALS_DATA {item}").alias("b"))
-    parts = []
-    for key, kind in (("BULK_DEALS_DATA", "bulk"), ("BLOCK_DEALS_DATA", "block")):
-        d = body.select(F.explode(f"b.{key}").alias("d"))
-        parts.append(d.select(
-            F.upper(F.trim(F.coalesce("d.symbol", F.lit("")))).alias("symbol"), F.lit(kind).alias("deal_type"),
-            F.coalesce("d.clientName", F.lit("")).alias("client"),
-            F.upper(F.coalesce("d.buySell", F.lit(""))).alias("buy_sell"),
-            F.coalesce(parse_number(F.col("d.quantityTraded")), F.lit(0.0)).alias("quantity"),
-            F.coalesce(parse_number(F.col("d.tradedPrice")), F.lit(0.0)).alias("price"), F.col("d.dealDate").alias("date")))
-    return parts[0].unionByName(parts[1])
+    body = payloads.select(F.try_parse_json(column).alias("body"))
+
+    def listed(key: str, kind: str) -> Column:
+        rows = F.coalesce(F.try_variant_get("body", f"$.{key}", item), F.array().cast(item))
+        return F.transform(rows, lambda d: F.struct(F.lit(kind).alias("kind"), d.alias("d")))
+
+    lists = listed("BULK_DEALS_DATA", "bulk"), listed("BLOCK_DEALS_DATA", "block")
+    return body.select(F.explode(F.concat(*lists)).alias("x")).select("x.kind", "x.d.*").select(
+        F.upper(F.trim(F.coalesce("symbol", F.lit("")))).alias("symbol"), F.col("kind").alias("deal_type"),
+        F.coalesce("clientName", F.lit("")).alias("client"), F.upper(F.coalesce("buySell", F.lit(""))).alias("buy_sell"),
+        F.coalesce(parse_number("quantityTraded"), F.lit(0.0)).alias("quantity"),
+        F.coalesce(parse_number("tradedPrice"), F.lit(0.0)).alias("price"), F.col("dealDate").alias("date"))
+
+
+def unreadable_payloads(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """The rows of ``payloads`` whose JSON can't be parsed."""
+    return payloads.where(F.col(column).isNotNull() & F.try_parse_json(column).isNull())
 
 
 def surveillance_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:

@@ -23,10 +23,14 @@ def write_documents(docs: DataFrame, path: str, run_date: str) -> None:
     docs.select("document.*").write.mode("overwrite").json(f"{path}/run_date={run_date}")
 
 
-def append_history(rows: DataFrame, path: str, run_date: str) -> None:
-    """Add one run to a history partitioned by run date."""
-    rows.drop("run_date").withColumn("run_date", F.lit(run_date).cast("date")).write.mode("append").partitionBy(
-        "run_date").parquet(path)
+def append_history(rows: DataFrame, path: str, run_date: str | None = None) -> None:
+    """Add runs to a history partitioned by run date; a run that is written again takes the place of its first writing.
+
+    Without ``run_date`` the rows bring their own ``run_date``, and all their runs are written at once.
+    """
+    if run_date is not None:
+        rows = rows.withColumn("run_date", F.lit(run_date).cast("date"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_date").parquet(path)
 
 
 def recommendation_history(ratings: DataFrame) -> DataFrame:
