@@ -228,10 +228,26 @@ def _folder(spark, name):
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def _drop_in(spark, sf, feed, which):
+    """Events as files that arrive one by one: a file for each remainder of the event id."""
+    events = T.table(spark, sf, "events").where(which).withColumn("part", F.col("event_id") % 5)
+    events.repartition(5, "part").write.mode("append").partitionBy("part").parquet(feed)
+
+
+def _feed(spark, sf, feed):
+    schema = T.table(spark, sf, "events").schema
+    return T.event_ticks(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{feed}/part=*"))
+
+
 @query("stream_daily_bars", """select user_id as key, cast(ts as date) as date, first(value order by ts, event_id) as open, max(value) as high, min(value) as low, last(value order by ts, event_id) as close, count(*) as ticks from events group by all""")
 def stream_daily_bars(spark, sf):
-    results = I.run_new(I.daily_bars(T.event_stream(spark, sf)), _folder(spark, "bars-stream"))
-    return I.newest(results, ["key", "date"])
+    """Ticks in five micro-batches, days in no order; the first three are compacted before the others come."""
+    folder, feed = _folder(spark, "bars-stream"), _folder(spark, "ticks")
+    _drop_in(spark, sf, feed, "event_id % 5 < 3")
+    I.daily_bars(_feed(spark, sf, feed), folder)
+    I.compact(spark, folder)
+    _drop_in(spark, sf, feed, "event_id % 5 >= 3")
+    return I.daily_bars(_feed(spark, sf, feed), folder)
 
 
 @query("stream_latest_facts", """select user_id as ticker, event_type as metric, last(value order by ts, event_id) as value from events group by all""")
@@ -246,6 +262,8 @@ def stream_latest_facts(spark, sf):
 @query("stream_label_alerts", """select key, run_date, prior_label, label as new_label from (select *, coalesce(lag(label) over (partition by key order by run_date), 'New') as prior_label from (
  select user_id as key, cast(ts as date) as run_date, last(case when value > 30 then 'High' else 'Low' end order by ts, event_id) as label from events group by all)) where prior_label <> label""")
 def stream_label_alerts(spark, sf):
-    ticks = T.event_stream(spark, sf).withColumn("label", F.when(F.col("value") > 30, "High").otherwise("Low"))
-    folder = _folder(spark, "label-stream")
-    return I.run_new(ticks, folder, "append", I.label_alerts(folder)).drop("batch_id")
+    """Alerts over five micro-batches whose days come in no order, late days among them."""
+    feed = _folder(spark, "labels")
+    _drop_in(spark, sf, feed, "true")
+    ticks = _feed(spark, sf, feed).withColumn("label", F.when(F.col("value") > 30, "High").otherwise("Low"))
+    return I.label_alerts(ticks, _folder(spark, "label-stream"))

@@ -114,8 +114,3 @@ def event_ticks(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("user_id").alias("key"), F.concat(F.col("ts").cast("string"), F.lit("Z")).cast("timestamp").alias("ts"),
         "value", F.col("event_id").alias("id"))
-
-
-def event_stream(spark: SparkSession, folder: str) -> DataFrame:
-    schema = table(spark, folder, "events").schema
-    return event_ticks(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder))

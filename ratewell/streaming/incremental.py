@@ -1,17 +1,21 @@
 """Incremental versions of the nightly steps on Structured Streaming.
 
-Each run takes what is new (``availableNow``) and writes every micro-batch under its own batch id,
-replacing it when a lost batch is run again, so results are exactly once.  State, checkpoints and
-results live under ``folder``, which has to be reachable by all executors.
+Each run takes what is new (``availableNow``) and writes every micro-batch under its own batch id, replacing it when
+a lost batch is run again, so results are exactly once.  State, checkpoints and results live under ``folder``, which
+has to be reachable by all executors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+#: State of label alerts is a map per key, which only this store keeps entry by entry.
+_MAP_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def run_new(stream: DataFrame, folder: str, mode: str = "update",
@@ -37,17 +41,78 @@ def newest(results: DataFrame, keys: Sequence[str]) -> DataFrame:
     return results.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select(*keys, "r.*")
 
 
-def daily_bars(events: DataFrame, lateness: str = "40 days") -> DataFrame:
-    """Streaming bars per key and UTC day from (key, ts, value, id) ticks; late ticks revise their day."""
-    order = F.struct("ts", "id")
-    return (
-        events.withWatermark("ts", lateness).groupBy("key", F.window("ts", "1 day"))
-        .agg(F.min_by("value", order).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
-             F.max_by("value", order).alias("close"), F.count(F.lit(1)).alias("ticks"))
-        .select("key", F.expr("date_from_unix_date(int(unix_seconds(window.start) div 86400))").alias("date"), "open", "high", "low", "close", "ticks")
-    )
+# --- daily bars: mergeable parts, no state and no watermark -----------------------------------
+def bar_parts(ticks: DataFrame) -> DataFrame:
+    """Bars of (key, ts, value, id) ticks by key and UTC day, in a form that parts can be merged in.
+
+    First and last tick are kept with their time and id, so parts may come in any order.
+    """
+    tick = F.struct("ts", "id", "value")
+    return ticks.groupBy("key", F.expr("date_from_unix_date(int(unix_seconds(ts) div 86400))").alias("date")).agg(
+        F.min(tick).alias("first"), F.max("value").alias("high"), F.min("value").alias("low"), F.max(tick).alias("last"),
+        F.count(F.lit(1)).alias("ticks"))
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """One part per key and day out of any parts of it; merging is associative and knows no order."""
+    return parts.groupBy("key", "date").agg(
+        F.min("first").alias("first"), F.max("high").alias("high"), F.min("low").alias("low"), F.max("last").alias("last"),
+        F.sum("ticks").alias("ticks"))
+
+
+def daily_bars(ticks: DataFrame, folder: str) -> DataFrame:
+    """Take in new ticks and return all bars so far; ticks of any age count.
 
+    A micro-batch is reduced to parts before it is written; nothing is held between batches.
+    """
+    run_new(ticks, folder, "append", lambda batch, _: bar_parts(batch))
+    return bars_so_far(ticks.sparkSession, folder)
+
+
+def bars_so_far(spark: SparkSession, folder: str) -> DataFrame:
+    merged = merged_parts(_all_parts(spark, folder))
+    return merged.select("key", "date", F.col("first.value").alias("open"), "high", "low", F.col("last.value").alias("close"), "ticks")
+
+
+def compact(spark: SparkSession, folder: str) -> None:
+    """Merge the parts of all finished batches into one table, which readers take in their place.
+
+    The table is named for the last batch in it and counts only when it is complete, so a run that breaks off changes
+    nothing; the merged batches are deleted afterwards.
+    """
+    batches = _numbered(spark, f"{folder}/results", "batch_id=")
+    done = _numbered(spark, f"{folder}/compacted", "upto=", complete=True)
+    if not batches or done and batches[-1] <= done[-1]:
+        return
+    merged_parts(_all_parts(spark, folder)).write.mode("overwrite").parquet(f"{folder}/compacted/upto={batches[-1]}")
+    for path in [f"{folder}/results/batch_id={b}" for b in batches] + [f"{folder}/compacted/upto={d}" for d in done]:
+        _files(spark, path)[0].delete(_files(spark, path)[1], True)
 
+
+def _all_parts(spark: SparkSession, folder: str) -> DataFrame:
+    done = _numbered(spark, f"{folder}/compacted", "upto=", complete=True)
+    upto = done[-1] if done else -1
+    paths = [f"{folder}/compacted/upto={upto}"] * bool(done) + [
+        f"{folder}/results/batch_id={b}" for b in _numbered(spark, f"{folder}/results", "batch_id=", complete=True) if b > upto]
+    return spark.read.parquet(*paths)
+
+
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _numbered(spark: SparkSession, folder: str, prefix: str, complete: bool = False) -> list[int]:
+    """Numbers of the tables ``prefix<number>`` under a folder, the finished ones only if wanted."""
+    system, at = _files(spark, folder)
+    if not system.exists(at):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(at)]
+    return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix)
+                  and (not complete or system.exists(_files(spark, f"{folder}/{n}/_SUCCESS")[1])))
+
+
+# --- latest facts ----------------------------------------------------------------------------
 def latest_facts(facts: DataFrame) -> DataFrame:
     """Streaming latest value per (ticker, metric) by filing time, then ingest order."""
     return facts.groupBy("ticker", "metric").agg(
@@ -55,29 +120,58 @@ def latest_facts(facts: DataFrame) -> DataFrame:
         "ticker", "metric", "f.value", "f.filed")
 
 
-def label_alerts(folder: str) -> Callable[[DataFrame, int], DataFrame]:
-    """Micro-batch step: changes of the daily label per key against the last label known before the batch.
+# --- label alerts: the days of a key as keyed state --------------------------------------------
+class _LabelDays(StatefulProcessor):
+    """Label of every day of a key; new ticks may fall on any day and change the alerts of that day and the next."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.days = handle.getMapState("days", "day int", "label string, at long, id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        arrived: dict[int, tuple] = {}
+        for frame in rows:
+            for day, at, number, label in frame[["day", "at", "id", "label"]].itertuples(index=False):
+                arrived[int(day)] = max(arrived.get(int(day), (at, number, label)), (at, number, label))
+        known = {int(day[0]): (int(at), int(number), label) for day, (label, at, number) in self.days.iterator()}
+        changed = {day: tick for day, tick in arrived.items() if day not in known or tick[:2] > known[day][:2]}
+        before = _alerts(known)
+        for day, (at, number, label) in changed.items():
+            known[day] = at, number, label
+            self.days.updateValue((day,), (label, at, number))
+        after = _alerts(known)
+        out = [(key[0], day, *(after.get(day) or (known[day][2],) * 2)) for day in sorted(after | before) if after.get(day) != before.get(day)]
+        yield pd.DataFrame(out, columns=["key", "day", "prior_label", "new_label"])
+
+    def close(self) -> None:
+        pass
+
+
+def _alerts(days: dict[int, tuple]) -> dict[int, tuple[str, str]]:
+    """Days whose label differs from that of the day before in the series ('New' before the first)."""
+    found, prior = {}, "New"
+    for day in sorted(days):
+        if days[day][2] != prior:
+            found[day] = prior, days[day][2]
+        prior = days[day][2]
+    return found
+
+
+def label_alerts(ticks: DataFrame, folder: str) -> DataFrame:
+    """Take in new (key, ts, id, label) ticks and return all alerts so far: key, run_date, prior_label, new_label.
 
-    A batch is reduced to one label per key and day first; the last label per key is kept as a table
-    per batch under ``folder``.
+    A day's label is that of its last tick.  Ticks may come late: the day's own alert and that of the following day
+    are then given anew, and an alert that no longer holds is withdrawn by one that says nothing changes.
     """
-    state = f"{folder}/state"
-
-    def step(batch: DataFrame, batch_id: int) -> DataFrame:
-        spark = batch.sparkSession
-        daily = batch.groupBy("key", F.expr("date_from_unix_date(int(unix_seconds(ts) div 86400))").alias("run_date")).agg(
-            F.max_by("label", F.struct("ts", "id")).alias("label"))
-        if batch_id > 0:
-            known = spark.read.parquet(f"{state}/batch={batch_id - 1}").withColumn("old", F.lit(True))
-            daily = known.unionByName(daily.withColumn("old", F.lit(False)))
-        else:
-            daily = daily.withColumn("old", F.lit(False))
-        series = Window.partitionBy("key").orderBy("run_date", F.desc("old"))  # one row per day and key
-        marked = daily.withColumn("prior_label", F.coalesce(F.lag("label").over(series), F.lit("New")))
-        daily.groupBy("key").agg(
-            F.max("run_date").alias("run_date"), F.max_by("label", F.struct("run_date", ~F.col("old"))).alias("label"),
-        ).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
-        return marked.where(~F.col("old") & (F.col("prior_label") != F.col("label"))).select(
-            "key", "run_date", "prior_label", F.col("label").alias("new_label"))
-
-    return step
+    spark = ticks.sparkSession
+    daily = ticks.select("key", F.expr("int(unix_seconds(ts) div 86400)").alias("day"), F.expr("unix_micros(ts)").alias("at"), "id", "label")
+    stream = daily.groupBy("key").transformWithStateInPandas(
+        _LabelDays(), f"key {ticks.schema['key'].dataType.simpleString()}, day int, prior_label string, new_label string", "update", "none")
+    setting, store = _MAP_STORE
+    was = spark.conf.get(setting, None)
+    spark.conf.set(setting, store)
+    try:
+        results = run_new(stream, folder)
+    finally:
+        spark.conf.set(setting, was) if was else spark.conf.unset(setting)
+    return newest(results, ["key", "day"]).where("prior_label <> new_label").select(
+        "key", F.date_from_unix_date("day").alias("run_date"), "prior_label", "new_label")

@@ -100,9 +100,12 @@ def _feed(spark, folder, rows):
 
 
 def test_streams_continue_over_runs(spark, tmp_path):
+    """Late ticks revise their day, late days the alert of the day after; compaction changes nothing."""
     source = str(tmp_path / "in")
     day = dt.datetime(2024, 1, 1, 10, tzinfo=dt.timezone.utc)
-    _feed(spark, source, [(1, day, 10.0, 1), (1, day + dt.timedelta(hours=1), 50.0, 2), (2, day, 5.0, 3)])
+
+    def at(days, hours=0):
+        return day + dt.timedelta(days=days, hours=hours)
 
     def ticks():
         return spark.readStream.schema("key long, ts timestamp, value double, id long").parquet(source)
@@ -110,14 +113,25 @@ def test_streams_continue_over_runs(spark, tmp_path):
     def labelled():
         return ticks().withColumn("label", F.when(F.col("value") > 30, "High").otherwise("Low"))
 
-    bars_folder, label_folder = str(tmp_path / "bars"), str(tmp_path / "labels")
-    I.run_new(I.daily_bars(ticks()), bars_folder)
-    first = I.run_new(labelled(), label_folder, "append", I.label_alerts(label_folder)).drop("batch_id").collect()
-    assert sorted((r.key, r.prior_label, r.new_label) for r in first) == [(1, "New", "High"), (2, "New", "Low")]
-    _feed(spark, source, [(1, day + dt.timedelta(hours=2), 20.0, 4), (2, day + dt.timedelta(days=1), 6.0, 5)])
-    bars = I.newest(I.run_new(I.daily_bars(ticks()), bars_folder), ["key", "date"]).collect()
-    assert {(r.key, str(r.date)): (r.open, r.close, r.ticks) for r in bars} == {
-        (1, "2024-01-01"): (10.0, 20.0, 3), (2, "2024-01-01"): (5.0, 5.0, 1), (2, "2024-01-02"): (6.0, 6.0, 1)}
-    every = I.run_new(labelled(), label_folder, "append", I.label_alerts(label_folder))
-    later = every.where(F.col("batch_id") > 0).collect()
-    assert [(r.key, r.prior_label, r.new_label) for r in later] == [(1, "High", "Low")]
+    folder, label_folder = str(tmp_path / "bars"), str(tmp_path / "labels")
+
+    def bars():
+        return {(r.key, str(r.date)): (r.open, r.high, r.low, r.close, r.ticks) for r in I.daily_bars(ticks(), folder).collect()}
+
+    def alerts():
+        return {(r.key, str(r.run_date)): (r.prior_label, r.new_label) for r in I.label_alerts(labelled(), label_folder).collect()}
+
+    _feed(spark, source, [(1, day, 10.0, 1), (1, at(0, 1), 50.0, 2), (2, day, 5.0, 3), (1, at(100), 9.0, 4)])
+    assert bars()[1, "2024-01-01"] == (10.0, 50.0, 10.0, 50.0, 2)
+    assert alerts() == {(1, "2024-01-01"): ("New", "High"), (2, "2024-01-01"): ("New", "Low"), (1, "2024-04-10"): ("High", "Low")}
+    I.compact(spark, folder)
+    I.compact(spark, folder)
+    _feed(spark, source, [(1, at(0, 2), 20.0, 5), (2, at(1), 6.0, 6), (1, at(0, -1), 7.0, 7), (1, at(-60), 40.0, 8)])
+    want = {(1, "2024-01-01"): (7.0, 50.0, 7.0, 20.0, 4), (2, "2024-01-01"): (5.0,) * 4 + (1,), (2, "2024-01-02"): (6.0,) * 4 + (1,),
+            (1, "2024-04-10"): (9.0,) * 4 + (1,), (1, "2023-11-02"): (40.0,) * 4 + (1,)}
+    assert bars() == want
+    I.compact(spark, folder)
+    assert {(r.key, str(r.date)): (r.open, r.high, r.low, r.close, r.ticks) for r in I.bars_so_far(spark, folder).collect()} == want
+    assert len(list((tmp_path / "bars" / "compacted").iterdir())) == 1
+    # the first day is Low now and after a High one; the alert of April no longer holds
+    assert alerts() == {(1, "2023-11-02"): ("New", "High"), (1, "2024-01-01"): ("High", "Low"), (2, "2024-01-01"): ("New", "Low")}
