@@ -1,16 +1,18 @@
 """MinHash near-dedup with odd sketches.
 
-Each set of word shingles gives ``SAMPLES`` minima, one for each hash function.  Bands of ``ROWS`` minima are the keys
-under which sets meet: two sets with four fifths in common miss each other in all ``BANDS`` bands with a chance of
-1e-11.  The minima are also folded into an odd sketch, a bitmap in which each (hash function, minimum) flips one bit.
-Equal minima cancel in the XOR of two sketches, so its population count tells how many minima differ, the more
-precisely the fewer they are.  Pairs whose count can't come from alike sets (chance 1e-10) go before any set is read;
-what is left is confirmed on the full sets, so no link is ever made by an estimate.
+Each set of word shingles gives two kinds of MinHash samples.  The minima under ``SAMPLES`` hash functions make the keys
+under which sets meet, a band of ``ROWS`` minima each: two sets with four fifths in common miss each other in all
+``BANDS`` bands with a chance of 1e-11.  The ``LOWEST`` least values under one hash function are folded into an odd
+sketch, a bitmap in which each value flips one bit.  Equal values cancel in the XOR of two sketches, so its population
+count is at most the number of samples that differ, and near it while they are few.  Pairs whose count can't come from
+alike sets go before any set is read: of sets that are samples as a whole none is lost, of longer ones with a chance of
+1e-9.  What is left is confirmed on the full sets, so no link is ever made by an estimate.
 
 Sets that are equal are one node.  The nodes of a key are first compared with one of them, and what links is merged.
 Keys that still hold several components are searched for pairs of different ones: a task compares the sketches of a
-key (of two blocks of nodes, where the key holds many) and returns for each node its nearest partners only.  Confirmed
-links merge components, and the search goes on with more partners until every node has been given all it has.
+key (of two blocks of nodes, where the key holds many) and returns nearest partners only, and only for the nodes
+outside the largest component of the key.  Confirmed links merge components.  The first rounds read a quarter of the
+bands, the others all, with more partners each time, until every node has been given all it has.
 """
 
 from __future__ import annotations
@@ -20,16 +22,16 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewell.llm.common import Scratch, WordHashes, bounded_broadcast, cut, mixed, texts
 from ratewell.llm.components import connected
 
-ROWS, BANDS, BITS = 5, 64, 512
-SAMPLES = ROWS * BANDS
-#: Chance that the sketches of two sets at the least similarity are further apart than the limit.
-MISS = 1e-10
+ROWS, BANDS, EARLY = 5, 64, 16
+SAMPLES, LOWEST, BITS = ROWS * BANDS, 1024, 1024
+#: Standard deviations that sampling, and folding, may be off.
+SIGMAS = 6.0
 #: Nodes of a block; nearest partners of a node in the first search, and how many times more in each further one.
 BLOCK, FAN, WIDER = 1024, 4, 8
 #: Rows a search task holds at a time before it compares them, whole keys only.
@@ -69,30 +71,37 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
     return mixed(parts.sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * FACTORS[ROWS])
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """Bitmaps (BITS / 64 words a row): the parity of how many samples fall on each bit."""
-    place = mixed(samples.astype(np.uint64) * FACTORS[0] + np.arange(SAMPLES, dtype=np.uint64) * FACTORS[1]) % np.uint64(BITS)
-    flat = (place.astype(np.int64) + np.arange(len(samples))[:, None] * BITS).ravel()
-    odd = (np.bincount(flat, minlength=len(samples) * BITS) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(len(samples), BITS), axis=1, bitorder="little").view(np.uint64)
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """Bitmap (BITS / 64 words) of a set: the parity of how many of its LOWEST least values fall on each bit."""
+    low = np.partition(found, LOWEST - 1)[:LOWEST] if len(found) > LOWEST else found
+    odd = (np.bincount((mixed(low * FACTORS[0]) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.uint64)
 
 
-def apart_limit(percent: int) -> int:
-    """Most bits in which the sketches of two sets of this similarity differ, but for a chance of ``MISS``.
+def apart_limit(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Most bits in which the sketches of alike sets of ``n`` and ``m`` shingles differ.
 
-    Each sample differs with the share that the sets don't have in common; a differing sample flips two bits at
-    random.  The chances of every number of odd bits follow flip by flip.
+    Alike sets have at least percent / (100 + percent) of n + m in common.  Of samples that are whole sets that says
+    how many differ; of longer sets the share of the longer one is sampled.  Differing samples that fall on one bit
+    cancel, which is where the folding adds its own chance; never more bits differ than samples.
     """
-    differ, odd, bits = 1 - percent / 100, np.zeros(BITS + 2), np.arange(BITS + 2)
-    odd[0], total, weight = 1.0, np.zeros(BITS + 2), (1 - differ) ** SAMPLES
-    for d in range(SAMPLES + 1):
-        total += weight * odd
-        weight *= (SAMPLES - d) / (d + 1) * differ / (1 - differ) if differ < 1 else 0
-        for _ in range(2):
-            up, down = odd * np.maximum(0, BITS - bits) / BITS, odd * bits / BITS
-            odd = np.concatenate([[0], up[:-1]]) + np.concatenate([down[1:], [0]])
-    beyond = total[::-1].cumsum()[::-1]
-    return int(np.flatnonzero(beyond > MISS).max())
+    common, longer = percent * (n + m) / (100 + percent), np.maximum(n, m)
+    share = np.minimum(1.0, common / longer)
+    sampled = LOWEST * share - SIGMAS * np.sqrt(LOWEST * share * (1 - share)) - 1
+    both = np.where(longer <= LOWEST, common, np.minimum(sampled, common))
+    differ = np.minimum(n, LOWEST) + np.minimum(m, LOWEST) - 2 * both
+    odd = BITS / 2 * (1 - np.exp(-2 * differ / BITS))
+    return np.floor(np.minimum(differ, odd + SIGMAS * np.sqrt(BITS) / 2 * np.sqrt(1 - np.exp(-4 * differ / BITS))) + 1e-9)
+
+
+def alike(n: np.ndarray, m: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits in which sketches differ row by row, and whether sets of ``n`` and ``m`` shingles with them may be alike."""
+    bits = np.bitwise_count(left ^ right).sum(axis=1, dtype=np.int64)
+    return bits, (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (bits <= apart_limit(n, m, percent))
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, BITS // 64)
 
 
 def _sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -110,18 +119,18 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
         rows: list[tuple] = []
 
         def packed() -> pa.RecordBatch:
-            ids, sizes, digests, samples = zip(*rows)
-            full = np.array([s for s in samples if s is not None], np.uint32).reshape(-1, SAMPLES)
-            keys, sketches = iter(band_keys(full).view(np.int64)), iter(odd_sketches(full).view(np.int64))
+            ids, sizes, digests, samples, sketches = zip(*rows)
+            keys = iter(band_keys(np.array([s for s in samples if s is not None], np.uint32).reshape(-1, SAMPLES)).view(np.int64))
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()),
                  pa.array([None if s is None else next(keys) for s in samples], pa.list_(pa.int64())),
-                 pa.array([None if s is None else next(sketches) for s in samples], pa.list_(pa.int64()))],
+                 pa.array(sketches, pa.list_(pa.int64()))],
                 ["doc_id", "n", "digest", "bands", "sketch"])
 
         for doc_id, found in _sets(batches, width):
-            digest, samples = (xxhash.xxh3_128_digest(found.tobytes()), minima(found)) if len(found) else (None, None)
-            rows.append((doc_id, len(found), digest, samples))
+            any_word = len(found) > 0
+            rows.append((doc_id, len(found), xxhash.xxh3_128_digest(found.tobytes()) if any_word else None, minima(found) if any_word else None,
+                         odd_sketch(found).view(np.int64) if any_word else None))
             if len(rows) == 1000:
                 yield packed()
                 rows.clear()
@@ -131,9 +140,17 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n int, digest binary, bands array<long>, sketch array<long>")
 
 
-def _near(a: Column, b: Column, percent: int) -> Column:
-    """Are sets of these sizes near enough in size to be alike?"""
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def sketched(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches allow them to be alike."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy().astype(np.float64) for c in ("n_a", "n_b"))
+            _, may = alike(n, m, _words(batch.column("left")), _words(batch.column("right")), percent)
+            yield batch.filter(pa.array(may)).select(["a", "b"])
+
+    ends = nodes.select("node", "n", "sketch")
+    return pairs.join(ends.toDF("a", "n_a", "left"), "a").join(ends.toDF("b", "n_b", "right"), "b").mapInArrow(run, "a long, b long").distinct()
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
@@ -154,10 +171,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, scratch: Scratch, width: int, p
 
 
 def _nearest(keys: np.ndarray, low: np.ndarray, high: np.ndarray, block: np.ndarray, node: np.ndarray, n: np.ndarray, label: np.ndarray,
-             sketch: np.ndarray, percent: int, limit: int, fan: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(node, partner, bits apart): for each node under each key its ``fan`` nearest of other components, nearest first.
+             main: np.ndarray, sketch: np.ndarray, percent: int, fan: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(node, partner, bits apart): under each key the ``fan`` nearest partners of other components, nearest first.
 
-    Rows lie key by key; row i is compared with row i + d of its key for d = 1, 2, ... in one step each.
+    Rows lie key by key; row i is compared with row i + d of its key for d = 1, 2, ... in one step each.  A pair is
+    given to the node outside the component ``main`` of the key, to the larger node if both are.
     """
     new = np.r_[True, (keys[1:] != keys[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
     group = np.cumsum(new) - 1
@@ -165,17 +183,16 @@ def _nearest(keys: np.ndarray, low: np.ndarray, high: np.ndarray, block: np.ndar
     found, at, d = [], np.arange(len(keys)), 1
     while len(at := at[at + d < end[at]]):
         other = at + d
-        alike = (label[at] != label[other]) & ((low[at] == high[at]) | (block[at] != block[other]))
-        alike &= 100 * np.minimum(n[at], n[other]) >= percent * np.maximum(n[at], n[other])
-        i, j = at[alike], other[alike]
-        bits = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1, dtype=np.int64)
-        near = bits <= limit
-        found.append((i[near], j[near], bits[near]))
+        apart = (label[at] != label[other]) & ((low[at] == high[at]) | (block[at] != block[other]))
+        i, j = at[apart], other[apart]
+        bits, may = alike(n[i].astype(np.float64), n[j].astype(np.float64), sketch[i], sketch[j], percent)
+        found.append((i[may], j[may], bits[may]))
         d += 1
     if not found:
         return (np.empty(0, np.int64),) * 3
     i, j, bits = (np.concatenate(x) for x in zip(*found))
-    i, j, bits = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([bits, bits])
+    turned = (label[i] == main[i]) | (label[j] != main[j]) & (node[i] < node[j])
+    i, j = np.where(turned, j, i), np.where(turned, i, j)
     order = np.lexsort((node[j], bits, node[i], group[i]))
     i, j, bits = i[order], j[order], bits[order]
     if len(i):
@@ -185,29 +202,31 @@ def _nearest(keys: np.ndarray, low: np.ndarray, high: np.ndarray, block: np.ndar
     return node[i], node[j], bits
 
 
-def nearest_of_others(lists: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, limit: int, fan: int) -> DataFrame:
-    """(a, b, rank): for each node a the nearest nodes b of other components that it shares a key with, ``fan`` + 1 at most."""
+def nearest_of_others(lists: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, fan: int) -> DataFrame:
+    """(a, b, rank): the nearest nodes b of other components that a node a shares a key with, ``fan`` + 1 at most.
+
+    Every pair under a common key that may be alike is among those of a or of b, unless that one has more than ``fan``.
+    """
     labelled = lists.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    ends = (labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count(F.lit(1)).alias("members"))
-            .where("least < most").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
+    ends = (labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("times")).groupBy("key")
+            .agg(F.max(F.struct("times", "label")).alias("main"), F.sum("times").alias("members"), F.count(F.lit(1)).alias("several"))
+            .where("several > 1").select("key", F.col("main.label").alias("main"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
     meet = F.expr("explode(transform(sequence(0, blocks - 1), x -> struct(least(x, block) as low, greatest(x, block) as high)))").alias("meet")
     rest = (labelled.join(ends, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-            .select("key", "node", "label", "block", meet).select("key", "meet.low", "meet.high", "block", "node", "label")
+            .select("key", "node", "label", "main", "block", meet).select("key", "meet.low", "meet.high", "block", "node", "label", "main")
             .join(nodes.select("node", "n", "sketch"), "node")
-            .select("key", "low", "high", "block", "node", F.col("n").cast("long").alias("n"), "label", "sketch")
+            .select("key", "low", "high", "block", "node", F.col("n").cast("long").alias("n"), "label", "main", "sketch")
             .repartition("key", "low", "high").sortWithinPartitions("key", "low", "high"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, waiting, size = ["key", "low", "high", "block", "node", "n", "label"], [], 0
+        names, waiting, size = ["key", "low", "high", "block", "node", "n", "label", "main"], [], 0
 
         def searched(columns: list[np.ndarray]) -> pa.RecordBatch:
-            out = _nearest(*columns, percent, limit, fan + 1)
+            out = _nearest(*columns, percent, fan + 1)
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b", "apart"])
 
         for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            columns.append(batch.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, BITS // 64))
-            waiting.append(columns)
+            waiting.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names] + [_words(batch.column("sketch"))])
             size += batch.num_rows
             if size >= HELD:
                 columns = [np.concatenate(x) for x in zip(*waiting)]
@@ -236,7 +255,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     and ``text`` are not read.
     """
     docs = texts(docs)
-    scratch, limit = Scratch(docs.sparkSession, "minhash"), apart_limit(percent)
+    scratch = Scratch(docs.sparkSession, "minhash")
     signed = scratch.write(signatures(docs, width))
     copies = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("members")).where("members > 1")
     placed = (signed.join(bounded_broadcast(cut(copies.select("digest", "first"))), "digest", "left")
@@ -247,22 +266,22 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     own = (placed.where("doc_id <> node").join(bounded_broadcast(several), "doc_id")
            .select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct())
 
-    keyed = nodes.select("node", "n", F.explode("bands").alias("key"))
-    hubs = (keyed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last"))
-            .where("hub.node < last").select("key", "hub"))
-    lists = scratch.write(keyed.join(hubs, "key").select("key", "node", "n", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")))
-    sketches = nodes.select("node", "sketch")
-    apart = F.aggregate(F.zip_with("left", "right", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    stars = (lists.where("node <> hub").where(_near(F.col("n"), F.col("hub_n"), percent)).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-             .join(sketches.toDF("a", "left"), "a").join(sketches.toDF("b", "right"), "b").where(apart <= limit).select("a", "b").distinct())
-    links, fan, more = confirmed(stars, docs, scratch, width, percent).unionAll(own), FAN, True
-    lists = lists.select("key", "node").distinct()
+    keyed = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    hubs = (keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub"))
+    lists = scratch.write(keyed.join(hubs, "key").select("key", "node", "hub", (F.col("band") < EARLY).alias("early")))
+    scratch.release()
+    stars = lists.where("early and node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = confirmed(sketched(stars, nodes, percent), docs, scratch, width, percent).unionAll(own)
+    fan, early, more = FAN, True, True
     while more:
         labels = connected(links)
-        near = scratch.write(nearest_of_others(lists, nodes, labels, percent, limit, fan))
-        more = not near.where(F.col("rank") > fan).isEmpty()
+        own_lists = (lists.where("early") if early else lists).select("key", "node").distinct()
+        near = scratch.write(nearest_of_others(own_lists, nodes, labels, percent, fan))
+        more = early or not near.where(F.col("rank") > fan).isEmpty()
         pairs = near.where(F.col("rank") <= fan).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links, fan = links.unionAll(confirmed(pairs, docs, scratch, width, percent)), fan * WIDER
+        found = confirmed(pairs, docs, scratch, width, percent)
+        links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionAll(found)
+        fan, early = fan * WIDER, False
     labels = connected(links)
     out = cut(placed.select("doc_id", "n", "node").join(labels, "node", "left")
               .withColumn("component_id", F.coalesce("label", "node", "doc_id"))

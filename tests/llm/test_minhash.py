@@ -91,34 +91,45 @@ def test_no_rows_and_long_text(frame):
     assert ran(frame, [(3, long), (2, long + " end"), (9, "u1 u2 u3")]) == [(2, 300_000, 2, True), (3, 299_999, 2, False), (9, 2, 9, True)]
 
 
-def test_sketch_tells_similarity_and_never_loses_an_alike_pair():
-    chance, limit = np.random.default_rng(4), minhash.apart_limit(80)
-    for share in (0.8, 0.9):
-        apart = []
-        for _ in range(200):
-            n = 400
-            common = round(2 * n * share / (1 + share))
-            pool = minhash.mixed(chance.integers(1, 1 << 63, 2 * n, np.uint64))
-            both = np.array([minhash.minima(pool[:n]), minhash.minima(np.r_[pool[:common], pool[n:2 * n - common]])])
-            a, b = minhash.odd_sketches(both)
-            apart.append(int(np.bitwise_count(a ^ b).sum()))
-        assert max(apart) < limit
-        want = minhash.BITS / 2 * (1 - (1 - 2 / minhash.BITS) ** (2 * minhash.SAMPLES * (1 - share)))
-        assert abs(np.mean(apart) - want) < 3
-    assert minhash.apart_limit(95) < minhash.apart_limit(80) < minhash.BITS // 2
+@pytest.mark.parametrize("n", [3, 40, 400, 1024, 1500, 6000])
+@pytest.mark.parametrize("share", [0.8, 0.9])
+@pytest.mark.parametrize("subset", [True, False])
+def test_sketch_tells_similarity_and_never_loses_an_alike_pair(n, share, subset):
+    chance = np.random.default_rng(4)
+    for _ in range(60):
+        pool = minhash.mixed(chance.integers(1, 1 << 63, 2 * n, np.uint64))
+        a = pool[:n]
+        if subset:
+            b = pool[:-int(-n * share // 1)]
+        else:
+            common = -int(-2 * n * share / (1 + share) // 1)
+            b = np.r_[pool[:common], pool[n:2 * n - common]]
+        left, right = (minhash.odd_sketch(np.sort(x))[None] for x in (a, b))
+        sizes = np.array([float(len(a))]), np.array([float(len(b))])
+        bits, may = minhash.alike(*sizes, left, right, 80)
+        assert may[0] and bits[0] <= minhash.apart_limit(*sizes, 80)[0]
+        if n in (400, 1024) and not subset:
+            c = pool[:n], np.r_[pool[:int(2 * n * 0.66 / 1.66)], pool[n:2 * n - int(2 * n * 0.66 / 1.66)]]
+            assert not minhash.alike(sizes[0], sizes[0], *(minhash.odd_sketch(x)[None] for x in c), 80)[1][0]  # 66 of 100 is told apart
 
 
 def test_nearest_by_definition():
     chance = np.random.default_rng(8)
     m = 120
-    keys, node, label = np.sort(chance.integers(0, 6, m)), np.arange(m), chance.integers(0, 9, m)
+    keys, node, label = np.sort(chance.integers(0, 6, m)), np.arange(m), chance.integers(0, 4, m)
     low = high = block = np.zeros(m, np.int64)
-    n, sketch = chance.integers(80, 120, m), chance.integers(0, 1 << 63, (m, 8), np.uint64)
+    main = np.array([np.bincount(label[keys == k]).argmax() for k in keys])
+    n, base = chance.integers(80, 120, m), chance.integers(0, 1 << 63, 16, np.uint64)
+    sketch = np.array([base ^ (np.uint64(1) << np.uint64(chance.integers(0, 60))) * np.uint64(chance.integers(0, 4)) for _ in range(m)])
     for fan in (1, 3, 200):
-        got = list(zip(*(x.tolist() for x in minhash._nearest(keys, low, high, block, node, n, label, sketch, 80, 270, fan))))
+        got = list(zip(*(x.tolist() for x in minhash._nearest(keys, low, high, block, node, n, label, main, sketch, 80, fan))))
         want = []
         for i in range(m):
-            found = sorted((int(np.bitwise_count(sketch[i] ^ sketch[j]).sum()), j) for j in range(m) if keys[i] == keys[j]
-                           and label[i] != label[j] and 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]))
-            want += [(i, j, b) for b, j in found if b <= 270][:fan]
-        assert sorted(got) == sorted(want)
+            found = []
+            for j in range(m):
+                own = label[i] != main[i] and (label[j] == main[j] or i > j)
+                bits, may = minhash.alike(n[[i]].astype(float), n[[j]].astype(float), sketch[[i]], sketch[[j]], 80)
+                if keys[i] == keys[j] and label[i] != label[j] and own and may[0]:
+                    found.append((int(bits[0]), j))
+            want += [(i, j, b) for b, j in sorted(found)[:fan]]
+        assert sorted(got) == sorted(want) and want
