@@ -388,9 +388,3 @@ def surveillance_rows(spark, sf):
  select page_id, unnest(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)) as item, generate_subscripts(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1), 1) as p from pages)""")
 def html_list_values(spark, sf):
     return L.list_values(T.table(spark, sf, "pages")).select("page_id", "pos", "label", "link")
-
-
-@query("input_manifest")
-def input_manifest(spark, sf):
-    """Name, size and content hash of every input file of the run."""
-    return L.manifest(spark, f"{sf}/*.parquet").select("file", "length", "hash")

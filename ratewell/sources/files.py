@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,10 +109,25 @@ def unreadable_documents(spark: SparkSession, path) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path) -> DataFrame:
-    """File name, size, content hash prefix and modification time of every input file."""
-    return spark.read.format("binaryFile").load(path).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length",
-        F.substring(F.sha2("content", 256), 1, 12).alias("hash"), F.col("modificationTime").alias("freshness_ts"))
+    """File name, size, content hash prefix and modification time of every input file.
+
+    Names come from Spark's listing; contents are hashed as they stream by, a megabyte at a time, whatever their size.
+    """
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests = []
+            for name in batch.column("path").to_pylist():
+                system, at = fs.FileSystem.from_uri(name)
+                digest = hashlib.sha256()
+                with system.open_input_stream(at) as stream:
+                    while block := stream.read(1 << 20):
+                        digest.update(block)
+                digests.append(digest.hexdigest()[:12])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], [*batch.schema.names, "hash"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    return files.mapInArrow(hashed, "path string, length long, modificationTime timestamp, hash string").select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", "hash", F.col("modificationTime").alias("freshness_ts"))
 
 
 def large_deals(payloads: DataFrame, column: str = "payload") -> DataFrame:
