@@ -218,10 +218,27 @@ def apply_classification(spark, sf):
         F.col("NSE Symbol").alias("symbol"), F.col("Sector").alias("sector"), F.col("Industry").alias("industry"))
 
 
-@query("missing_classification", with_([_EOD, _UNI], "select sym as symbol from uni"))
+_TOKENS = ("NA", "—", "None", "NaN", " - ", "nan", "x", "none")
+
+
+@query("universe_merge_tokens", """select 'P' || p_partkey as symbol, case when p_partkey % 8 in (2, 4, 5, 7) then 'from funds' else ['NA', '—', 'None', 'NaN', ' - ', 'nan', 'x', 'none'][p_partkey % 8 + 1] end as sector from part""")
+def universe_merge_tokens(spark, sf):
+    """Which cells count as unset in a merge: blank, nan, none, - and None as written, nothing else."""
+    p = T.table(spark, sf, "part")
+    symbol, k = F.concat(F.lit("P"), F.col("p_partkey").cast("string")), F.col("p_partkey")
+    rows = p.select(symbol.alias("NSE Symbol"), F.element_at(F.array(*map(F.lit, _TOKENS)), (k % 8 + 1).cast("int")).alias("Sector"))
+    funds = p.select(symbol.alias("Symbol"), F.lit("from funds").alias("fund__Sector"), k.alias("arrival"))
+    return U.merge_fundamentals(rows, funds, "arrival").select(F.col("NSE Symbol").alias("symbol"), F.col("Sector").alias("sector"))
+
+
+@query("missing_classification", with_([_EOD, _UNI, Q.GEO], """select sym as symbol from uni left join (select c_custkey as k, n_name, r_name from customer join geo on c_nationkey = n_nationkey where c_acctbal >= 0) using (k) where n_name is null"""))
 def missing_classification(spark, sf):
-    """Industry is unknown for the whole end-of-day universe."""
-    return U.missing_classification(U.universe_frame(_eod(spark, sf), "arrival")).select(F.col("NSE Symbol").alias("symbol"))
+    """Symbols that the classification master leaves without industry: those of customers in debt."""
+    c = T.customers(spark, sf).where(F.col("balance") >= 0)
+    master = c.select(F.concat(F.lit("CU"), F.col("ticker").cast("string")).alias("Symbol"), F.col("sector").alias("Sector"), F.col("industry").alias("Industry"),
+                      F.col("basic_industry").alias("Basic Industry"), F.col("ticker").alias("arrival"))
+    classified = U.apply_classification(U.universe_frame(_eod(spark, sf), "arrival"), master, "arrival")
+    return U.missing_classification(classified).select(F.col("NSE Symbol").alias("symbol"))
 
 
 @query("taxonomy_coverage", with_([_EOD, _UNI], f"""select 'Sector' as column_name, {Q.r("count(*) filter (where sector <> '') / count(*) * 100.0")} as filled_pct from uni

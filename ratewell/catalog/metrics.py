@@ -23,6 +23,11 @@ def bars_table(spark, sf):
     return stored(spark, sf, "bars", lambda: T.daily_bars(spark, sf))
 
 
+def _two_indices(bars):
+    """The index the queries compare with, and another that they have to leave alone."""
+    return B.index_series(bars).unionByName(B.index_series(bars.withColumn("close", F.col("low") * 2), "LOW"))
+
+
 @query("daily_bars", with_([Q.BARS], "select ticker, date, open, high, low, close, volume, traded_value from bars"))
 def daily_bars(spark, sf):
     return T.daily_bars(spark, sf)
@@ -138,7 +143,7 @@ _VF = f"case when v60 > 0 then {Q.clip('v20 / v60', 0.5, 2.0)} else 1e0 end"
  from vols v join mom m using (ticker) join resid r using (ticker) left join trend t using (ticker)"""))
 def momentum_metrics(spark, sf):
     bars = bars_table(spark, sf)
-    return B.momentum_metrics(bars, B.index_series(bars))
+    return B.momentum_metrics(bars, _two_indices(bars))
 
 
 @query("momentum_merge", with_([Q.GEO, Q.SUPPLIERS] + _MOM, f"""select s.ticker, case when v.ticker is null then null else {Q.r(_DUAL)} end as "Dual Momentum", v.ticker is not null as updated
@@ -157,7 +162,7 @@ def rs_turn(spark, sf):
     from ratewell.functions.numeric import rounded
 
     bars = bars_table(spark, sf)
-    return B.relative_strength_turn(bars, B.index_series(bars)).select("ticker", rounded(F.col("rs_turn"), 6).alias("rs_turn"))
+    return B.relative_strength_turn(bars, _two_indices(bars)).select("ticker", rounded(F.col("rs_turn"), 6).alias("rs_turn"))
 
 
 @query("delivery_metrics", f"""with d as (select printf('SUPPLIER#%09d', l_suppkey) as symbol, cast(l_shipdate as date) as date, sum(case when l_returnflag <> 'R' then l_quantity else 0 end) / sum(l_quantity) * 100 as p from lineitem group by all),

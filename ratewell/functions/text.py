@@ -15,6 +15,11 @@ def is_missing(x: Column) -> Column:
     return x.isNull() | F.lower(F.trim(x)).isin(*S.MISSING_TOKENS)
 
 
+def is_unset(x: Column) -> Column:
+    """Blank or a token that a universe merge replaces; unlike :func:`is_missing` it goes by case."""
+    return x.isNull() | F.trim(x).isin(*S.UNSET_TOKENS)
+
+
 _NUMBER = "^([+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?)$"
 
 
@@ -80,10 +85,6 @@ def normal_recommendation(x: Column) -> Column:
     return mapped(F.lower(text), S.RECOMMENDATION_ALIASES, text)
 
 
-def title_label(x: Column) -> Column:
-    return F.initcap(F.replace(x, F.lit("_"), F.lit(" ")))
-
-
 def metric_name(x: Column) -> Column:
     return mapped(x, S.METRIC_NAMES, F.replace(x, F.lit("_"), F.lit(" ")))
 

@@ -63,6 +63,20 @@ def mean_back(column: str, sessions: int) -> Column:
     return F.when(F.max("n") >= sessions, F.avg(F.when(F.col("back") < sessions, F.col(column))))
 
 
+def with_held(rows: DataFrame, *columns: str) -> DataFrame:
+    """Add ``<column>_back`` (0 = latest bar that has the column) and ``<column>_n`` (bars that have it)."""
+    upto = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    for c in columns:
+        rows = rows.withColumn(f"{c}_n", F.count(c).over(Window.partitionBy("ticker"))).withColumn(
+            f"{c}_back", F.when(F.col(c).isNotNull(), F.col(f"{c}_n") - F.count(c).over(upto)))
+    return rows
+
+
+def mean_held(column: str, sessions: int, least: int) -> Column:
+    """Aggregate: mean over the latest ``sessions`` bars that have the column, null if fewer than ``least`` have it."""
+    return F.when(F.max(f"{column}_n") >= least, F.avg(F.when(F.col(f"{column}_back") < sessions, F.col(column))))
+
+
 def wilder_sum(gain: Column) -> Column:
     """Aggregate: final Wilder average of per-bar ``gain`` (14 periods, simple-mean seed), in closed form."""
     decay = F.lit((RSI_PERIOD - 1) / RSI_PERIOD)
@@ -73,7 +87,7 @@ def wilder_sum(gain: Column) -> Column:
 def price_metrics(bars: DataFrame) -> DataFrame:
     """One row per ticker: latest close, returns, range recovery, RSI state, average distances, ATR squeeze, volume, turnover."""
     change = F.col("close") - F.col("prev_close")
-    folded = numbered(bars).groupBy("ticker").agg(
+    folded = with_held(numbered(bars), "volume", "traded_value").groupBy("ticker").agg(
         F.max("n").alias("n"),
         close_back(0).alias("last"),
         close_back(252).alias("close_252"),
@@ -85,9 +99,9 @@ def price_metrics(bars: DataFrame) -> DataFrame:
         mean_back("close", 200).alias("sma_200"),
         F.avg(F.when(F.col("back") < 20, F.col("true_range"))).alias("atr_20"),
         F.avg(F.when(F.col("back") < 60, F.col("true_range"))).alias("atr_60"),
-        F.avg(F.when(F.col("back") < 20, F.col("volume"))).alias("volume_20"),
-        mean_back("volume", 60).alias("volume_60"),
-        mean_back("traded_value", 30).alias("turnover_30"),
+        mean_held("volume", 20, 60).alias("volume_20"),
+        mean_held("volume", 60, 60).alias("volume_60"),
+        mean_held("traded_value", 30, 30).alias("turnover_30"),
         wilder_sum(F.greatest(change, F.lit(0.0))).alias("avg_gain"),
         wilder_sum(F.greatest(-change, F.lit(0.0))).alias("avg_loss"),
     )
@@ -129,52 +143,65 @@ def index_returns(index_bars: DataFrame, lags: dict[str, int] | None = None) ->
         *[rounded((close_back(0) / close_back(lag) - 1.0) * 100.0).alias(name) for name, lag in lags.items()])
 
 
-def _with_directional_index(rows: DataFrame) -> DataFrame:
+def _with_directional_index(rows: DataFrame, segment: int = 512) -> DataFrame:
     """Add the per-bar directional index (``dx``, from the 14th true range on) and its sign (``up``).
 
-    A Wilder average is a sum with weights that shrink by 13/14 per bar, so each of the three is a
-    running sum of inflated terms, deflated again.  Weights older than 4000 bars are below any double,
-    so longer series start there, which keeps the inflated terms finite.
+    A Wilder average is a linear recurrence: over any run of bars the state maps to state x decay^length + own part.
+    Series are cut into segments; within one the own part is a running sum of inflated terms, deflated again, which
+    stays finite.  The segments before a bar's own are composed in order, so the state is carried through series of
+    any length, flat stretches included.
     """
     p, growth = RSI_PERIOD, RSI_PERIOD / (RSI_PERIOD - 1)
-    series = Window.partitionBy("ticker").orderBy("date")
-    running = series.rowsBetween(Window.unboundedPreceding, 0)
-    start = F.greatest(F.col("n") - 4000, F.lit(0))
+    series = Window.partitionBy("ticker")
+    inside = series.partitionBy("ticker", "__segment").orderBy("date")
     up, down = F.col("high") - F.col("prev_high"), F.col("prev_low") - F.col("low")
     terms = {
         "true_range": F.col("true_range"),
         "plus": F.when((up > down) & (up > 0), up).otherwise(0.0),
         "minus": F.when((down > up) & (down > 0), down).otherwise(0.0)}
-    rows = rows.withColumn("j", F.col("seq") - start - 2)
-    inflate = F.when(F.col("j") >= 0, F.pow(F.lit(growth), F.greatest(F.col("j"), F.lit(p - 1))) / p)
-    rows = rows.withColumns({f"w_{k}": F.sum(x * inflate).over(running) for k, x in terms.items()})
-    deflate = F.pow(F.lit(1 / growth), F.col("j"))
-    atr = F.col("w_true_range") * deflate
-    base = F.when(atr == 0, F.lit(1e-10)).otherwise(atr)
-    plus, minus = F.col("w_plus") * deflate / base * 100.0, F.col("w_minus") * deflate / base * 100.0
+    rows = rows.withColumn("j", F.col("seq") - 2).withColumn("__segment", F.floor(F.greatest("j", F.lit(0)) / segment))
+    place = F.col("j") - F.col("__segment") * segment
+    inflate = F.when(F.col("j") >= 0, F.pow(F.lit(growth), F.greatest(place, F.lit(p - 1) - F.col("__segment") * segment)) / p)
+    deflate = F.pow(F.lit(1 / growth), place)
+    rows = rows.withColumns({f"__{k}": F.coalesce(F.sum(x * inflate).over(inside.rowsBetween(Window.unboundedPreceding, 0)) * deflate, F.lit(0.0)) for k, x in terms.items()})
+    # full segments only have followers; the list grows by one entry a segment
+    closing = F.when(place == segment - 1, F.struct(*[F.col(f"__{k}").alias(k) for k in terms]))
+    before = F.collect_list(closing).over(series.orderBy("__segment").rangeBetween(Window.unboundedPreceding, -1))
+    whole, none = F.lit((1 / growth) ** segment), F.struct(*[F.lit(0.0).alias(k) for k in terms])
+    carried = F.when((place == 0) | (F.col("j") < 0), F.aggregate("__before", none, lambda state, own: F.struct(*[(state[k] * whole + own[k]).alias(k) for k in terms])))
+    rows = rows.withColumn("__before", before).withColumn("__carried", carried).withColumn(
+        "__carried", F.first("__carried", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    state = {k: F.col(f"__{k}") + F.coalesce(F.col(f"__carried.{k}"), F.lit(0.0)) * deflate / growth for k in terms}
+    base = F.when(state["true_range"] == 0, F.lit(1e-10)).otherwise(state["true_range"])
+    plus, minus = state["plus"] / base * 100.0, state["minus"] / base * 100.0
     total = plus + minus
     dx = F.abs(plus - minus) / F.when(total == 0, F.lit(1e-10)).otherwise(total) * 100.0
-    return rows.withColumn("dx", F.when(F.col("j") >= p - 1, dx)).withColumn("up", F.col("w_plus") > F.col("w_minus"))
+    return rows.withColumn("dx", F.when(F.col("j") >= p - 1, dx)).withColumn("up", state["plus"] > state["minus"]).drop(
+        "__before", "__carried", "__segment", *[f"__{k}" for k in terms])
 
 
 def _trend_strength() -> Column:
     """Aggregate: direction-signed Wilder average of the directional index around 50."""
     p = RSI_PERIOD
-    t, last = F.col("j") - (p - 1), F.least(F.col("n"), F.lit(4000)) - 2 - (p - 1)
+    t, last = F.col("j") - (p - 1), F.col("n") - 2 - (p - 1)
     adx = F.sum(F.col("dx") * F.pow(F.lit((p - 1) / p), F.when(t < p, last - (p - 1)).otherwise(last - t)) / p)
     rising = F.max(F.when(F.col("back") == 0, F.col("up")))
     return F.lit(50.0) + adx * F.when(rising, 0.5).otherwise(-0.5)
 
 
-def momentum_metrics(bars: DataFrame, index_bars: DataFrame, lookback: int = 252) -> DataFrame:
-    """Dual momentum, momentum quality, trend strength, mean-reversion risk and breakout score per ticker."""
+def momentum_metrics(bars: DataFrame, index_bars: DataFrame, lookback: int = 252, index_name: str = "ALL",
+                     segment: int = 512) -> DataFrame:
+    """Dual momentum, momentum quality, trend strength, mean-reversion risk and breakout score per ticker.
+
+    ``index_bars`` may hold several indices; ``index_name`` is the one to compare with.
+    """
     series = Window.partitionBy("ticker").orderBy("date")
     recent = F.col("back") < lookback
     span = F.least(F.col("n"), F.lit(lookback))
     position = span - 1 - F.col("back")
     log_close = F.when(recent, F.ln("close"))
     rows = (
-        _with_directional_index(numbered(bars))
+        _with_directional_index(numbered(bars), segment)
         .withColumn("peak", F.max(F.when(recent, F.col("close"))).over(
             series.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("pos", F.when(recent, position.cast("double")))
@@ -209,7 +236,7 @@ def momentum_metrics(bars: DataFrame, index_bars: DataFrame, lookback: int = 252
         (F.col("last") - F.col("bottom")) / (F.col("top") - F.col("bottom")) * 80.0
         + F.when(F.col("last") >= F.col("top") * 0.95, vol_factor * 10.0).otherwise(0.0), 0, 100)))
 
-    index = numbered(index_bars.select(
+    index = numbered(index_bars.where(F.col("index_name") == index_name).select(
         F.col("index_name").alias("ticker"), "date", F.col("close").alias("high"), F.col("close").alias("low"),
         "close")).agg(
         ((close_back(0) / close_back(129) - 1.0) * 100.0).alias("r6"),
@@ -230,11 +257,15 @@ def momentum_metrics(bars: DataFrame, index_bars: DataFrame, lookback: int = 252
     )
 
 
-def relative_strength_turn(bars: DataFrame, index_bars: DataFrame, short: int = 5, long: int = 10) -> DataFrame:
-    """Slope of the price/index ratio over the latest ``short`` sessions minus the ``long`` before; joined by date."""
+def relative_strength_turn(bars: DataFrame, index_bars: DataFrame, short: int = 5, long: int = 10,
+                           index_name: str = "ALL") -> DataFrame:
+    """Slope of the price/index ratio over the latest ``short`` sessions minus the ``long`` before; joined by date.
+
+    ``index_bars`` may hold several indices; ``index_name`` is the one to compare with.
+    """
     need = short + long + 2
     both = bars.select("ticker", "date", "close", "high", "low").join(
-        index_bars.select("date", F.col("close").alias("index_close")), "date")
+        index_bars.where(F.col("index_name") == index_name).select("date", F.col("close").alias("index_close")), "date")
     rows = numbered(both).withColumn("strength", ratio(F.col("close"), F.col("index_close"))).withColumn(
         "x", (F.lit(need) - 1 - F.col("back")).cast("double"))
     late, early = F.col("back") < short, (F.col("back") >= short) & (F.col("back") < short + long)

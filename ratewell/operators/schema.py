@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ratewell import columns as H
 from ratewell import settings as S
-from ratewell.functions.text import is_missing, number_sql, parse_bool, parse_events
+from ratewell.functions.text import is_unset, number_sql, parse_bool, parse_events
 
 PREFIX = "fund__"
 
@@ -96,14 +96,14 @@ def prefixed(df: DataFrame, key: str, prefix: str = PREFIX) -> DataFrame:
 
 
 def fill_missing(df: DataFrame, columns: Iterable[str], prefix: str = PREFIX) -> DataFrame:
-    """Keep a cell unless it is missing, else take the prefixed twin; creates absent columns."""
+    """Keep a cell unless it is unset, else take the prefixed twin; creates absent columns."""
     have = set(df.columns)
     changes = {}
     for c in columns:
         if prefix + c not in have:
             continue
         own = quoted(c) if c in have else F.lit("")
-        changes[c] = F.when(~is_missing(own), own).otherwise(quoted(prefix + c))
+        changes[c] = F.when(~is_unset(own), own).otherwise(quoted(prefix + c))
     return df.withColumns(changes) if changes else df
 
 

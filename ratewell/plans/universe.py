@@ -11,7 +11,7 @@ from ratewell.functions import formulas as M
 from ratewell.functions.bands import liquidity_risk, pledge_risk
 from ratewell.functions.numeric import rounded
 from ratewell.functions.taxonomy import template_code
-from ratewell.functions.text import clean_symbol, is_fund_like, is_missing
+from ratewell.functions.text import clean_symbol, is_fund_like, is_missing, is_unset
 from ratewell.operators.bars import price_metrics
 from ratewell.operators.schema import (
     find_column, first_value, in_template_order, input_columns, metric_columns, prefixed, quoted, fill_missing,
@@ -162,7 +162,7 @@ def merge_fundamentals(universe: DataFrame, fundamentals: DataFrame, arrival: st
 def has_any_value(columns: list[str]) -> Column:
     any_value = F.lit(False)
     for c in columns:
-        any_value = any_value | ~is_missing(quoted(c).cast("string"))
+        any_value = any_value | ~is_unset(quoted(c).cast("string"))
     return any_value
 
 

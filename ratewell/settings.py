@@ -182,6 +182,8 @@ NBFC_TOKENS = ("non banking financial company", "housing finance", "microfinance
 
 # --- text ----------------------------------------------------------------------------------
 MISSING_TOKENS = ("", "na", "nan", "none", "-", "—")
+# cells that a universe merge replaces, case as written
+UNSET_TOKENS = ("", "nan", "none", "-", "None")
 FUND_NAME_PATTERN = (r"(?i)\b(etf|etn|bees|index fund|liquid etf|gold etf|silver etf|exchange traded fund)\b")
 RECOMMENDATION_ALIASES = {
     "buy": "Buy Candidate", "buy candidate": "Buy Candidate", "hold": "Watchlist", "watch": "Watchlist",
