@@ -1,9 +1,10 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-Texts become templates: numbers, names (capitalised words inside a sentence) and units are replaced by typed
-placeholders, everything else is lower-cased words.  A number with its sign, decimals and thousands is one placeholder,
+Texts become templates: numbers (also as words), names (capitalised words inside a sentence) and units are replaced by
+typed placeholders, everything else is lower-cased words.  A number with its sign, decimals and thousands is one placeholder,
 and so are up to ``NAMES`` words of one name.  Items and documents give every window of ``WIDTH`` template words, so
-any run of ``WIDTH`` they share meets one.  Windows join by hash.  Along each copy (item and shift of the places) a slot
+any run of ``WIDTH`` they share meets one.  Windows are hashes of word codes and join as such; words are looked up again
+only for the places that met.  Along each copy (item and shift of the places) a slot
 value of the item must always stand for the same value in the document; copies with contradicting slots are no copies.
 
 Windows of fewer than ``LITERALS`` words that are no placeholders (dense ones) say little as templates: they join by
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratewell.llm.common import bounded_broadcast, texts
+from ratewell.llm.common import bounded_broadcast, cut, texts
 
 #: Words in a window; words that are one name when they follow each other.
 WIDTH, NAMES = 6, 4
@@ -27,11 +28,17 @@ LITERALS, RUN = 3, 10
 #: Least windows that join as templates for their share alone to tell an item.
 PLAIN = 3
 NUMBER, NAME, UNIT = "0n", "0p", "0u"
-#: Words taken as units of measure or money.
+#: Words taken as units of measure, time or money.
 UNITS = ("kg", "km", "cm", "mm", "mg", "ml", "lb", "lbs", "oz", "mph", "kmh", "kwh", "kw", "ghz", "mhz", "gb", "mb", "usd", "eur",
-         "gbp", "percent", "meter", "meters", "metre", "metres", "mile", "miles", "inch", "inches", "feet", "gram", "grams",
-         "kilogram", "kilograms", "liter", "liters", "litre", "litres", "hour", "hours", "minute", "minutes", "second", "seconds",
-         "dollar", "dollars", "euro", "euros", "cent", "cents", "pound", "pounds")
+         "gbp", "percent", "meter", "meters", "metre", "metres", "mile", "miles", "inch", "inches", "foot", "feet", "yard", "yards",
+         "gram", "grams", "kilogram", "kilograms", "ton", "tons", "tonne", "tonnes", "ounce", "ounces", "liter", "liters", "litre",
+         "litres", "gallon", "gallons", "pint", "pints", "cup", "cups", "acre", "acres", "hectare", "hectares", "degree", "degrees",
+         "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years",
+         "dollar", "dollars", "euro", "euros", "cent", "cents", "pound", "pounds", "rupee", "rupees", "yen")
+#: Words taken as numbers.
+NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen",
+                "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty",
+                "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion", "dozen")
 
 
 #: A name; a number with sign, decimals, thousands and the letters that follow; any other word.  Possessive, so long texts need no stack.
@@ -49,7 +56,11 @@ def raw_words(text: Column) -> Column:
 
 def _is_number(word: Column) -> Column:
     """Signs, point and digits are the only characters of words from ``+`` to ``9``."""
-    return F.substring(word, 1, 1).between("+", "9")
+    return F.substring(word, 1, 1).between("+", "9") | word.isin(*NUMBER_WORDS)
+
+
+def _is_slot(word: Column) -> Column:
+    return word.startswith("\x01") | _is_number(word) | word.isin(*UNITS)
 
 
 def template(words: Column) -> Column:
@@ -58,19 +69,31 @@ def template(words: Column) -> Column:
                        .when(w.isin(*UNITS), UNIT).otherwise(w))
 
 
-def _windows(rows: DataFrame, key: str) -> DataFrame:
-    """(key, total, pos, hash, slots, dense): every window of the text of ``total`` words."""
-    at = F.expr(f"sequence(1, size(words) - {WIDTH} + 1)")
-    placed = (rows.select(key, raw_words(F.col("text")).alias("words")).where(F.size("words") >= WIDTH)
-              .select(key, "words", template(F.col("words")).alias("form"))
-              .select(key, F.size("words").alias("total"), F.explode(F.transform(at, lambda i: F.struct(
-                  i.alias("pos"), F.slice("form", i, WIDTH).alias("form"), F.slice("words", i, WIDTH).alias("words")))).alias("w")))
-    hole = F.col("w.form").getItem
-    holes = sum((hole(k).isin(NUMBER, NAME, UNIT).cast("int") for k in range(WIDTH)), F.lit(0))
-    slots = F.when(holes > 0, F.filter("w.words", lambda w: w.startswith("\x01") | _is_number(w) | w.isin(*UNITS)))
-    dense = holes > WIDTH - LITERALS
-    code = F.when(dense, F.xxhash64(F.lit(True), "w.words")).otherwise(F.xxhash64("w.form"))
-    return placed.select(key, "total", F.col("w.pos").alias("pos"), code.alias("hash"), slots.alias("slots"), dense.alias("dense"))
+def _windows(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, total, pos, hash, dense): every window of the words of ``total`` words, as numbers only.
+
+    Each word is hashed once, as it is and as its placeholder; a window is the hash of the codes it covers.
+    """
+    own = rows.where(F.size("words") >= WIDTH).select(*keys, "words").select(
+        *keys, F.transform("words", lambda w: F.xxhash64(w)).alias("own"),
+        F.transform(template(F.col("words")), lambda f: F.xxhash64(f)).alias("form"),
+        F.transform("words", lambda w: _is_slot(w).cast("int")).alias("hole"))
+
+    def at(column: str, i: Column) -> list[Column]:
+        return [F.get(F.col(column), i + k) for k in range(WIDTH)]
+
+    def window(i: Column) -> Column:
+        holes = at("hole", i)
+        dense = sum(holes[1:], holes[0]) > WIDTH - LITERALS
+        return F.struct((i + 1).alias("pos"), F.when(dense, F.xxhash64(F.lit(True), *at("own", i))).otherwise(F.xxhash64(*at("form", i))).alias("hash"), dense.alias("dense"))
+
+    every = F.transform(F.sequence(F.lit(0), F.size("own") - WIDTH), window)
+    return own.select(*keys, F.size("own").alias("total"), F.explode(every).alias("w")).select(*keys, "total", "w.pos", "w.hash", "w.dense")
+
+
+def _slots(words: str, pos: Column) -> Column:
+    """Values of the placeholders in the window from ``pos`` on."""
+    return F.filter(F.slice(words, pos, F.lit(WIDTH)), _is_slot)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -83,14 +106,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
     lower = items.select("item_id", F.lower("text").alias("text"))  # for copies whose capitals are gone
-    index = (_windows(items, "item_id").unionAll(_windows(lower, "item_id")).dropDuplicates(["item_id", "total", "pos", "hash"])
-             .select("item_id", "total", F.col("pos").alias("item_pos"), "hash", F.col("slots").alias("item_slots"), "dense"))
+    worded = items.unionAll(lower).distinct().select("item_id", raw_words(F.col("text")).alias("words")).distinct().withColumn("version", F.xxhash64("words"))
+    index = _windows(worded, "item_id", "version").withColumnRenamed("pos", "item_pos")
     plain = F.when(~F.col("dense"), F.col("item_pos"))
     sizes = index.groupBy("item_id", "total").agg(F.count_distinct(plain).alias("n_plain"))
     index = index.join(sizes, ["item_id", "total"])
-    met = _windows(texts(docs).where("doc_id is not null"), "doc_id").drop("total", "dense").join(bounded_broadcast(index), "hash")
-    pairs = F.when(F.col("slots").isNotNull() & F.col("item_slots").isNotNull(), F.arrays_zip("item_slots", "slots"))
-    copies = (met.groupBy("doc_id", "item_id", "total", "n_plain", (F.col("pos") - F.col("item_pos")).alias("shift"))
+    docs = texts(docs).where("doc_id is not null").withColumn("copy", F.xxhash64("text"))
+    split = docs.select("doc_id", "copy", raw_words(F.col("text")).alias("words"))
+    met = cut(_windows(split, "doc_id", "copy").drop("total", "dense").join(bounded_broadcast(index), "hash")
+              .select("doc_id", "copy", "pos", "item_id", "version", "item_pos", "total", "n_plain", "dense"))
+    # the words of the places that met; each text is looked through once, whatever it holds
+    places = met.groupBy("doc_id", "copy").agg(F.collect_set("pos").alias("places"))
+    found = docs.join(places, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"]).select("doc_id", "copy", "places", raw_words(F.col("text")).alias("words"))
+    values = found.select("doc_id", "copy", F.explode(F.transform("places", lambda i: F.struct(i.alias("pos"), _slots("words", i).alias("slots")))).alias("p")).select("doc_id", "copy", "p.*")
+    used = met.select("item_id", "version", "item_pos").distinct()
+    item_values = used.join(worded, ["item_id", "version"]).select("item_id", "version", "item_pos", _slots("words", F.col("item_pos")).alias("item_slots"))
+    met = met.join(values, ["doc_id", "copy", "pos"]).join(bounded_broadcast(item_values), ["item_id", "version", "item_pos"])
+    pairs = F.when((F.size("slots") > 0) & (F.size("item_slots") > 0), F.arrays_zip("item_slots", "slots"))
+    copies = (met.groupBy("doc_id", "copy", "item_id", "total", "n_plain", (F.col("pos") - F.col("item_pos")).alias("shift"))
               .agg(F.collect_set("item_pos").alias("places"), F.collect_set(plain).alias("plain"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("filled")))
     consistent = F.size(F.array_distinct(F.transform("filled", lambda p: p["item_slots"]))) == F.size("filled")
     found = (copies.where(consistent).groupBy("doc_id", "item_id", "total", "n_plain")

@@ -71,3 +71,15 @@ def test_dense_items(spark, frame):
              (92, "how much is 30 plus 40 minus 50 times 60 over 70 of " + " ".join(str(k) for k in range(80, 280, 10)))]
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(docs), items(spark, wanted)).collect()}
     assert got == {(10 * k + offset, k) for k in range(4) for offset in range(3)} | {(92, 3)}
+
+
+def test_rows_of_one_document_and_words_as_values(spark, frame):
+    """Another copy under the same doc_id takes nothing away; units, times and numbers in words are values too."""
+    again = MOVED.replace("40", "77").replace("David", "Xaver")
+    tank = "The tank by the barn loses 40 litres of clean water per day while rain brings 12 litres back to it"
+    tank_other = tank.replace("40 litres", "900 gallons").replace("12 litres", "3.5 gallons").replace("per day", "per week")
+    fruit = "Carry three baskets with twelve apples to the old mill and come home with seven baskets of bread"
+    fruit_other = fruit.replace("three", "five").replace("twelve", "twenty").replace("seven", "40")
+    docs = [(10, MOVED), (11, MOVED), (11, again), (12, prose(5) + " " + tank_other), (13, fruit_other + " " + prose(9)), (14, prose(3) + " 0n 0p 0u " + prose(30))]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(docs), items(spark, [(2, PUZZLE), (5, tank), (6, fruit)])).collect()}
+    assert got == {(10, 2), (11, 2), (12, 5), (13, 6)}
