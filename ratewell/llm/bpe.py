@@ -27,9 +27,9 @@ from ratewell.llm.common import text_blocks, texts
 
 #: White space other than blanks and line ends, in any library's reading.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-BLOCK_CHARS = 24_000_000
-#: Words that a worker remembers of each kind before it starts afresh.
-CACHE_WORDS = 600_000
+BLOCK_CHARS = 3_000_000
+#: Bytes of words and their ids that a worker remembers before it starts afresh; what an entry takes besides them.
+CACHE_BYTES, ENTRY_BYTES = 64_000_000, 250
 NEVER = np.int64(2**62)
 
 
@@ -153,6 +153,16 @@ class Encoder:
         self.piece: dict[str, bytes] = {}   # one match of the pattern -> packed ids
         self.first: dict[str, bytes] = {}   # a run between blanks at the start of a line
         self.later: dict[str, bytes] = {}   # a run that follows a blank: its first match takes the blank
+        self.held = 0
+
+    def forget(self) -> None:
+        """Drop the words met so far; the vocabulary stays."""
+        self.piece, self.first, self.later, self.held = {}, {}, {}, 0
+
+    def _keep(self, kind: dict[str, bytes], words: Iterable[str], ids: Iterable[bytes]) -> None:
+        for word, packed in zip(words, ids):
+            kind[word] = packed
+            self.held += ENTRY_BYTES + len(word) + len(packed)
 
     def _cut(self, run: str, blank: str = "") -> list[str] | tuple[str, ...]:
         """Matches of the pattern in a run between blanks; of letters and a stop there is no need to search."""
@@ -165,14 +175,12 @@ class Encoder:
 
     def _learn(self, pieces: set[str]) -> None:
         new = [w for w in pieces if w not in self.piece]
-        self.piece.update(zip(new, self.vocabulary.replay([w.encode() for w in new])))
+        self._keep(self.piece, new, self.vocabulary.replay([w.encode() for w in new]))
 
     def encode(self, found: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, each match of the pattern encoded by itself."""
-        if len(self.first) + len(self.later) > CACHE_WORDS:
-            self.first, self.later = {}, {}
-        if len(self.piece) > CACHE_WORDS:
-            self.piece = {}
+        if self.held > CACHE_BYTES:
+            self.forget()
         simple_texts = [plain(t) for t in found]
         first, later, pieces = set(), set(), {"\n"}
         for text, simple in zip(found, simple_texts):
@@ -191,10 +199,8 @@ class Encoder:
         self._learn(pieces)
         del pieces
         piece = self.piece.__getitem__
-        for run in first:
-            self.first[run] = b"".join(map(piece, self._cut(run)))
-        for run in later:
-            self.later[run] = b"".join(map(piece, self._cut(run, " ")))
+        self._keep(self.first, first, (b"".join(map(piece, self._cut(run))) for run in first))
+        self._keep(self.later, later, (b"".join(map(piece, self._cut(run, " "))) for run in later))
         end, first_ids, later_ids, out = piece("\n"), self.first, self.later.__getitem__, []
         for text, simple in zip(found, simple_texts):
             if simple:
@@ -243,6 +249,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()),
                                               pa.array([np.frombuffer(p, "<u4").astype(np.int32) for p in packed],
                                                        pa.list_(pa.int32()))], ["doc_id", "ids"])
+        encoder(ranks.value, pattern).forget()
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -266,6 +273,7 @@ def encoding_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(packed_hex, pa.string()),
                  pa.array(text_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        encoder(ranks.value, pattern).forget()
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
