@@ -6,7 +6,7 @@ from importlib import import_module
 
 from ratewell.catalog.base import ORACLES, QUERIES
 
-MODULES = ("ingest", "metrics", "rating", "history", "scans", "audit")
+MODULES = ("ingest", "metrics", "rating", "history", "scans", "audit", "scenarios")
 
 
 def load():

@@ -224,13 +224,6 @@ def rate_universe_query(spark, sf):
         "ticker", "template", "peer_level", "opportunity_score", "investability_status", "recommendation", "selection_score")
 
 
-@query("portfolio_plan", with_(Q.rated() + [Q.BOARD, """best as (select * from (select *, row_number() over (partition by sector order by selection_score desc, ticker) as pos
- from board where recommendation in ('Buy Candidate') and confidence in ('Medium', 'High')) where pos <= 5 order by selection_score desc, ticker limit 18)"""],
- f"select ticker, sector, selection_score, {Q.r('least(100.0 / (select count(*) from best), 8.0)')} as suggested_weight_pct from best"))
-def portfolio_plan(spark, sf):
-    return O.portfolio_plan(board(spark, sf)).select("ticker", "sector", "selection_score", "suggested_weight_pct")
-
-
 @query("portfolio_watchlist", with_(Q.rated() + [Q.BOARD, """best as (select * from (select *, row_number() over (partition by sector order by selection_score desc, ticker) as pos
  from board where recommendation = 'Watchlist' and confidence in ('Medium', 'High')) where pos <= 5 order by selection_score desc, ticker limit 18)"""],
  f"select ticker, sector, selection_score, {Q.r('least(100.0 / (select count(*) from best), 8.0)')} as suggested_weight_pct from best"))
@@ -268,11 +261,6 @@ def undervalued_top200(spark, sf):
     return R.undervalued(board(spark, sf)).select("ticker", "valuation_gap_score", "potential_score", "opportunity_score")
 
 
-@query("buy_candidates", with_(Q.rated() + [Q.BOARD], "select ticker, selection_score from board where recommendation = 'Buy Candidate' and investability_status = 'Investable'"))
-def buy_candidates(spark, sf):
-    return R.buy_candidates(board(spark, sf)).select("ticker", "selection_score")
-
-
 @query("red_flag_exclusions", with_(Q.rated() + [Q.BOARD], "select ticker, red_flags, investability_status from board where red_flags < 40 or investability_status = 'Avoid'"))
 def red_flag_exclusions(spark, sf):
     return R.red_flag_exclusions(board(spark, sf)).select("ticker", "red_flags", "investability_status")
@@ -326,11 +314,6 @@ def action_sheet(spark, sf):
         "risk_reward_ratio", "gate_fail_reasons")
 
 
-@query("top_picks", with_(Q.rated(), "select ticker, selection_score from rated where gate_passed and recommendation = 'Buy Candidate' order by selection_score desc, ticker limit 10"))
-def top_picks(spark, sf):
-    return R.top_picks(ratings(spark, sf)).select("ticker", "selection_score")
-
-
 @query("top_n_cards", with_(Q.rated() + [Q.BOARD], f"""select c.ticker, c.card, c.score from cards c where c.ticker in (select ticker from board {_ORDER} limit 20)"""))
 def top_n_cards(spark, sf):
     return R.top_n_only(cards_long(ratings(spark, sf)), board(spark, sf), 20).select("ticker", "card", "score")
@@ -444,12 +427,6 @@ def template_support_override(spark, sf):
         "ticker", "recommendation", "investability_status", "template_supported", "gate_passed")
 
 
-@query("unsupported_list", with_(Q.rated() + _COVERAGE[-1:] + _TQ, "select r.ticker, r.template, blockers as support_reason from rated r join tqb using (template) where blockers <> '' order by 2, 1"))
-def unsupported_list(spark, sf):
-    rows = K.apply_template_support(ratings(spark, sf), K.template_quality(universe(spark, sf)))
-    return K.unsupported(rows).select("ticker", "template", "support_reason")
-
-
 @query("unknown_metrics", """select event_type as metric, count(*) as n_rows from events group by 1""")
 def unknown_metrics(spark, sf):
     """Metric names of the fact feed that no card weighs."""

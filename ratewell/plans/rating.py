@@ -10,6 +10,7 @@ from ratewell.operators.cards import score_maps, with_cards, with_composites
 from ratewell.operators.ordered import BLOCK_ROWS, is_large, written
 from ratewell.operators.overlays import market_mode, with_overlays, with_ranks
 from ratewell.operators.peers import peer_percentile, with_peer_level
+from ratewell.operators.quality import apply_template_support, template_quality
 
 LEADERBOARD_EXCLUDED = ("Uninvestable", "Insufficient Data", "Unsupported Data")
 
@@ -58,6 +59,11 @@ def leaderboard_order() -> list[Column]:
             F.col("ticker")]
 
 
+def supported_leaderboard(ratings: DataFrame, universe: DataFrame, enforce: bool = True) -> DataFrame:
+    """The leaderboard of a run: calls of templates whose cards cover too little are withdrawn first."""
+    return leaderboard(apply_template_support(ratings, template_quality(universe), enforce))
+
+
 def leaderboard(ratings: DataFrame, excluded: tuple[str, ...] = LEADERBOARD_EXCLUDED) -> DataFrame:
     """Flat rating rows without the excluded statuses, best selection score first (ties by ticker)."""
     columns = [
