@@ -318,33 +318,38 @@ def history_bands(spark, sf):
                        F.greatest(F.size("y") - 1, F.lit(0)).cast("long").alias("n_history"))
 
 
-@query("median_roce", with_([_YEAR, """pv as (select entity, max(case when fy = 2000 then f * 1.0 / c end) as a, max(case when fy = 1999 then f * 1.0 / c end) as b, max(case when fy = 1998 then f * 1.0 / c end) as d from yr group by entity)"""],
+_LATEST = "latest as materialized (select *, row_number() over (partition by entity order by fy desc) as back from yr)"
+
+
+@query("median_roce", with_([_YEAR, _LATEST, """pv as (select entity, max(case when back = 1 then f * 1.0 / c end) as a, max(case when back = 2 then f * 1.0 / c end) as b, max(case when back = 3 then f * 1.0 / c end) as d from latest group by entity)"""],
  """select entity, (select case when count(v) >= 2 then median(v) end from (select unnest([a, b, d]) as v) where v is not null) as roce_3y_median from pv"""))
 def median_roce(spark, sf):
+    """Median over the three latest years of each customer."""
     o = T.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("fy")).agg(
         F.sum(T.cents("o_totalprice")).alias("c"),
         F.sum(F.when(F.col("o_orderstatus") == "F", T.cents("o_totalprice")).otherwise(0)).alias("f"))
-    wide = o.groupBy("entity").agg(*[F.max(F.when(F.col("fy") == fy, F.col("f") / F.col("c"))).alias(n) for n, fy in (
-        ("a", 2000), ("b", 1999), ("d", 1998))])
-    return wide.select("entity", M.roce_median(F.col("a"), F.col("b"), F.col("d")).alias("roce_3y_median"))
+    years = o.groupBy("entity").agg(F.reverse(F.array_sort(F.collect_list(F.struct("fy", (F.col("f") / F.col("c")).alias("v"))))).alias("y"))
+    return years.select("entity", M.roce_median(*[F.get("y", F.lit(i))["v"] for i in range(3)]).alias("roce_3y_median"))
 
 
 _BEN = "-4.84 + 0.92e0 * a + 0.528e0 * b + 0.404e0 * d + 0.892e0 * a + 0.115e0 * b + -0.172e0 * d + 4.679e0 * (a - b) + -0.327e0 * d"
 
 
-@query("beneish_scores", with_([_YEAR, """pv as (select entity, max(case when fy = 2000 then c end) * 1e0 / max(case when fy = 1999 then c end) as a, max(case when fy = 2000 then f end) * 1e0 / max(case when fy = 1999 then c end) as b,
- max(case when fy = 2000 then n end) * 1e0 / max(case when fy = 1999 then n end) as d from yr group by entity)"""],
+@query("beneish_scores", with_([_YEAR, _LATEST, """pv as (select entity, max(case when back = 1 then c end) * 1e0 / max(case when back = 2 then c end) as a, max(case when back = 1 then f end) * 1e0 / max(case when back = 2 then c end) as b,
+ max(case when back = 1 then n end) * 1e0 / max(case when back = 2 then n end) as d from latest group by entity)"""],
  f"select entity, {Q.r(_BEN, 6)} as m_score, case when {_BEN} > -1.78 then 100e0 when {_BEN} > -2.22 then 50e0 when {_BEN} is not null then 0e0 end as raw_risk from pv"))
 def beneish_scores(spark, sf):
+    """The two latest years of each customer against each other."""
     o = T.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("fy")).agg(
         F.sum(T.cents("o_totalprice")).alias("c"), F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("o_orderstatus") == "F", T.cents("o_totalprice")).otherwise(0)).alias("f"))
 
-    def at(column, fy):
-        return F.max(F.when(F.col("fy") == fy, F.col(column)))
+    years = o.groupBy("entity").agg(F.reverse(F.array_sort(F.collect_list(F.struct("fy", "c", "f", "n")))).alias("y"))
+
+    def at(column, back):
+        return F.get("y", F.lit(back))[column]
 
-    wide = o.groupBy("entity").agg((at("c", 2000) / at("c", 1999)).alias("a"), (at("f", 2000) / at("c", 1999)).alias("b"),
-                                   (at("n", 2000) / at("n", 1999)).alias("d"))
+    wide = years.select("entity", (at("c", 0) / at("c", 1)).alias("a"), (at("f", 0) / at("c", 1)).alias("b"), (at("n", 0) / at("n", 1)).alias("d"))
     a, b, d = F.col("a"), F.col("b"), F.col("d")
     score = M.beneish_score(dsri=a, gmi=b, aqi=d, sgi=a, depi=b, sgai=d, lvgi=d, tata=a - b)
     return wide.select("entity", rounded(score, 6).alias("m_score"), M.beneish_risk(score).alias("raw_risk"))
@@ -405,3 +410,26 @@ def surveillance_rows(spark, sf):
  select page_id, unnest(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1)) as item, generate_subscripts(regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1), 1) as p from pages)""")
 def html_list_values(spark, sf):
     return L.list_values(T.table(spark, sf, "pages")).select("page_id", "pos", "label", "link")
+
+
+def _pages_with_figures(spark, sf):
+    """The pages, each with a list of ratios and a table of two years put behind it."""
+    k = F.col("page_id").cast("string")
+    extra = F.concat(
+        F.lit('<ul id="top-ratios"><li class="flex"><span class="name">Stock <b>P/E</b></span><span class="nowrap number">1,'), F.lpad((F.col("page_id") % 1000).cast("string"), 3, "0"), F.lit('.5</span></li>'),
+        F.lit('<li><span class="name">Debt</span><span class="number">-</span></li></ul><TABLE><tr><th></th><th>2023</th></tr><tr class="strong"><td class="text">Sales&nbsp;+</td><td>1,'),
+        F.lpad((F.col("page_id") % 1000).cast("string"), 3, "0"), F.lit("</td><td> "), k, F.lit("%</td></tr><tr><td></td><td>9</td></tr>\n<tr><td>Page "), k, F.lit("</td></tr></table>"))
+    return T.table(spark, sf, "pages").withColumn("html", F.concat(F.coalesce("html", F.lit("")), extra))
+
+
+@query("html_numbers", "select page_id, 'Stock P/E' as label, 1000 + page_id % 1000 + 0.5e0 as value from pages")
+def html_numbers(spark, sf):
+    """Figures of the ratio lists; cells without a number have none."""
+    return L.list_values(_pages_with_figures(spark, sf)).where("value is not null").select("page_id", "label", "value")
+
+
+@query("html_table_rows", """select page_id, 'Sales' as label, '1' || lpad((page_id % 1000)::varchar, 3, '0') || '|' || page_id || '%' as cells from pages
+ union all select page_id, 'Page ' || page_id, '' from pages""")
+def html_table_rows(spark, sf):
+    """Labelled table rows; rows without a label are left out."""
+    return L.table_rows(_pages_with_figures(spark, sf)).select("page_id", "label", F.array_join("cells", "|").alias("cells"))

@@ -230,8 +230,8 @@ _BAL = [_YEAR, """bal as materialized (select *, c / 1e2 as sales, f / 1e2 as pa
 
 
 @query("balance_ratios", with_(_BAL, f"""select x.entity, x.fy, x.de as debt_to_equity, y.de as de_fy1, x.cr as current_ratio, y.cr as current_ratio_fy1, x.at as asset_turnover, y.at as asset_turnover_fy1, x.roa, y.roa as roa_fy1,
- x.fa as gross_block_fy0, z.fa as gross_block_fy3, x.pat - x.borrow as fcf, case when x.sales > 0 then {Q.r('(x.pat - x.borrow) / x.sales * 100.0')} end as fcf_yield,
- case when x.pat <> 0 then {Q.r('x.pat / x.pat')} end as cfo_pat_ratio from br x left join br y on y.entity = x.entity and y.b = 1 left join br z on z.entity = x.entity and z.b = 3 where x.b = 0"""))
+ x.fa as gross_block_fy0, z.fa as gross_block_fy3, (x.sales - x.borrow) + -x.borrow as fcf, case when x.sales > 0 then {Q.r('((x.sales - x.borrow) + -x.borrow) / x.sales * 100.0')} end as fcf_yield,
+ case when x.pat <> 0 then {Q.r('(x.sales - x.borrow) / x.pat')} end as cfo_pat_ratio from br x left join br y on y.entity = x.entity and y.b = 1 left join br z on z.entity = x.entity and z.b = 3 where x.b = 0"""))
 def balance_ratios(spark, sf):
     o = T.table(spark, sf, "orders")
     y = o.groupBy(F.col("o_custkey").alias("entity"), F.year("o_orderdate").alias("fy")).agg(
@@ -243,7 +243,7 @@ def balance_ratios(spark, sf):
         "entity", "fy", (c / 100.0).alias("sales"), (f / 100.0).alias("pat"), (p / 100.0).alias("borrowings"),
         ((c - p) / 100.0).alias("equity"), ((f + n * 100) / 100.0).alias("current_assets"),
         ((p + n * 100) / 100.0).alias("current_liabilities"), (n * 1000.0).alias("fixed_assets"),
-        ((c + f) / 100.0).alias("total_assets"), (f / 100.0).alias("cfo"), (-p / 100.0).alias("cfi"),
+        ((c + f) / 100.0).alias("total_assets"), (c / 100.0 - p / 100.0).alias("cfo"), (-p / 100.0).alias("cfi"),
         (c / 100.0).alias("market_cap")))
 
 
