@@ -13,14 +13,23 @@ from pyspark.sql import functions as F
 from ratewell import settings as S
 from ratewell.catalog import rating as RT
 from ratewell.catalog import sql as Q
-from ratewell.catalog.base import query, stored
+from ratewell.catalog.base import ORACLES, query, stored
+from ratewell.catalog.history import _recs
+from ratewell.catalog.metrics import bars_table
 from ratewell.catalog.sql import with_
+from ratewell.operators import asof as P
+from ratewell.operators import backtest as B
 from ratewell.operators import overlays as O
 from ratewell.operators import quality as K
 from ratewell.operators import reports as R
+from ratewell.operators.ordered import exact_quantiles
+from ratewell.operators.peers import peer_percentile, with_peer_level
 from ratewell.plans.rating import leaderboard, rate_universe, supported_leaderboard
+from ratewell.sources import tables as T
 
 SHIFT = 1000
+#: Rows of a block in the queries that cut the groups of the test tables as a large run would.
+BLOCK = 97
 _THIN = tuple(S.CARD_WEIGHTS["C"]["growth"])
 
 
@@ -207,3 +216,43 @@ def document_fields(spark, sf):
     kept = ("final_opportunity_score", "recommendation", "recommendation_confidence", "market_mode", "selection_score")
     return docs.select("ticker", "document.stock_name", F.concat_ws("/", *[f"document.classification.{c}" for c in ("macro_sector", "sector", "industry", "basic_industry")]).alias("classification"),
                        *cards, *[f"document.{c}" for c in kept], F.col("document.investability_gate_passed").alias("gate_passed"), F.array_join("document.gate_fail_reasons", "; ").alias("gate_fail_reasons"))
+
+
+# --- groups that are cut into blocks -----------------------------------------------------------
+@query("peer_percentile_in_blocks", ORACLES["peer_percentile_acctbal"])
+def peer_percentile_in_blocks(spark, sf):
+    """Peer scores where regions, nations and the whole value list are cut into key ranges."""
+    c = T.customers(spark, sf)
+    entities = with_peer_level(c.select("ticker", "basic_industry", "industry", "sector"), large=True, block_rows=BLOCK)
+    metrics = c.select("ticker", F.lit("balance").alias("metric"), F.col("balance").alias("value"))
+    return peer_percentile(entities, metrics, (), large=True, block_rows=BLOCK).select("ticker", "peer_level", "peer_value", F.col("value").alias("balance"), "score")
+
+
+@query("backtest_stats_in_blocks", ORACLES["backtest_stats"])
+def backtest_stats_in_blocks(spark, sf):
+    returns = B.returns_long(B.forward_returns(_recs(spark, sf), bars_table(spark, sf)))
+    return B.backtest_stats(returns, large=True, block_rows=BLOCK)
+
+
+@query("pit_as_of_in_blocks", ORACLES["pit_as_of"])
+def pit_as_of_in_blocks(spark, sf):
+    """The latest view value before every purchase, with the time lines of users cut into blocks."""
+    facts = T.facts(spark, sf)
+    requests = facts.where(F.col("metric") == "purchase").select("ticker", F.col("ingest_id").alias("request_id"), F.col("filing_date").alias("as_of"))
+    views = facts.where(F.col("metric") == "view").withColumnRenamed("ingest_id", "fid")
+    return P.as_of_join(requests, views, ["ticker"], "as_of", "filing_date", ["value", "fid"], ["period_end_date", "fid"], large=True, block_rows=BLOCK)
+
+
+@query("quantiles_in_blocks", "select l_returnflag as flag, count(*) as n, quantile_cont(l_extendedprice, 0.03) as p3, quantile_cont(l_extendedprice, 0.5) as p50, quantile_cont(l_extendedprice, 0.97) as p97 from lineitem group by l_returnflag")
+def quantiles_in_blocks(spark, sf):
+    """Exact quantiles of three groups that hold all rows, each cut into many ranges."""
+    rows = T.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("v"))
+    return exact_quantiles(rows, ["flag"], "v", {"p3": 0.03, "p50": 0.5, "p97": 0.97}, large=True, block_rows=997)
+
+
+@query("ranks_in_blocks", with_(rated(), f"""select ticker, sector_rank, case when sector_rank is not null then {Q.percentile_of('sector_rank', 'sector_n')} end as sector_percentile,
+ basic_industry_rank, case when basic_industry_rank is not null then {Q.percentile_of('basic_industry_rank', 'basic_n')} end as basic_industry_percentile from rated"""))
+def ranks_in_blocks(spark, sf):
+    """A rating run in which every group above ten entities is cut."""
+    rows = stored(spark, sf, "scenario_blocks", lambda: rate_universe(universe(spark, sf), "bull", block_rows=10))
+    return rows.select("ticker", "sector_rank", "sector_percentile", "basic_industry_rank", "basic_industry_percentile")

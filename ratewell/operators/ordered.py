@@ -22,6 +22,8 @@ from ratewell.session import shared_folder
 
 BLOCK_ROWS = 1_000_000
 SAMPLES_PER_BLOCK = 20
+#: Borders that a quantile sketch of a group gives, and the sketch's size (about a thousandth of the rows off at most).
+GRID, SKETCH_SIZE = 1024, 4096
 
 
 def is_large(df: DataFrame, block_rows: int = BLOCK_ROWS) -> bool:
@@ -61,11 +63,35 @@ def match_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], size: s
         *[F.coalesce(F.col(f"__heavy.{c}"), F.col(f"__light.{c}")).alias(c) for c in values])
 
 
+def with_range(df: DataFrame, groups: Sequence[str], value: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add ``__block`` by a numeric value: rows of one group with smaller values never lie in a later block.
+
+    Borders come from a mergeable quantile sketch of the group, of one size whatever the group holds: parts are
+    sketched before the shuffle.  A group has ``GRID`` blocks at most, which then hold more than ``block_rows`` rows.
+    """
+    groups, number = list(groups), F.col(value).cast("double")
+    blocks = F.least(F.lit(GRID), F.ceil(F.col("__n") / block_rows)).cast("int")
+    grid = F.array(*[F.lit(i / GRID) for i in range(1, GRID)])
+    borders = (
+        df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"), F.kll_sketch_agg_double(number, SKETCH_SIZE).alias("__sketch"))
+        .where(F.col("__n") > block_rows)
+        .select(*groups, blocks.alias("__blocks"), F.kll_sketch_get_quantile_double("__sketch", grid).alias("__grid"))
+        .select(*groups, F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("__blocks") - 1), lambda i: F.element_at(
+            "__grid", F.greatest(F.lit(1), F.floor(i * (GRID / F.col("__blocks"))).cast("int"))))).alias("__borders"))
+    )
+    return (
+        df.join(F.broadcast(borders), groups, "left")  # a row for each group above block_rows
+        .withColumn("__block", F.when(F.col("__borders").isNull(), 0).otherwise(
+            F.size(F.filter("__borders", lambda b: b < number))))
+        .drop("__borders")
+    )
+
+
 def with_block(df: DataFrame, groups: Sequence[str], key: Column, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``__block``: rows of one group with smaller ``key`` never lie in a later block.
 
-    Borders come from a hash sample of about twenty keys per block; small groups stay whole in
-    block 0.  ``key`` may be any orderable value, a struct too.
+    For keys that are no numbers (structs that settle ties).  Borders come from a hash sample of about twenty keys
+    per block; small groups stay whole in block 0.
     """
     groups = list(groups)
     keyed = df.withColumn("__key", key)
@@ -117,7 +143,7 @@ def cumulative_counts(df: DataFrame, groups: Sequence[str], value: str, large: b
         ranked = counted.withColumn("upto", F.sum("cnt").over(running)).withColumn(
             "n", F.sum("cnt").over(Window.partitionBy(*groups)))
     else:
-        blocked = with_block(counted, groups, F.col(value), block_rows)
+        blocked = with_range(counted, groups, value, block_rows)
         running = Window.partitionBy(*groups, "__block").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         ranked = blocked.join(block_offsets(blocked, groups, F.col("cnt")), [*groups, "__block"]).withColumn(
             "upto", F.col("__before") + F.sum("cnt").over(running))
