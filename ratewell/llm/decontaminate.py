@@ -27,7 +27,6 @@ WIDTH, NAMES = 6, 4
 LITERALS, RUN = 3, 10
 #: Least windows that join as templates for their share alone to tell an item.
 PLAIN = 3
-NUMBER, NAME, UNIT = "0n", "0p", "0u"
 #: Words taken as units of measure, time or money.
 UNITS = ("kg", "km", "cm", "mm", "mg", "ml", "lb", "lbs", "oz", "mph", "kmh", "kwh", "kw", "ghz", "mhz", "gb", "mb", "usd", "eur",
          "gbp", "percent", "meter", "meters", "metre", "metres", "mile", "miles", "inch", "inches", "foot", "feet", "yard", "yards",
@@ -41,43 +40,38 @@ NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "
                 "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion", "dozen")
 
 
-#: A name; a number with sign, decimals, thousands and the letters that follow; any other word.  Possessive, so long texts need no stack.
-_W = r"[\p{L}\p{M}\p{N}]"
+#: A word that starts with a letter; a name; a number with sign, decimals, thousands and the letters that follow; any
+#: other word.  Possessive, so long texts need no stack; frequent characters first in each class.
+_W = r"[a-z0-9\p{L}\p{M}\p{N}]"
 _NAME = rf"\x01{_W}++(?:-{_W}++)*+"
-TOKEN = rf"{_NAME}(?: {_NAME}){{0,{NAMES - 1}}}+|(?:(?<!{_W})[-+])?(?:(?<!{_W})\.)?(?<!{_W})[0-9]++(?:[.,][0-9]++)*+{_W}*+|{_W}++"
+TOKEN = rf"[a-z\p{{L}}\p{{M}}]{_W}*+|{_NAME}(?: {_NAME}){{0,{NAMES - 1}}}+|(?:(?<!{_W})[-+])?(?:(?<!{_W})\.)?(?<!{_W})[0-9]++(?:[.,][0-9]++)*+{_W}*+|{_W}++"
 
 
 def raw_words(text: Column) -> Column:
     """Lower-cased words in order; names carry a leading U+0001, numbers may have a leading sign or point."""
     clean = F.translate(F.coalesce(text, F.lit("")), "\x01\u2212", " -")
-    marked = F.regexp_replace(clean, r"(?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{Ll})", "\x01")
+    marked = F.regexp_replace(clean, r" (?<=[a-z\p{L}\p{N},;:] )(?=\p{Lu}\p{Ll})", " \x01")
     return F.regexp_extract_all(F.lower(marked), F.lit(TOKEN), F.lit(0))
 
 
-def _is_number(word: Column) -> Column:
-    """Signs, point and digits are the only characters of words from ``+`` to ``9``."""
-    return F.substring(word, 1, 1).between("+", "9") | word.isin(*NUMBER_WORDS)
+def kind(word: Column) -> Column:
+    """0 for a plain word, 1 for a name, 2 for a number, 3 for a unit.
 
-
-def _is_slot(word: Column) -> Column:
-    return word.startswith("\x01") | _is_number(word) | word.isin(*UNITS)
-
-
-def template(words: Column) -> Column:
-    """Words with numbers, names and units replaced by their placeholders."""
-    return F.transform(words, lambda w: F.when(w.startswith("\x01"), NAME).when(_is_number(w), NUMBER)
-                       .when(w.isin(*UNITS), UNIT).otherwise(w))
+    Signs, point and digits are the characters from ``+`` to ``9`` that a word can start with; letters come behind.
+    """
+    return (F.when(word < ":", F.when(word >= "+", 2).when(word.startswith("\x01"), 1).otherwise(0))
+            .when(word.isin(*UNITS, *NUMBER_WORDS), F.when(word.isin(*UNITS), 3).otherwise(2)).otherwise(0))
 
 
 def _windows(rows: DataFrame, *keys: str) -> DataFrame:
     """(keys, total, pos, hash, dense): every window of the words of ``total`` words, as numbers only.
 
-    Each word is hashed once, as it is and as its placeholder; a window is the hash of the codes it covers.
+    Each word is hashed once; in templates the kind of a placeholder stands for its hash.
     """
-    own = rows.where(F.size("words") >= WIDTH).select(*keys, "words").select(
-        *keys, F.transform("words", lambda w: F.xxhash64(w)).alias("own"),
-        F.transform(template(F.col("words")), lambda f: F.xxhash64(f)).alias("form"),
-        F.transform("words", lambda w: _is_slot(w).cast("int")).alias("hole"))
+    words = rows.where(F.size("words") >= WIDTH).select(*keys, F.transform("words", lambda w: F.struct(F.xxhash64(w).alias("own"), kind(w).alias("kind"))).alias("codes"))
+    own = words.select(*keys, F.transform("codes", lambda c: c["own"]).alias("own"),
+                       F.transform("codes", lambda c: F.when(c["kind"] == 0, c["own"]).otherwise(c["kind"].cast("long"))).alias("form"),
+                       F.transform("codes", lambda c: F.when(c["kind"] == 0, 0).otherwise(1)).alias("hole"))
 
     def at(column: str, i: Column) -> list[Column]:
         return [F.get(F.col(column), i + k) for k in range(WIDTH)]
@@ -93,7 +87,7 @@ def _windows(rows: DataFrame, *keys: str) -> DataFrame:
 
 def _slots(words: str, pos: Column) -> Column:
     """Values of the placeholders in the window from ``pos`` on."""
-    return F.filter(F.slice(words, pos, F.lit(WIDTH)), _is_slot)
+    return F.filter(F.slice(words, pos, F.lit(WIDTH)), lambda w: kind(w) > 0)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -117,7 +111,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
               .select("doc_id", "copy", "pos", "item_id", "version", "item_pos", "total", "n_plain", "dense"))
     # the words of the places that met; each text is looked through once, whatever it holds
     places = met.groupBy("doc_id", "copy").agg(F.collect_set("pos").alias("places"))
-    found = docs.join(places, ["doc_id", "copy"]).dropDuplicates(["doc_id", "copy"]).select("doc_id", "copy", "places", raw_words(F.col("text")).alias("words"))
+    few = docs.join(bounded_broadcast(met.select("doc_id", "copy").distinct()), ["doc_id", "copy"], "left_semi")
+    found = few.dropDuplicates(["doc_id", "copy"]).join(places, ["doc_id", "copy"]).select("doc_id", "copy", "places", raw_words(F.col("text")).alias("words"))
     values = found.select("doc_id", "copy", F.explode(F.transform("places", lambda i: F.struct(i.alias("pos"), _slots("words", i).alias("slots")))).alias("p")).select("doc_id", "copy", "p.*")
     used = met.select("item_id", "version", "item_pos").distinct()
     item_values = used.join(worded, ["item_id", "version"]).select("item_id", "version", "item_pos", _slots("words", F.col("item_pos")).alias("item_slots"))
