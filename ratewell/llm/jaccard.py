@@ -96,18 +96,12 @@ def shingle_counts(docs: DataFrame, width: int, percent: int, bits: int) -> tupl
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, lengths, waiting, size = np.zeros(1 << bits, np.uint32), {}, [], 0
+        counts, lengths = np.zeros(1 << bits, np.uint32), {}
         for _, found in _each(batches, width):
-            waiting.append((found >> np.uint64(64 - bits)).astype(np.int64))
-            size += len(found)
-            if size >= 1 << bits:
-                counts += np.bincount(np.concatenate(waiting), minlength=1 << bits).astype(np.uint32)
-                waiting, size = [], 0
+            np.add.at(counts, found >> np.uint64(64 - bits), np.uint32(1))
             if len(found):
                 step = 1 << max(0, len(found).bit_length() - 4)
                 lengths[len(found) // step * step] = lengths.get(len(found) // step * step, 0) + 1
-        if size:
-            counts += np.bincount(np.concatenate(waiting), minlength=1 << bits).astype(np.uint32)
         for at in range(0, 1 << bits, BLOCK):
             part = counts[at:at + BLOCK]
             if part.any():

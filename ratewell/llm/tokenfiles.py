@@ -26,8 +26,8 @@ from ratewell.llm.common import Scratch, bounded_broadcast, text_blocks, texts
 
 CHUNK, DIRECTORY = 8, 512
 SEGMENT_IDS = 2_000_000
-BLOCK_CHARS = 16_000_000
-CACHE_WORDS = 500_000
+BLOCK_CHARS = 4_000_000
+CACHE_WORDS = 1_000_000
 POPCOUNT = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 LEVELS = "array<struct<chunks: binary, more: binary, ranks: binary>>"
 SEGMENT = f"part int, seq int, first_id long, doc_ids array<long>, offsets array<long>, n long, levels {LEVELS}"
@@ -102,38 +102,75 @@ class WordTokenizer:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         probe = "It's Été 12 foo-bar, x"
         self.by_words = bool(suffix) and self._whole([probe])[0].tolist() == [i for w in PIECES.findall(probe.lower()) for i in self._whole([w])[0].tolist()]
-        self.words: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {}
+        #: Ids of runs and words, in two generations: what is met again moves up, the rest goes with the old one.
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, found: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(found, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
+        width = np.dtype(self.kind).itemsize
         for a in range(0, len(new), 256):
             part = new[a:a + 256]
             ids = self._whole([" ".join(part)])[0]
-            ends = np.flatnonzero(self.last[ids]) + 1
-            cut = np.split(ids, ends[:-1]) if len(ends) == len(part) else self._whole(part)
-            self.words.update((w, x.astype("<u2" if len(self.last) <= 1 << 16 else "<u4").tobytes()) for w, x in zip(part, cut))
+            ends = (np.flatnonzero(self.last[ids]) + 1) * width
+            if len(ends) == len(part):
+                packed, start = ids.astype(self.kind).tobytes(), 0
+                for word, end in zip(part, ends.tolist()):
+                    self.young[word] = packed[start:end]
+                    start = end
+            else:
+                self.young.update((w, x.astype(self.kind).tobytes()) for w, x in zip(part, self._whole(part)))
+
+    def _know(self, wanted: set[str], several: bool) -> dict[str, list[str] | tuple[str, ...]]:
+        """Move up what the old generation has; of the rest the runs of several words, with their words."""
+        new, cuts, old = [], {}, self.old.get
+        for run in wanted:
+            ids = old(run)
+            if ids is not None:
+                self.young[run] = ids
+                continue
+            cut = self._cut(run) if several else (run,)
+            if len(cut) == 1 and cut[0] == run:
+                new.append(run)
+            else:
+                cuts[run] = cut
+        self._learn(new)
+        return cuts
+
+    @property
+    def kind(self) -> str:
+        """Width of an id in packed form."""
+        return "<u2" if len(self.last) <= 1 << 16 else "<u4"
 
     def encode(self, found: list[str]) -> list[np.ndarray]:
-        if len(self.runs) > CACHE_WORDS:
-            self.runs = {}
-        if len(self.words) > CACHE_WORDS:
-            self.words = {}
-        simple = [self.by_words and SIMPLE.match(t) is not None and not any(s in t for s in self.special) for t in found]
-        runs: set[str] = set()
-        for text, ok in zip(found, simple):
-            if ok:
-                runs.update(text.lower().split())
-        new = [r for r in runs if r not in self.runs]
-        del runs
-        words = {w for r in new for w in self._cut(r)}
-        self._learn([w for w in words if w not in self.words])
-        for r in new:
-            self.runs[r] = b"".join(map(self.words.__getitem__, self._cut(r)))
-        kind, get = "<u2" if len(self.last) <= 1 << 16 else "<u4", self.runs.__getitem__
-        return [np.frombuffer(b"".join(map(get, t.lower().split())), kind).astype(np.uint32) if ok else self._whole([t])[0] for t, ok in zip(found, simple)]
+        return [np.frombuffer(x, self.kind).astype(np.uint32) for x in self.packed(found)]
+
+    def packed(self, found: list[str]) -> list[bytes]:
+        """Packed ids of each text.  Texts of which all runs are known are looked up at once, the others after learning."""
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        out, waiting, unknown, get = [], [], set(), self.young.get
+        for place, text in enumerate(found):
+            if not self.by_words or SIMPLE.match(text) is None or any(s in text for s in self.special):
+                out.append(self._whole([text])[0].astype(self.kind).tobytes())
+                continue
+            runs = text.lower().split()
+            parts = list(map(get, runs))
+            if None in parts:
+                unknown.update(run for run, part in zip(runs, parts) if part is None)
+                waiting.append((place, runs))
+                out.append(b"")
+            else:
+                out.append(b"".join(parts))
+        cuts = self._know(unknown, True)
+        self._know({w for cut in cuts.values() for w in cut if w not in self.young}, False)
+        for run, cut in cuts.items():
+            self.young[run] = b"".join(map(self.young.__getitem__, cut))
+        for place, runs in waiting:
+            out[place] = b"".join(map(get, runs))
+        return out
 
     @staticmethod
     def _cut(run: str) -> list[str] | tuple[str, ...]:
@@ -164,17 +201,21 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, scratch
     """
     with open(tokenizer_path, "rb") as f:
         config = docs.sparkSession.sparkContext.broadcast(f.read())  # of the vocabulary's size
-    docs = texts(docs)
+    docs, wide = texts(docs), end_id >= 1 << 16
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts))) if parts > 1 else []
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, found in text_blocks(batches, BLOCK_CHARS):
-            packed = [np.append(x, end_id) for x in _tokenizer(config.value).encode(found)]
-            small = [(x.astype("<u2") if x.max() < 1 << 16 else x.astype("<u4")).tobytes() for x in packed]
+            tokenizer = _tokenizer(config.value)
+            packed = tokenizer.packed(found)
+            if wide and tokenizer.kind == "<u2":
+                packed = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in packed]
+            width = 4 if wide else np.dtype(tokenizer.kind).itemsize
+            end = end_id.to_bytes(width, "little")
             part = np.searchsorted(cuts, [-np.inf if i is None else i for i in ids], "left")
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(ids, pa.int64()), pa.array([len(x) for x in packed], pa.int64()),
-                                              pa.array(small, pa.binary())], ["part", "doc_id", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(ids, pa.int64()), pa.array([len(x) // width + 1 for x in packed], pa.int64()),
+                                              pa.array([x + end for x in packed], pa.binary())], ["part", "doc_id", "n", "ids"])
 
     def segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, arrays, size, part, seq = [], [], 0, None, 0
