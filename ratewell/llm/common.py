@@ -26,6 +26,13 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand whole texts to Python in batches of at most so many rows, unless the session asks for fewer."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= rows:
+        spark.conf.set(setting, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``checkpoint()`` in the folder that all executors share; the session's own setting comes first."""
     context = df.sparkSession.sparkContext

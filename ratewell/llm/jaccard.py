@@ -98,7 +98,7 @@ def shingle_counts(docs: DataFrame, width: int, percent: int, bits: int) -> tupl
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, lengths = np.zeros(1 << bits, np.uint32), {}
         for _, found in _each(batches, width):
-            np.add.at(counts, found >> np.uint64(64 - bits), np.uint32(1))
+            np.add.at(counts, (found >> np.uint64(64 - bits)).astype(np.int64), 1)
             if len(found):
                 step = 1 << max(0, len(found).bit_length() - 4)
                 lengths[len(found) // step * step] = lengths.get(len(found) // step * step, 0) + 1

@@ -22,19 +22,23 @@ from pyspark.sql.window import Window
 
 UNKNOWN = "und"
 NO_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 MARK = np.uint64(ord("_"))
 SHIFT = np.uint64(21)
 #: N-grams a task holds before it sums them.
-WAITING = 4_000_000
+WAITING = 1_000_000
 #: Texts are in a language from this share of this quantile of the scores of its own documents.
 MARGIN, LOW = 0.8, 0.01
 
 
 def grams(text: str | None) -> np.ndarray:
-    """Packed n-grams of the lower-cased words of a text, with repetitions; the mark stands for a word's end."""
-    words = NO_LETTER.sub("_", (text or "").lower()).strip("_")
-    if not words:
+    """Packed n-grams of the lower-cased words of a text, with repetitions; the mark stands for a word's end.
+
+    A text without any letter has none, combining marks or not.
+    """
+    if not text or not LETTER.search(text):
         return np.empty(0, np.uint64)
+    words = NO_LETTER.sub("_", text.lower()).strip("_")
     c = np.frombuffer(f"_{words}_".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     two = c[:-1] << SHIFT | c[1:]
     return np.concatenate([c[c != MARK], two, (two[:-1] << SHIFT | c[2:])[c[1:-1] != MARK]])

@@ -52,3 +52,10 @@ def test_unlearned_language_goes(spark, frame):
     kept = {r.doc_id for r in langid.in_known_language(frame([tuple(r) for r in docs] + odd)).collect()}
     assert not kept & {k for k, _, _ in odd}
     assert len(kept) > 0.97 * len(docs)
+
+
+def test_marks_alone_are_no_language(frame):
+    """Combining marks without a letter are undetermined, with one they belong to it."""
+    rows = [(i, "hello words of a text", "en") for i in range(8)] + [(100, "\u0301 \u0300"), (101, "e\u0301 \u0300 hello"), (102, "1\u0301")]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(frame(rows)).collect()}
+    assert (got[100], got[101], got[102]) == ("und", "en", "und")
