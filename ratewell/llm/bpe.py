@@ -27,8 +27,8 @@ from ratewell.llm.common import text_blocks, texts
 
 #: White space other than blanks and line ends, in any library's reading.
 OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-BLOCK_CHARS = 3_000_000
-#: Bytes of words and their ids that a worker remembers before it starts afresh; what an entry takes besides them.
+BLOCK_CHARS = 8_000_000
+#: Bytes of words and their ids in a generation of what a worker remembers; what an entry takes besides them.
 CACHE_BYTES, ENTRY_BYTES = 64_000_000, 250
 NEVER = np.int64(2**62)
 
@@ -153,12 +153,21 @@ class Encoder:
         self.piece: dict[str, bytes] = {}   # one match of the pattern -> packed ids
         self.first: dict[str, bytes] = {}   # a run between blanks at the start of a line
         self.later: dict[str, bytes] = {}   # a run that follows a blank: its first match takes the blank
+        self.older: tuple[dict[str, bytes], ...] = ({}, {}, {})
         self.held = 0
 
-    def forget(self) -> None:
-        """Drop the words met so far; the vocabulary stays."""
+    def _age(self) -> None:
+        """Words not met since the last time go; those of the present generation go next time unless they are met again."""
+        self.older = self.piece, self.first, self.later
         self.piece, self.first, self.later, self.held = {}, {}, {}, 0
 
+    def _missing(self, kind: dict[str, bytes], old: dict[str, bytes], words: set[str]) -> list[str]:
+        """Words that neither generation knows; those of the older one move up."""
+        found = [w for w in words if w not in kind]
+        known = [w for w in found if w in old]
+        self._keep(kind, known, map(old.__getitem__, known))
+        return [w for w in found if w not in kind] if known else found
+
     def _keep(self, kind: dict[str, bytes], words: Iterable[str], ids: Iterable[bytes]) -> None:
         for word, packed in zip(words, ids):
             kind[word] = packed
@@ -174,13 +183,13 @@ class Encoder:
         return self.pattern.findall(blank + run)
 
     def _learn(self, pieces: set[str]) -> None:
-        new = [w for w in pieces if w not in self.piece]
+        new = self._missing(self.piece, self.older[0], pieces)
         self._keep(self.piece, new, self.vocabulary.replay([w.encode() for w in new]))
 
     def encode(self, found: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, each match of the pattern encoded by itself."""
         if self.held > CACHE_BYTES:
-            self.forget()
+            self._age()
         simple_texts = [plain(t) for t in found]
         first, later, pieces = set(), set(), {"\n"}
         for text, simple in zip(found, simple_texts):
@@ -191,7 +200,7 @@ class Encoder:
                     later.update(runs[1:])
             else:
                 pieces.update(self.pattern.findall(text))
-        first, later = list(first.difference(self.first)), list(later.difference(self.later))
+        first, later = self._missing(self.first, self.older[1], first), self._missing(self.later, self.older[2], later)
         for run in first:
             pieces.update(self._cut(run))
         for run in later:
@@ -249,7 +258,6 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()),
                                               pa.array([np.frombuffer(p, "<u4").astype(np.int32) for p in packed],
                                                        pa.list_(pa.int32()))], ["doc_id", "ids"])
-        encoder(ranks.value, pattern).forget()
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -273,7 +281,6 @@ def encoding_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(packed_hex, pa.string()),
                  pa.array(text_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        encoder(ranks.value, pattern).forget()
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
