@@ -18,7 +18,7 @@ from ratewell.operators import reports as R
 from ratewell.operators.cards import cards_long, coverage_by_template
 from ratewell.operators.ordered import is_large
 from ratewell.operators.peers import first_peers, peer_percentile, with_peer_level
-from ratewell.plans.rating import flat, leaderboard, metrics_long, rate_universe, score_universe
+from ratewell.plans.rating import flat, leaderboard, metrics_long, rate_universe
 from ratewell.plans.universe import load_universe
 from ratewell.sources import tables as T
 from ratewell.sources.export import supplier_export

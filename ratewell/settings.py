@@ -167,14 +167,12 @@ PORTFOLIO_MAX_NAMES, PORTFOLIO_MAX_SINGLE, PORTFOLIO_MAX_SECTOR = 18, 8.0, 28.0
 OUTCOME_HORIZON_DAYS, BUY_HIT_RATE_ALERT = 30, 0.50
 TEMPLATE_CARD_MIN, TEMPLATE_RED_FLAG_MIN, TEMPLATE_CORE_MIN = 25.0, 25.0, 55.0
 INPUT_GATES = {"min_universe": 250, "min_core_pct": 8.0, "min_core_cards": 3, "min_classified_pct": 90.0}
-HOLDOUT_START, VALIDATION_START, DEVELOPMENT_END, CHANGE_BUDGET = "2024-04-01", "2022-04-01", "2022-03-31", 5
+HOLDOUT_START, VALIDATION_START, CHANGE_BUDGET = "2024-04-01", "2022-04-01", 5
 BACKTEST_HORIZONS = {"1M": 22, "3M": 63, "6M": 130, "1Y": 252}
-LOOKBACK_SESSIONS = 1300
 
 # --- taxonomy routing ----------------------------------------------------------------------
 BANK_BASIC = ("private sector bank", "public sector bank", "foreign bank", "bank - private", "bank - public", "banks")
 BANK_INDUSTRY = ("banking", "private sector bank", "public sector bank", "other bank", "foreign bank")
-NBFC_BASIC = ("finance - nbfc", "housing finance", "micro finance", "nbfc", "hfc", "asset finance company", "finance")
 NBFC_INDUSTRY = ("non banking financial company (nbfc)", "housing finance company", "microfinance institutions",
                  "micro finance", "financial institution", "asset finance company")
 NBFC_TOKENS = ("non banking financial company", "housing finance", "microfinance", "micro finance",
