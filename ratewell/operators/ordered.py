@@ -63,6 +63,17 @@ def match_groups(left: DataFrame, right: DataFrame, keys: Sequence[str], size: s
         *[F.coalesce(F.col(f"__heavy.{c}"), F.col(f"__light.{c}")).alias(c) for c in values])
 
 
+def _below(borders: str, key: Column) -> Column:
+    """How many of the ascending ``borders`` (none: 0) are below ``key``, found by halving: a step for each doubling."""
+    steps = F.sequence(F.floor(F.log2(F.greatest(F.size(borders), F.lit(1)))).cast("int"), F.lit(0), F.lit(-1))
+
+    def step(at: Column, k: Column) -> Column:
+        further = at + F.call_function("shiftleft", F.lit(1), k)
+        return F.when(F.get(borders, further - 1) < key, further).otherwise(at)
+
+    return F.when(F.col(borders).isNull(), 0).otherwise(F.aggregate(steps, F.lit(0), step))
+
+
 def with_range(df: DataFrame, groups: Sequence[str], value: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``__block`` by a numeric value: rows of one group with smaller values never lie in a later block.
 
@@ -81,8 +92,7 @@ def with_range(df: DataFrame, groups: Sequence[str], value: str, block_rows: int
     )
     return (
         df.join(F.broadcast(borders), groups, "left")  # a row for each group above block_rows
-        .withColumn("__block", F.when(F.col("__borders").isNull(), 0).otherwise(
-            F.size(F.filter("__borders", lambda b: b < number))))
+        .withColumn("__block", _below("__borders", number))
         .drop("__borders")
     )
 
@@ -91,13 +101,13 @@ def with_block(df: DataFrame, groups: Sequence[str], key: Column, block_rows: in
     """Add ``__block``: rows of one group with smaller ``key`` never lie in a later block.
 
     For keys that are no numbers (structs that settle ties).  Borders come from a hash sample of about twenty keys
-    per block; small groups stay whole in block 0.
+    per block; small groups stay whole in block 0, others have ``GRID`` blocks at most.
     """
     groups = list(groups)
     keyed = df.withColumn("__key", key)
     stride = max(1, block_rows // SAMPLES_PER_BLOCK)
     sample = F.when(F.pmod(F.xxhash64("__key"), F.lit(stride)) == 0, F.col("__key"))
-    blocks = F.ceil(F.col("__n") / block_rows).cast("int")
+    blocks = F.least(F.lit(GRID), F.ceil(F.col("__n") / block_rows)).cast("int")
     step = F.size("__keys") / blocks
     borders = (
         keyed.groupBy(*groups)
@@ -109,8 +119,7 @@ def with_block(df: DataFrame, groups: Sequence[str], key: Column, block_rows: in
     )
     return (
         keyed.join(F.broadcast(borders), groups, "left")
-        .withColumn("__block", F.when(F.col("__borders").isNull(), 0).otherwise(
-            F.size(F.filter("__borders", lambda b: b < F.col("__key")))))
+        .withColumn("__block", _below("__borders", F.col("__key")))
         .drop("__borders")
     )
 

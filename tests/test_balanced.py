@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ratewell import settings as S
 from ratewell.operators.asof import as_of_join
-from ratewell.operators.ordered import cumulative_counts, exact_quantiles, match_groups, ordinal_ranks, upper_median
+from ratewell.operators.ordered import (
+    GRID, _below, cumulative_counts, exact_quantiles, match_groups, ordinal_ranks, upper_median, with_block, with_range)
 from ratewell.operators.peers import first_peers, peer_percentile, with_peer_level
 
 BLOCK = 16
@@ -159,3 +160,16 @@ def test_rating_run_is_the_same_in_blocks(spark):
     whole = leaderboard(rate_universe(universe)).collect()
     blocks = leaderboard(rate_universe(universe, block_rows=BLOCK)).collect()
     assert len(whole) > 50 and whole == blocks
+
+
+def test_borders_are_searched_not_listed(spark):
+    """A group of many blocks: a bounded number of borders, found by halving, and blocks that follow the key."""
+    df = spark.range(5000).select(F.lit("g").alias("g"), ((F.col("id") * 7919) % 5000).cast("double").alias("v"))
+    ranged, blocked = with_range(df, ["g"], "v", 2), with_block(df, ["g"], F.struct("v"), 2)
+    for found in (ranged, blocked):
+        assert "filter(" not in found._jdf.queryExecution().analyzed().toString()
+        blocks = [r.b for r in found.orderBy("v").select(F.col("__block").alias("b")).collect()]
+        assert blocks == sorted(blocks) and 500 < len(set(blocks)) <= GRID
+    edges = spark.sql("select array(1d, 3d, 5d) as b, explode(array(0d, 1d, 2d, 3d, 5d, 6d)) as v").union(
+        spark.sql("select cast(null as array<double>), 2d"))
+    assert [r.n for r in edges.select(_below("b", F.col("v")).alias("n")).collect()] == [0, 0, 1, 1, 2, 3, 0]
