@@ -121,9 +121,10 @@ def _entity_files(spark, sf) -> str:
     def make():
         s = T.table(spark, sf, "supplier")
         text = F.to_json(F.struct(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"), F.struct(F.struct(F.col("s_acctbal").alias("score")).alias("growth")).alias("cards")))
-        rows = s.select("s_suppkey", F.when(F.col("s_suppkey") % 9 == 0, F.substring(text, 1, 12)).otherwise(text).alias("value"))
+        rows = s.select(F.concat(F.lit("s_suppkey="), F.col("s_suppkey").cast("string"), F.lit(".json")).alias("name"),
+                        F.when(F.col("s_suppkey") % 9 == 0, F.substring(text, 1, 12)).otherwise(text).alias("value"))
         path = folder(spark, "entities")
-        rows.repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+        sinks.write_entity_documents(rows.repartition("name"), path, "name", "value")
         return path
 
     return kept(spark, sf, "entity_files", make)

@@ -135,3 +135,14 @@ def test_streams_continue_over_runs(spark, tmp_path):
     assert len(list((tmp_path / "bars" / "compacted").iterdir())) == 1
     # the first day is Low now and after a High one; the alert of April no longer holds
     assert alerts() == {(1, "2023-11-02"): ("New", "High"), (1, "2024-01-01"): ("High", "Low"), (2, "2024-01-01"): ("New", "Low")}
+
+
+def test_entity_documents_in_few_folders(spark, tmp_path):
+    """A file per entity without a folder for each; writing again leaves the same files."""
+    docs = spark.range(1000).select(F.concat(F.lit("e"), "id", F.lit(".json")).alias("name"), F.to_json(F.struct(F.col("id").alias("n"))).alias("text"))
+    for _ in range(2):
+        assert sinks.write_entity_documents(docs.repartition(4), str(tmp_path), "name", "text") == 1000
+    found = [p for p in tmp_path.rglob("*") if p.is_file()]
+    assert len(found) == 1000 and len(list(tmp_path.iterdir())) <= 256
+    assert sorted(r.n for r in L.read_entity_documents(spark, str(tmp_path), "n bigint").collect()) == list(range(1000))
+    assert L.unreadable_documents(spark, str(tmp_path)).count() == 0
