@@ -7,20 +7,22 @@ has to be reachable by all executors.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-#: State of label alerts is a map per key, which only this store keeps entry by entry.
-_MAP_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def run_new(stream: DataFrame, folder: str, mode: str = "update",
             transform: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Process everything new and return all batch results so far with their ``batch_id``."""
+    take_new(stream, folder, mode, transform)
+    return stream.sparkSession.read.parquet(f"{folder}/results")
+
+
+def take_new(stream: DataFrame, folder: str, mode: str = "update",
+             transform: Callable[[DataFrame, int], DataFrame] | None = None) -> None:
+    """Process everything new; finished batches may have been compacted away."""
     results = f"{folder}/results"
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -32,7 +34,6 @@ def run_new(stream: DataFrame, folder: str, mode: str = "update",
         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return stream.sparkSession.read.parquet(results)
 
 
 def newest(results: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -65,7 +66,7 @@ def daily_bars(ticks: DataFrame, folder: str) -> DataFrame:
 
     A micro-batch is reduced to parts before it is written; nothing is held between batches.
     """
-    run_new(ticks, folder, "append", lambda batch, _: bar_parts(batch))
+    take_new(ticks, folder, "append", lambda batch, _: bar_parts(batch))
     return bars_so_far(ticks.sparkSession, folder)
 
 
@@ -74,7 +75,7 @@ def bars_so_far(spark: SparkSession, folder: str) -> DataFrame:
     return merged.select("key", "date", F.col("first.value").alias("open"), "high", "low", F.col("last.value").alias("close"), "ticks")
 
 
-def compact(spark: SparkSession, folder: str) -> None:
+def compact(spark: SparkSession, folder: str, merge: Callable[[DataFrame], DataFrame] = merged_parts) -> None:
     """Merge the parts of all finished batches into one table, which readers take in their place.
 
     The table is named for the last batch in it and counts only when it is complete, so a run that breaks off changes
@@ -84,7 +85,7 @@ def compact(spark: SparkSession, folder: str) -> None:
     done = _numbered(spark, f"{folder}/compacted", "upto=", complete=True)
     if not batches or done and batches[-1] <= done[-1]:
         return
-    merged_parts(_all_parts(spark, folder)).write.mode("overwrite").parquet(f"{folder}/compacted/upto={batches[-1]}")
+    merge(_all_parts(spark, folder)).write.mode("overwrite").parquet(f"{folder}/compacted/upto={batches[-1]}")
     for path in [f"{folder}/results/batch_id={b}" for b in batches] + [f"{folder}/compacted/upto={d}" for d in done]:
         _files(spark, path)[0].delete(_files(spark, path)[1], True)
 
@@ -120,58 +121,28 @@ def latest_facts(facts: DataFrame) -> DataFrame:
         "ticker", "metric", "f.value", "f.filed")
 
 
-# --- label alerts: the days of a key as keyed state --------------------------------------------
-class _LabelDays(StatefulProcessor):
-    """Label of every day of a key; new ticks may fall on any day and change the alerts of that day and the next."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.days = handle.getMapState("days", "day int", "label string, at long, id long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        arrived: dict[int, tuple] = {}
-        for frame in rows:
-            for day, at, number, label in frame[["day", "at", "id", "label"]].itertuples(index=False):
-                arrived[int(day)] = max(arrived.get(int(day), (at, number, label)), (at, number, label))
-        known = {int(day[0]): (int(at), int(number), label) for day, (label, at, number) in self.days.iterator()}
-        changed = {day: tick for day, tick in arrived.items() if day not in known or tick[:2] > known[day][:2]}
-        before = _alerts(known)
-        for day, (at, number, label) in changed.items():
-            known[day] = at, number, label
-            self.days.updateValue((day,), (label, at, number))
-        after = _alerts(known)
-        out = [(key[0], day, *(after.get(day) or (known[day][2],) * 2)) for day in sorted(after | before) if after.get(day) != before.get(day)]
-        yield pd.DataFrame(out, columns=["key", "day", "prior_label", "new_label"])
-
-    def close(self) -> None:
-        pass
+# --- label alerts: the last tick of every day as mergeable parts --------------------------------
+def label_parts(ticks: DataFrame) -> DataFrame:
+    """The last (key, ts, id, label) tick of a key and UTC day, with its time and id, so parts may come in any order."""
+    return ticks.groupBy("key", F.expr("date_from_unix_date(int(unix_seconds(ts) div 86400))").alias("date")).agg(
+        F.max(F.struct("ts", "id", "label")).alias("last"))
 
 
-def _alerts(days: dict[int, tuple]) -> dict[int, tuple[str, str]]:
-    """Days whose label differs from that of the day before in the series ('New' before the first)."""
-    found, prior = {}, "New"
-    for day in sorted(days):
-        if days[day][2] != prior:
-            found[day] = prior, days[day][2]
-        prior = days[day][2]
-    return found
+def merged_labels(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("key", "date").agg(F.max("last").alias("last"))
 
 
 def label_alerts(ticks: DataFrame, folder: str) -> DataFrame:
     """Take in new (key, ts, id, label) ticks and return all alerts so far: key, run_date, prior_label, new_label.
 
-    A day's label is that of its last tick.  Ticks may come late: the day's own alert and that of the following day
-    are then given anew, and an alert that no longer holds is withdrawn by one that says nothing changes.
+    A day's label is that of its last tick; an alert is a day whose label differs from that of the day before in the
+    key's series ('New' before the first).  Ticks may come late: alerts follow from the merged days, so a late day gives
+    its own alert and that of the following day anew, and one that no longer holds is gone.  A micro-batch is reduced to
+    a row per key and day before it is written; ``compact(spark, folder, merged_labels)`` folds finished batches.
     """
+    take_new(ticks, folder, "append", lambda batch, _: label_parts(batch))
     spark = ticks.sparkSession
-    daily = ticks.select("key", F.expr("int(unix_seconds(ts) div 86400)").alias("day"), F.expr("unix_micros(ts)").alias("at"), "id", "label")
-    stream = daily.groupBy("key").transformWithStateInPandas(
-        _LabelDays(), f"key {ticks.schema['key'].dataType.simpleString()}, day int, prior_label string, new_label string", "update", "none")
-    setting, store = _MAP_STORE
-    was = spark.conf.get(setting, None)
-    spark.conf.set(setting, store)
-    try:
-        results = run_new(stream, folder)
-    finally:
-        spark.conf.set(setting, was) if was else spark.conf.unset(setting)
-    return newest(results, ["key", "day"]).where("prior_label <> new_label").select(
-        "key", F.date_from_unix_date("day").alias("run_date"), "prior_label", "new_label")
+    days = merged_labels(_all_parts(spark, folder)).select("key", "date", F.col("last.label").alias("label"))
+    prior = F.coalesce(F.lag("label").over(Window.partitionBy("key").orderBy("date")), F.lit("New"))
+    return days.withColumn("prior", prior).where("prior <> label").select(
+        "key", F.col("date").alias("run_date"), F.col("prior").alias("prior_label"), F.col("label").alias("new_label"))

@@ -146,3 +146,19 @@ def test_entity_documents_in_few_folders(spark, tmp_path):
     assert len(found) == 1000 and len(list(tmp_path.iterdir())) <= 256
     assert sorted(r.n for r in L.read_entity_documents(spark, str(tmp_path), "n bigint").collect()) == list(range(1000))
     assert L.unreadable_documents(spark, str(tmp_path)).count() == 0
+
+
+def test_label_alerts_are_reduced_before_they_are_kept(spark, tmp_path):
+    """A micro-batch leaves a row per key and day, whatever ticks it had; compaction changes no alert."""
+    source, folder = str(tmp_path / "in"), str(tmp_path / "labels")
+    day = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    _feed(spark, source, [(k, day + dt.timedelta(days=d, minutes=m), float(60 * (d % 2)), m) for k in range(3) for d in range(4) for m in range(50)])
+
+    def alerts():
+        ticks = spark.readStream.schema("key long, ts timestamp, value double, id long").parquet(source)
+        return sorted(map(tuple, I.label_alerts(ticks.withColumn("label", F.when(F.col("value") > 30, "High").otherwise("Low")), folder).collect()))
+
+    first = alerts()
+    assert len(first) == 12 and spark.read.parquet(f"{folder}/results").count() == 12
+    I.compact(spark, folder, I.merged_labels)
+    assert alerts() == first
