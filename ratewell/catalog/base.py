@@ -34,6 +34,12 @@ def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], Data
     return kept(spark, folder, name, lambda: written(build(), name))
 
 
+def stored_or(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The run table if the session has stored it; else its rows unwritten, for a query that reads them once."""
+    found = _STORED.get((spark.sparkContext.applicationId, folder, name))
+    return found[1] if found and found[0] == _input_state(spark, folder) else build()
+
+
 def kept(spark: SparkSession, folder: str, name: str, make: Callable[[], object]):
     """What ``make`` gives, made once for the present files of a folder."""
     key = (spark.sparkContext.applicationId, folder, name)

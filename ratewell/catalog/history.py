@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ratewell.catalog import sql as Q
 from ratewell.catalog.base import query
-from ratewell.catalog.metrics import bars_table
+from ratewell.catalog.metrics import bars_once, bars_table
 from ratewell.catalog.sql import with_
 from ratewell.operators import asof as P
 from ratewell.operators import backtest as B
@@ -129,9 +129,9 @@ def append_absent_query(spark, sf):
 
 
 # --- backtests -------------------------------------------------------------------------------
-def _recs(spark, sf):
+def _recs(spark, sf, bars=None):
     """Every supplier that traded in a quarter is recommended at the quarter's start."""
-    return bars_table(spark, sf).groupBy("ticker", F.trunc("date", "quarter").alias("run_date")).agg(
+    return (bars_table(spark, sf) if bars is None else bars).groupBy("ticker", F.trunc("date", "quarter").alias("run_date")).agg(
         F.max("close").alias("score")).select("run_date", "ticker", "score")
 
 
@@ -145,8 +145,8 @@ def _nearest(targets: str, name: str) -> str:
 
 @query("nearest_price_join", with_([Q.BARS, _RECS, _nearest("select distinct ticker, run_date as target_date from recs", "near")], "select ticker, target_date, price, price_date from near"))
 def nearest_price_join(spark, sf):
-    bars = bars_table(spark, sf)
-    return B.nearest_price(_recs(spark, sf).withColumnRenamed("run_date", "target_date"), bars)
+    bars = bars_once(spark, sf)
+    return B.nearest_price(_recs(spark, sf, bars).withColumnRenamed("run_date", "target_date"), bars)
 
 
 _H = {"1M": 33, "3M": 94, "6M": 195, "1Y": 378}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ratewell.catalog import sql as Q
-from ratewell.catalog.base import query, stored
+from ratewell.catalog.base import query, stored, stored_or
 from ratewell.catalog.ingest import _YEAR, _deal_payloads
 from ratewell.catalog.rating import universe
 from ratewell.catalog.sql import with_
@@ -14,6 +14,7 @@ from ratewell.operators import annual as A
 from ratewell.operators import bars as B
 from ratewell.operators import flows as W
 from ratewell.operators.merge import merge_overwrite
+from ratewell.operators.ordered import spread
 from ratewell.sources import files as L
 from ratewell.sources import tables as T
 
@@ -23,6 +24,11 @@ def bars_table(spark, sf):
     return stored(spark, sf, "bars", lambda: T.daily_bars(spark, sf))
 
 
+def bars_once(spark, sf):
+    """Bars for a query that reads them once, or in the same way each time: not written for it."""
+    return stored_or(spark, sf, "bars", lambda: T.daily_bars(spark, sf))
+
+
 def _two_indices(bars):
     """The index the queries compare with, and another that they have to leave alone."""
     return B.index_series(bars).unionByName(B.index_series(bars.withColumn("close", F.col("low") * 2), "LOW"))
@@ -104,7 +110,7 @@ def _ib(k: int) -> str:
  {Q.r(f'({_ib(0)} / {_ib(21)} - 1.0) * 100')} as return_1m, {Q.r(f'({_ib(0)} / {_ib(65)} - 1.0) * 100')} as return_3m,
  {Q.r(f'({_ib(0)} / {_ib(129)} - 1.0) * 100')} as return_6m, {Q.r(f'({_ib(0)} / {_ib(251)} - 1.0) * 100')} as return_1y"""))
 def index_returns(spark, sf):
-    out = B.index_returns(B.index_series(bars_table(spark, sf)))
+    out = B.index_returns(B.index_series(bars_once(spark, sf)))
     return out.withColumn("sessions", F.col("sessions").cast("long"))
 
 
@@ -123,7 +129,7 @@ _ADX = ["""moves as materialized (select ticker, i - 1 as j, n, greatest(high -
 @query("adx_trend", with_([Q.BARS, Q.SEQ] + _ADX, "select ticker, trend_strength from trend"))
 def adx_trend(spark, sf):
     bars = bars_table(spark, sf)
-    return B.momentum_metrics(bars, B.index_series(bars)).select("ticker", "trend_strength")
+    return B.momentum_metrics(spread(bars, "ticker"), B.index_series(bars)).select("ticker", "trend_strength")
 
 
 _YEARBARS = """yearbars as materialized (select *, least(n, 252) as m, least(n, 252) - 1 - (n - i) as pos, max(close) over (partition by ticker order by date) as peak from seq where n - i < 252)"""
@@ -143,7 +149,7 @@ _VF = f"case when v60 > 0 then {Q.clip('v20 / v60', 0.5, 2.0)} else 1e0 end"
  from vols v join mom m using (ticker) join resid r using (ticker) left join trend t using (ticker)"""))
 def momentum_metrics(spark, sf):
     bars = bars_table(spark, sf)
-    return B.momentum_metrics(bars, _two_indices(bars))
+    return B.momentum_metrics(spread(bars, "ticker"), _two_indices(bars))
 
 
 @query("momentum_merge", with_([Q.GEO, Q.SUPPLIERS] + _MOM, f"""select s.ticker, case when v.ticker is null then null else {Q.r(_DUAL)} end as "Dual Momentum", v.ticker is not null as updated
@@ -152,7 +158,7 @@ def momentum_merge(spark, sf):
     """Momentum scores merged into the supplier export by ticker."""
     bars = bars_table(spark, sf)
     base = T.suppliers(spark, sf).select(T.supplier_ticker(F.col("suppkey")).alias("ticker"))
-    return merge_overwrite(base, B.momentum_metrics(bars, B.index_series(bars)), "ticker", {"dual_momentum": "Dual Momentum"})
+    return merge_overwrite(base, B.momentum_metrics(spread(bars, "ticker"), B.index_series(bars)), "ticker", {"dual_momentum": "Dual Momentum"})
 
 
 @query("rs_turn", with_([Q.BARS, Q.INDEX, """rsq as (select ticker, b.close / x.close as s, row_number() over (partition by ticker order by b.date desc) - 1 as back,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ratewell import columns as H
 from ratewell.catalog import sql as Q
 from ratewell.catalog.base import kept, query
-from ratewell.catalog.metrics import bars_table
+from ratewell.catalog.metrics import bars_once
 from ratewell.catalog.rating import ratings
 from ratewell.catalog.sql import with_
 from ratewell.operators import backtest as B
@@ -39,7 +39,7 @@ def _bar_files(spark, sf) -> str:
     """A zipped end-of-day file for every session; each seventh supplier trades in another series."""
     def make():
         number = F.substring("ticker", 10, 20).cast("long")
-        rows = bars_table(spark, sf).select(
+        rows = bars_once(spark, sf).select(
             F.col("date").alias("session"), F.col("date").cast("string").alias("TradDt"), F.lower("ticker").alias("TckrSymb"),
             F.when(number % 7 == 0, "BE").otherwise("EQ").alias("SctySrs"), F.col("open").alias("OpnPric"), F.col("high").alias("HghPric"),
             F.col("low").alias("LwPric"), F.col("close").alias("ClsPric"), F.col("volume").alias("TtlTradgVol"), F.col("traded_value").alias("TtlTrfVal"))
@@ -85,7 +85,7 @@ def scan_delivery(spark, sf):
 @query("scan_index_closes", with_([Q.BARS], f"""select unnest(['nifty500', 'niftybank']) as index_name, date, unnest([h, l]) as close from (select date, max(high) as h, min(low) as l from bars where date <= date '{UNTIL}' group by date order by date desc limit 260)"""))
 def scan_index_closes(spark, sf):
     """Closes of the tracked indices out of the newest 260 index files."""
-    day = bars_table(spark, sf).groupBy("date").agg(F.max("high").alias("h"), F.min("low").alias("l"))
+    day = T.daily_extremes(spark, sf)
     entries = F.array(*[F.struct(F.lit(n).alias("n"), v.alias("v")) for n, v in (("Nifty 500", F.col("h")), ("NIFTY BANK ", F.col("l")), ("Untracked", F.lit(1.0)))])
     rows = day.select(F.col("date").alias("session"), F.explode(entries).alias("e")).select("session", F.col("e.n").alias("Index Name"), F.col("e.v").alias("Closing Index Value"))
     return L.read_index_closes(spark, _filled(spark, "indices", rows, "ind_close_all_%d%b%Y.csv"), UNTIL)

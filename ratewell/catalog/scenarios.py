@@ -15,7 +15,7 @@ from ratewell.catalog import rating as RT
 from ratewell.catalog import sql as Q
 from ratewell.catalog.base import ORACLES, query, stored
 from ratewell.catalog.history import _recs
-from ratewell.catalog.metrics import bars_table
+from ratewell.catalog.metrics import bars_once
 from ratewell.catalog.sql import with_
 from ratewell.operators import asof as P
 from ratewell.operators import backtest as B
@@ -230,7 +230,8 @@ def peer_percentile_in_blocks(spark, sf):
 
 @query("backtest_stats_in_blocks", ORACLES["backtest_stats"])
 def backtest_stats_in_blocks(spark, sf):
-    returns = B.returns_long(B.forward_returns(_recs(spark, sf), bars_table(spark, sf)))
+    bars = bars_once(spark, sf)
+    returns = B.returns_long(B.forward_returns(_recs(spark, sf, bars), bars))
     return B.backtest_stats(returns, large=True, block_rows=BLOCK)
 
 

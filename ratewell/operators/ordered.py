@@ -31,6 +31,17 @@ def is_large(df: DataFrame, block_rows: int = BLOCK_ROWS) -> bool:
     return df.count() > block_rows
 
 
+def spread(df: DataFrame, *keys: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """``df`` dealt out by ``keys``, to more tasks than the session's shuffles have where those would get more than ``rows``.
+
+    For tables that are files or columns of them: their rows are counted first, from the files' footers.
+    """
+    tasks = -(-df.count() // rows)
+    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(tasks, *keys)
+    return df.repartition(*keys)
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

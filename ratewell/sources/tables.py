@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratewell.operators.ordered import spread
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -58,18 +60,29 @@ def supplier_ticker(key: Column) -> Column:
 
 
 def daily_bars(spark: SparkSession, folder: str) -> DataFrame:
-    """One bar per supplier and ship date: unit prices as OHLC, quantity as volume."""
+    """One bar per supplier and ship date: unit prices as OHLC, quantity as volume.
+
+    The lines themselves go to the task of their ticker, once: hardly two of them make one bar, so parts of bars, twice
+    as wide, would be no fewer.  The windows over a ticker's bars need no further shuffle.
+    """
     li = table(spark, folder, "lineitem")
     price = F.col("l_extendedprice") / F.col("l_quantity")
     # (order, line) as one whole number, since primitive state keeps this a hash aggregate;
     # the last digits settle repeated line numbers the same way on every run
     order = (F.col("l_orderkey") * 1000 + F.col("l_linenumber")) * 8192 + cents("l_extendedprice") % 8191
-    return li.groupBy("l_suppkey", F.col("l_shipdate").cast("date").alias("date")).agg(
-        F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
-        F.max_by(price, order).alias("close"), F.sum("l_quantity").alias("volume"),
-        (F.sum(cents("l_extendedprice")) * 5.0).alias("traded_value"),
-    ).select(supplier_ticker(F.col("l_suppkey")).alias("ticker"), "date", "open", "high", "low", "close", "volume",
-             "traded_value")
+    lines = li.select(supplier_ticker(F.col("l_suppkey")).alias("ticker"), F.col("l_shipdate").cast("date").alias("date"),
+                      order.alias("order"), "l_extendedprice", "l_quantity")
+    return spread(lines, "ticker").groupBy("ticker", "date").agg(
+        F.min_by(price, "order").alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
+        F.max_by(price, "order").alias("close"), F.sum("l_quantity").alias("volume"),
+        (F.sum(cents("l_extendedprice")) * 5.0).alias("traded_value"))
+
+
+def daily_extremes(spark: SparkSession, folder: str) -> DataFrame:
+    """Highest high ``h`` and lowest low ``l`` of all bars of a day, which are those of its lines; a row per day."""
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    return table(spark, folder, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("date")).agg(
+        F.max(price).alias("h"), F.min(price).alias("l"))
 
 
 def customer_years(spark: SparkSession, folder: str) -> DataFrame:

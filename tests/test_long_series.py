@@ -82,3 +82,16 @@ def test_one_of_several_indices(spark):
     assert B.momentum_metrics(bars, both).collect() == B.momentum_metrics(bars, one).collect()
     assert B.relative_strength_turn(bars, both).collect() == B.relative_strength_turn(bars, one).collect()
     assert B.momentum_metrics(bars, both, index_name="OTHER").first().dual_momentum != B.momentum_metrics(bars, one).first().dual_momentum
+
+
+def test_bars_and_their_windows_share_one_shuffle(spark, tmp_path):
+    """Lines are dealt out by ticker once; what reads bars once writes none; big tables get more tasks."""
+    from ratewell.catalog.metrics import bars_once
+    from ratewell.operators.ordered import spread
+    from ratewell.sources import tables as T
+
+    folder = "/root/testdata/sf0.001"
+    plan = B.price_metrics(T.daily_bars(spark, folder))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(ticker") == 1 and plan.count("Exchange") == 1
+    assert not bars_once(spark, str(tmp_path.joinpath("x").symlink_to(folder) or tmp_path / "x")).inputFiles()[0].count("/bars-")
+    assert spread(spark.range(1000), "id", rows=100).rdd.getNumPartitions() == 10
