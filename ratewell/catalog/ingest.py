@@ -14,6 +14,7 @@ from ratewell.functions.numeric import rounded
 from ratewell.functions.taxonomy import template_code, template_name
 from ratewell.operators import merge as G
 from ratewell.operators import quality as K
+from ratewell.operators.bars import price_metrics
 from ratewell.plans import universe as U
 from ratewell.session import shared_folder
 from ratewell.sources import files as L
@@ -59,7 +60,7 @@ def derived_metrics(spark, sf):
 
 @query("derived_metrics_with_bars", with_(Q.universe(True), "select ticker, close_price, return_1y, cast(liquidity_manipulation as double) as liquidity_manipulation, iv_gap, discount_to_iv from universe"))
 def derived_metrics_with_bars(spark, sf):
-    return U.load_universe(supplier_export(spark, sf), T.daily_bars(spark, sf)).select(
+    return U.load_universe(supplier_export(spark, sf), price=T.named(price_metrics(T.keyed_bars(spark, sf)))).select(
         "ticker", "close_price", "return_1y", "liquidity_manipulation", "iv_gap", "discount_to_iv")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ratewell.catalog import sql as Q
 from ratewell.catalog.base import query, stored, stored_or
 from ratewell.catalog.ingest import _YEAR, _deal_payloads
-from ratewell.catalog.rating import universe
+from ratewell.catalog.rating import prices, universe
 from ratewell.catalog.sql import with_
 from ratewell.functions.text import delivery_pct
 from ratewell.operators import annual as A
@@ -64,39 +64,39 @@ def _price(names: str):
 
 @query("price_metrics", _price("close_price, return_1y, return_6m, cagr_5y, drawdown_recovery, drawdown_normalization, rsi_state, price_vs_200dma, price_vs_50dma, volatility_compression, volume, avg_daily_turnover_cr"))
 def price_metrics(spark, sf):
-    return B.price_metrics(T.daily_bars(spark, sf)).drop("rsi_14")
+    return prices(spark, sf).drop("rsi_14")
 
 
 @query("price_returns", _price("return_1y, return_6m, cagr_5y"))
 def price_returns(spark, sf):
-    return B.price_metrics(T.daily_bars(spark, sf)).select("ticker", "return_1y", "return_6m", "cagr_5y")
+    return prices(spark, sf).select("ticker", "return_1y", "return_6m", "cagr_5y")
 
 
 @query("sma_distance", _price("price_vs_50dma, price_vs_200dma"))
 def sma_distance(spark, sf):
-    return B.price_metrics(T.daily_bars(spark, sf)).select("ticker", "price_vs_50dma", "price_vs_200dma")
+    return prices(spark, sf).select("ticker", "price_vs_50dma", "price_vs_200dma")
 
 
 @query("rsi14", with_(_PRICE_CTES, f"select ticker, {Q.r('rsi_14', 6)} as rsi_14, rsi_state from price"))
 def rsi14(spark, sf):
     from ratewell.functions.numeric import rounded
 
-    return B.price_metrics(T.daily_bars(spark, sf)).select("ticker", rounded(F.col("rsi_14"), 6).alias("rsi_14"), "rsi_state")
+    return prices(spark, sf).select("ticker", rounded(F.col("rsi_14"), 6).alias("rsi_14"), "rsi_state")
 
 
 @query("atr_compression", _price("volatility_compression"))
 def atr_compression(spark, sf):
-    return B.price_metrics(T.daily_bars(spark, sf)).select("ticker", "volatility_compression")
+    return prices(spark, sf).select("ticker", "volatility_compression")
 
 
 @query("drawdown_recovery", _price("drawdown_recovery"))
 def drawdown_recovery(spark, sf):
-    return B.price_metrics(T.daily_bars(spark, sf)).select("ticker", "drawdown_recovery")
+    return prices(spark, sf).select("ticker", "drawdown_recovery")
 
 
 @query("volume_turnover", _price("volume, avg_daily_turnover_cr"))
 def volume_turnover(spark, sf):
-    return B.price_metrics(T.daily_bars(spark, sf)).select("ticker", "volume", "avg_daily_turnover_cr")
+    return prices(spark, sf).select("ticker", "volume", "avg_daily_turnover_cr")
 
 
 _IDX = ("iseq as (select date, close, row_number() over (order by date desc) - 1 as b from index_bars)")

@@ -15,6 +15,7 @@ from ratewell.functions.bands import (
 from ratewell.operators import overlays as O
 from ratewell.operators import quality as K
 from ratewell.operators import reports as R
+from ratewell.operators.bars import price_metrics
 from ratewell.operators.cards import cards_long, coverage_by_template
 from ratewell.operators.ordered import is_large
 from ratewell.operators.peers import first_peers, peer_percentile, with_peer_level
@@ -24,8 +25,16 @@ from ratewell.sources import tables as T
 from ratewell.sources.export import supplier_export
 
 
+def prices(spark: SparkSession, sf: str) -> DataFrame:
+    return T.named(price_metrics(T.keyed_bars(spark, sf)))
+
+
+def loaded(spark: SparkSession, sf: str) -> DataFrame:
+    return load_universe(supplier_export(spark, sf), price=prices(spark, sf))
+
+
 def universe(spark: SparkSession, sf: str) -> DataFrame:
-    return stored(spark, sf, "universe", lambda: load_universe(supplier_export(spark, sf), T.daily_bars(spark, sf)))
+    return stored(spark, sf, "universe", lambda: loaded(spark, sf))
 
 
 def ratings(spark: SparkSession, sf: str) -> DataFrame:
@@ -220,7 +229,7 @@ def leaderboard_query(spark, sf):
 @query("rate_universe", with_(Q.rated(), "select ticker, template, peer_level, opportunity_score, investability_status, recommendation, selection_score from rated"))
 def rate_universe_query(spark, sf):
     """The whole rating run, nothing taken from stored run tables."""
-    return rate_universe(load_universe(supplier_export(spark, sf), T.daily_bars(spark, sf))).select(
+    return rate_universe(loaded(spark, sf)).select(
         "ticker", "template", "peer_level", "opportunity_score", "investability_status", "recommendation", "selection_score")
 
 

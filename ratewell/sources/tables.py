@@ -59,8 +59,26 @@ def supplier_ticker(key: Column) -> Column:
     return F.concat(F.lit("SUPPLIER#"), F.when(F.length(digits) < 9, F.lpad(digits, 9, "0")).otherwise(digits))
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """Rows by supplier key with the ticker in its place, which is another for every key."""
+    return rows.withColumn("ticker", supplier_ticker(F.col("ticker")))
+
+
 def daily_bars(spark: SparkSession, folder: str) -> DataFrame:
-    """One bar per supplier and ship date: unit prices as OHLC, quantity as volume.
+    """One bar per supplier and ship date: unit prices as OHLC, quantity as volume."""
+    return _bars(spark, folder, supplier_ticker(F.col("l_suppkey")))
+
+
+def keyed_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """The daily bars with the supplier key as ``ticker``, for operators that give a row per ticker (``named`` names it).
+
+    All tickers begin alike, so sorts compare them whole; whole numbers are told apart by their first bytes.
+    """
+    return _bars(spark, folder, F.col("l_suppkey"))
+
+
+def _bars(spark: SparkSession, folder: str, ticker: Column) -> DataFrame:
+    """Daily bars by ``ticker``, a column of lineitem.
 
     The lines themselves go to the task of their ticker, once: hardly two of them make one bar, so parts of bars, twice
     as wide, would be no fewer.  The windows over a ticker's bars need no further shuffle.
@@ -70,7 +88,7 @@ def daily_bars(spark: SparkSession, folder: str) -> DataFrame:
     # (order, line) as one whole number, since primitive state keeps this a hash aggregate;
     # the last digits settle repeated line numbers the same way on every run
     order = (F.col("l_orderkey") * 1000 + F.col("l_linenumber")) * 8192 + cents("l_extendedprice") % 8191
-    lines = li.select(supplier_ticker(F.col("l_suppkey")).alias("ticker"), F.col("l_shipdate").cast("date").alias("date"),
+    lines = li.select(ticker.alias("ticker"), F.col("l_shipdate").cast("date").alias("date"),
                       order.alias("order"), "l_extendedprice", "l_quantity")
     return spread(lines, "ticker").groupBy("ticker", "date").agg(
         F.min_by(price, "order").alias("open"), F.max(price).alias("high"), F.min(price).alias("low"),
