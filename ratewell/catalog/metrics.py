@@ -24,6 +24,11 @@ def bars_table(spark, sf):
     return stored(spark, sf, "bars", lambda: T.daily_bars(spark, sf))
 
 
+def keyed_bars_table(spark, sf):
+    """The same by supplier key, for indicators with a row per ticker, which is named last."""
+    return stored(spark, sf, "keyed_bars", lambda: T.keyed_bars(spark, sf))
+
+
 def bars_once(spark, sf):
     """Bars for a query that reads them once, or in the same way each time: not written for it."""
     return stored_or(spark, sf, "bars", lambda: T.daily_bars(spark, sf))
@@ -128,8 +133,8 @@ _ADX = ["""moves as materialized (select ticker, i - 1 as j, n, greatest(high -
 
 @query("adx_trend", with_([Q.BARS, Q.SEQ] + _ADX, "select ticker, trend_strength from trend"))
 def adx_trend(spark, sf):
-    bars = bars_table(spark, sf)
-    return B.momentum_metrics(spread(bars, "ticker"), B.index_series(bars)).select("ticker", "trend_strength")
+    bars = keyed_bars_table(spark, sf)
+    return T.named(B.momentum_metrics(spread(bars, "ticker"), B.index_series(bars))).select("ticker", "trend_strength")
 
 
 _YEARBARS = """yearbars as materialized (select *, least(n, 252) as m, least(n, 252) - 1 - (n - i) as pos, max(close) over (partition by ticker order by date) as peak from seq where n - i < 252)"""
@@ -148,17 +153,17 @@ _VF = f"case when v60 > 0 then {Q.clip('v20 / v60', 0.5, 2.0)} else 1e0 end"
  case when v.n >= 60 then case when hi = lo then 50.0 else {Q.r(Q.clip(f'(m.last - lo) / (hi - lo) * 80 + case when m.last >= hi * 0.95e0 then 10 * {_VF} else 0 end', 0, 100))} end end as breakout_score
  from vols v join mom m using (ticker) join resid r using (ticker) left join trend t using (ticker)"""))
 def momentum_metrics(spark, sf):
-    bars = bars_table(spark, sf)
-    return B.momentum_metrics(spread(bars, "ticker"), _two_indices(bars))
+    bars = keyed_bars_table(spark, sf)
+    return T.named(B.momentum_metrics(spread(bars, "ticker"), _two_indices(bars)))
 
 
 @query("momentum_merge", with_([Q.GEO, Q.SUPPLIERS] + _MOM, f"""select s.ticker, case when v.ticker is null then null else {Q.r(_DUAL)} end as "Dual Momentum", v.ticker is not null as updated
  from suppliers s left join vols v using (ticker)"""))
 def momentum_merge(spark, sf):
     """Momentum scores merged into the supplier export by ticker."""
-    bars = bars_table(spark, sf)
+    bars = keyed_bars_table(spark, sf)
     base = T.suppliers(spark, sf).select(T.supplier_ticker(F.col("suppkey")).alias("ticker"))
-    return merge_overwrite(base, B.momentum_metrics(spread(bars, "ticker"), B.index_series(bars)), "ticker", {"dual_momentum": "Dual Momentum"})
+    return merge_overwrite(base, T.named(B.momentum_metrics(spread(bars, "ticker"), B.index_series(bars))), "ticker", {"dual_momentum": "Dual Momentum"})
 
 
 @query("rs_turn", with_([Q.BARS, Q.INDEX, """rsq as (select ticker, b.close / x.close as s, row_number() over (partition by ticker order by b.date desc) - 1 as back,

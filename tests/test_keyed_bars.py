@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from ratewell.catalog.metrics import price_metrics
+from ratewell.catalog.metrics import momentum_metrics, price_metrics
 from ratewell.catalog.rating import loaded
 from ratewell.operators import bars as B
 from ratewell.sources import tables as T
@@ -25,7 +25,7 @@ def test_keys_give_the_rows_of_tickers(spark):
     assert rows_of(T.named(B.momentum_metrics(by_key, index))) == rows_of(B.momentum_metrics(by_name, index))
 
 
-@pytest.mark.parametrize("query,texts", [(price_metrics, 0), (loaded, 0)])
+@pytest.mark.parametrize("query,texts", [(price_metrics, 0), (loaded, 0), (momentum_metrics, 2)])
 def test_windows_sort_numbers(spark, query, texts):
     """No window over bars sorts by a text, those over the index (its name, one series) aside: tickers begin alike."""
     plan = query(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
