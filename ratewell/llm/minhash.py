@@ -10,8 +10,8 @@ alike sets go before any set is read: of sets that are samples as a whole none i
 
 Sets that are equal are one node.  The nodes of a key are first compared with one of them, and what links is merged.
 Keys that still hold several components are searched for pairs of different ones: a task compares the sketches of a
-key (of two blocks of nodes, where the key holds many) and returns nearest partners only, and only for the nodes
-outside the largest component of the key.  Confirmed links merge components.  The first rounds read a quarter of the
+key (of two blocks of nodes, where the key holds many; two of its largest component never meet) and returns nearest
+partners only, and only for the nodes outside the largest component of the key.  Confirmed links merge components.  The first rounds read a quarter of the
 bands, the others all, with more partners each time, until every node has been given all it has.
 """
 
@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratewell.llm.common import Scratch, WordHashes, bounded_broadcast, cut, mixed, texts
@@ -34,6 +34,8 @@ SAMPLES, LOWEST, BITS = ROWS * BANDS, 1024, 1024
 SIGMAS = 6.0
 #: Nodes of a block; nearest partners of a node in the first search, and how many times more in each further one.
 BLOCK, FAN, WIDER = 1024, 4, 8
+#: Blocks that a key's main component has at most, and its other nodes; pairs a search holds before it drops all but the nearest.
+CELLS, PAIRS = 16, 1 << 21
 #: Rows a search task holds at a time before it compares them, whole keys only.
 HELD = 20_000
 
@@ -174,49 +176,76 @@ def _nearest(keys: np.ndarray, low: np.ndarray, high: np.ndarray, block: np.ndar
              main: np.ndarray, sketch: np.ndarray, percent: int, fan: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(node, partner, bits apart): under each key the ``fan`` nearest partners of other components, nearest first.
 
-    Rows lie key by key; row i is compared with row i + d of its key for d = 1, 2, ... in one step each.  A pair is
-    given to the node outside the component ``main`` of the key, to the larger node if both are.
+    Rows lie cell by cell of a key; row i is compared with row i + d of its cell for d = 1, 2, ... in one step each.  A
+    pair is given to the node outside the component ``main`` of the key, to the larger node if both are.  In a cell
+    with ``low`` = ``high`` all meet; one with a negative ``low`` holds a block of ``main`` and one of others, which don't
+    meet among themselves there; the rest hold two blocks of others.
     """
     new = np.r_[True, (keys[1:] != keys[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
     group = np.cumsum(new) - 1
     end = np.r_[np.flatnonzero(new)[1:], len(keys)][group]
-    found, at, d = [], np.arange(len(keys)), 1
+    found, held, at, d = [], 0, np.arange(len(keys)), 1
+    outer = label != main
+
+    def nearest(i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((node[j], bits, node[i], group[i]))
+        i, j, bits = i[order], j[order], bits[order]
+        if len(i):
+            first = np.r_[True, (node[i[1:]] != node[i[:-1]]) | (group[i[1:]] != group[i[:-1]])]
+            place = np.arange(len(i)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            i, j, bits = i[place < fan], j[place < fan], bits[place < fan]
+        return i, j, bits
+
     while len(at := at[at + d < end[at]]):
         other = at + d
-        apart = (label[at] != label[other]) & ((low[at] == high[at]) | (block[at] != block[other]))
+        meet = (low[at] == high[at]) | np.where(low[at] < 0, outer[at] != outer[other], block[at] != block[other])
+        apart = meet & (label[at] != label[other])
         i, j = at[apart], other[apart]
         bits, may = alike(n[i].astype(np.float64), n[j].astype(np.float64), sketch[i], sketch[j], percent)
-        found.append((i[may], j[may], bits[may]))
-        d += 1
+        i, j, bits = i[may], j[may], bits[may]
+        turned = (label[i] == main[i]) | (label[j] != main[j]) & (node[i] < node[j])
+        found.append((np.where(turned, j, i), np.where(turned, i, j), bits))
+        held, d = held + len(i), d + 1
+        if held > PAIRS:
+            found = [nearest(*(np.concatenate(x) for x in zip(*found)))]
+            held = 0
     if not found:
         return (np.empty(0, np.int64),) * 3
-    i, j, bits = (np.concatenate(x) for x in zip(*found))
-    turned = (label[i] == main[i]) | (label[j] != main[j]) & (node[i] < node[j])
-    i, j = np.where(turned, j, i), np.where(turned, i, j)
-    order = np.lexsort((node[j], bits, node[i], group[i]))
-    i, j, bits = i[order], j[order], bits[order]
-    if len(i):
-        first = np.r_[True, (i[1:] != i[:-1])]
-        place = np.arange(len(i)) - np.flatnonzero(first)[np.cumsum(first) - 1]
-        i, j, bits = i[place < fan], j[place < fan], bits[place < fan]
+    i, j, bits = nearest(*(np.concatenate(x) for x in zip(*found)))
     return node[i], node[j], bits
 
 
-def nearest_of_others(lists: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, fan: int) -> DataFrame:
-    """(a, b, rank): the nearest nodes b of other components that a node a shares a key with, ``fan`` + 1 at most.
+def _blocks(rows: Column) -> Column:
+    """Blocks of ``BLOCK`` rows; no more than ``CELLS`` of them, which then hold more, so the copies made of a row stay bounded."""
+    return F.least(F.lit(CELLS), F.ceil(rows / BLOCK)).cast("int")
 
-    Every pair under a common key that may be alike is among those of a or of b, unless that one has more than ``fan``.
-    """
+
+def cells(lists: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the keys that hold several components, as often as they meet another block; a task searches a whole cell."""
     labelled = lists.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     ends = (labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("times")).groupBy("key")
             .agg(F.max(F.struct("times", "label")).alias("main"), F.sum("times").alias("members"), F.count(F.lit(1)).alias("several"))
-            .where("several > 1").select("key", F.col("main.label").alias("main"), F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
-    meet = F.expr("explode(transform(sequence(0, blocks - 1), x -> struct(least(x, block) as low, greatest(x, block) as high)))").alias("meet")
-    rest = (labelled.join(ends, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-            .select("key", "node", "label", "main", "block", meet).select("key", "meet.low", "meet.high", "block", "node", "label", "main")
+            .where("several > 1").select(
+                "key", F.col("main.label").alias("main"), _blocks(F.col("main.times")).alias("mains"),
+                _blocks(F.col("members") - F.col("main.times")).alias("others")))
+    # a node of the main component meets each block of others; another one each block of the main component, too
+    with_others = F.expr("transform(sequence(0, others - 1), x -> struct(if(block = 0, x, -block) as low, x as high))")
+    with_mains = F.expr("transform(sequence(0, mains - 1), x -> struct(if(x = 0, block, -x) as low, block as high))")
+    with_rest = F.expr("transform(filter(sequence(0, others - 1), x -> x <> block), x -> struct(least(x, block) as low, greatest(x, block) as high))")
+    inner = F.col("label") == F.col("main")
+    return (labelled.join(ends, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.when(inner, F.col("mains")).otherwise(F.col("others"))).cast("int"))
+            .select("key", "node", "label", "main", "block", F.explode(F.when(inner, with_others).otherwise(F.concat(with_mains, with_rest))).alias("meet"))
+            .select("key", "meet.low", "meet.high", "block", "node", "label", "main")
             .join(nodes.select("node", "n", "sketch"), "node")
-            .select("key", "low", "high", "block", "node", F.col("n").cast("long").alias("n"), "label", "main", "sketch")
-            .repartition("key", "low", "high").sortWithinPartitions("key", "low", "high"))
+            .select("key", "low", "high", "block", "node", F.col("n").cast("long").alias("n"), "label", "main", "sketch"))
+
+
+def nearest_of_others(lists: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, fan: int) -> DataFrame:
+    """(a, b, rank): the nearest nodes b of other components that a node a shares a key with, ``fan`` + 1 at most.
+
+    Every pair under a common key that may be alike is among those of a or of b, unless that one has more than ``fan``.
+    """
+    rest = cells(lists, nodes, labels).repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, waiting, size = ["key", "low", "high", "block", "node", "n", "label", "main"], [], 0

@@ -133,3 +133,21 @@ def test_nearest_by_definition():
                     found.append((int(bits[0]), j))
             want += [(i, j, b) for b, j in sorted(found)[:fan]]
         assert sorted(got) == sorted(want) and want
+
+
+def test_large_component_is_sent_once(spark, monkeypatch):
+    """Nodes of a key's largest component are copied for blocks of others only; no pair of different components is lost."""
+    monkeypatch.setattr(minhash, "BLOCK", 10)
+    for loners in (6, 35):
+        # 200 nodes in component 0, each loner its own; sketches all equal, so every pair may be alike
+        nodes = spark.createDataFrame([(k, 100, [0] * 16) for k in range(200 + loners)], "node long, n int, sketch array<long>")
+        lists = nodes.selectExpr("7L as key", "node")
+        labels = spark.createDataFrame([(k, 0) for k in range(200)], "node long, label long")
+        monkeypatch.setattr(minhash, "PAIRS", 500)
+        found = [frozenset((r.a, r.b)) for r in minhash.nearest_of_others(lists, nodes, labels, 80, 10_000).collect()]
+        assert set(found) == {frozenset((a, b)) for a in range(200, 200 + loners) for b in range(200 + loners) if b != a}
+        assert len(set(found)) == len(found)
+        few = minhash.nearest_of_others(lists, nodes, labels, 80, 3).groupBy("a").count().collect()
+        assert {(r.a, r["count"]) for r in few} == {(a, 4) for a in range(200, 200 + loners)}
+        others = -(-loners // 10)
+        assert minhash.cells(lists, nodes, labels).count() == 200 * others + loners * (minhash.CELLS + others - 1)
