@@ -30,7 +30,10 @@ OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200
 BLOCK_CHARS = 8_000_000
 #: Bytes of words and their ids in a generation of what a worker remembers; what an entry takes besides them.
 CACHE_BYTES, ENTRY_BYTES = 64_000_000, 250
-NEVER = np.int64(2**62)
+NEVER = np.int32(2**31 - 1)
+NOWHERE = np.empty(0, np.int32)
+#: Pairs that are looked up at a time.
+LOOKUP = 1 << 16
 
 
 class Vocabulary:
@@ -46,12 +49,15 @@ class Vocabulary:
         pairs = {self.ranks[t[:k]] * self.size + self.ranks[t[k:]]: rank for t, rank in self.ranks.items()
                  for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks}
         self.pair = np.array(sorted(pairs), np.int64)
-        self.pair_rank = np.array([pairs[k] for k in self.pair.tolist()], np.int64)
-        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
+        self.pair_rank = np.array([pairs[k] for k in self.pair.tolist()], np.int32)
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
 
     def merged(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, ``NEVER`` where the two don't merge."""
-        key = left * self.size + right
+        if len(left) > LOOKUP:  # keys and places take eight times what the ranks do
+            parts = [slice(a, a + LOOKUP) for a in range(0, len(left), LOOKUP)]
+            return np.concatenate([self.merged(left[p], right[p]) for p in parts])
+        key = left.astype(np.int64) * self.size + right
         at = np.searchsorted(self.pair, key)
         at[at == len(self.pair)] = 0
         return np.where(self.pair[at] == key, self.pair_rank[at], NEVER)
@@ -59,28 +65,29 @@ class Vocabulary:
     def replay(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of each word after all merges, lowest rank first, leftmost first among equals.
 
-        ``places`` is the inverted index: rank of a pair -> positions of its left token, some of them outdated.
+        ``places`` is the inverted index: rank of a pair -> positions of its left token, some of them outdated; ``added``
+        holds those that merges make.  A position takes about 46 bytes, the words of a block lie in memory all at once.
         """
         length = np.fromiter(map(len, words), np.int64, len(words))
         starts = np.cumsum(length) - length
         sym = self.byte[np.frombuffer(b"".join(words), np.uint8)]
         n = len(sym)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         before[starts[length > 0]] = -1
         after[(starts + length - 1)[length > 0]] = -1
-        inner = np.flatnonzero(after >= 0)
-        rank_at = np.full(n, NEVER, np.int64)  # of the pair that a position and the next one make
-        rank_at[inner] = self.merged(sym[inner], sym[inner + 1])
+        rank_at = np.full(n, NEVER, np.int32)  # of the pair that a position and the next one make
+        rank_at[:-1] = np.where(after[:-1] >= 0, self.merged(sym[:-1], sym[1:]), NEVER)
         alive = np.ones(n, bool)
-        order = np.argsort(rank_at, kind="stable")
-        order = order[:np.searchsorted(rank_at[order], NEVER)]
+        order = np.flatnonzero(rank_at < NEVER).astype(np.int32)
+        order = order[np.argsort(rank_at[order], kind="stable")]
         ranks, at = np.unique(rank_at[order], return_index=True)
-        places = {r: part.tolist() for r, part in zip(ranks.tolist(), np.split(order, at[1:]))}
+        places = dict(zip(ranks.tolist(), np.split(order, at[1:])))
+        added: dict[int, list[int]] = {}
         queue = list(places)
         heapify(queue)
         while queue:
             rank = heappop(queue)
-            p = np.array(places.pop(rank, ()), np.int64)
+            p = np.concatenate([places.pop(rank, NOWHERE), np.array(added.pop(rank, ()), np.int32)])
             p = np.unique(p[rank_at[p] == rank])
             if not len(p):
                 continue
@@ -91,7 +98,7 @@ class Vocabulary:
                     if x != taken:
                         free.append(x)
                         taken = y
-                p = np.array(free, np.int64)
+                p = np.array(free, np.int32)
                 q = after[p]
             left, right = before[p], after[q]
             if ((left >= 0) & (self.merged(sym[left], np.full(len(p), rank)) < rank)
@@ -99,7 +106,7 @@ class Vocabulary:
                 # a merge makes a pair that goes before this rank: one place a word now, the others afterwards
                 first = np.unique(np.searchsorted(starts, p, "right"), return_index=True)[1]
                 if len(first) < len(p):
-                    places[rank] = np.delete(p, first).tolist()
+                    places[rank] = np.delete(p, first)
                     heappush(queue, rank)
                     p = p[first]
                     q = after[p]
@@ -119,11 +126,12 @@ class Vocabulary:
             touched += left[own < NEVER].tolist()
             new += own[own < NEVER].tolist()
             for place, r in zip(touched, new):
-                if r in places:
-                    places[r].append(place)
+                if r in added:
+                    added[r].append(place)
                 else:
-                    places[r] = [place]
-                    heappush(queue, r)
+                    added[r] = [place]
+                    if r not in places:
+                        heappush(queue, r)
         kept = np.cumsum(alive)
         ends = np.where(length > 0, kept[np.maximum(starts + length - 1, 0)] if n else 0, 0).tolist()
         packed, out, a = sym[alive].astype("<u4").tobytes(), [], 0
@@ -262,7 +270,7 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def encoding_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+def encoding_digests(docs: DataFrame, rank_path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Per document: number of ids, digest of the ids as written to disk, digest of the bytes decoded from them.
 
     Encodes as ``encode_documents`` does and decodes the ids again in the same task, so no ids are shuffled.
@@ -271,7 +279,7 @@ def encoding_digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
     ranks = _rank_file(docs.sparkSession, rank_path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, found in text_blocks(batches, BLOCK_CHARS):
+        for ids, found in text_blocks(batches, block_chars):
             coder = encoder(ranks.value, pattern)
             counts, packed_hex, text_hex = [], [], []
             for packed in coder.encode(found):

@@ -317,3 +317,13 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
               .select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
     scratch.close()
     return out
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose document is the smallest of its component; rows without ``doc_id`` stay.
+
+    Of several rows of one document all stay, they are not copies under another id.  All columns are kept.
+    """
+    gone = near_duplicates(docs, width, percent).where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(gone, F.col("row.doc_id").cast("long") == F.col("gone_id"), "left_anti").select("row.*")

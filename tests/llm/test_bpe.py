@@ -56,3 +56,16 @@ def test_documents(spark, frame):
     back = {r.doc_id: r.text for r in bpe.decode_documents(bpe.encode_documents(frame(rows[:len(ODD)]), PATH, P.PATTERN), PATH).collect()}
     assert back == dict(enumerate(ODD))
     assert bpe.encoding_digests(frame(rows).limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_replay_takes_little_memory():
+    """Words of a block lie in memory all at once: 46 bytes for each of theirs at the most, 85 with 64-bit positions in lists."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    words = [bytes(rng.choices(b"etaoinshrdlu", k=8)) for _ in range(40_000)]
+    tracemalloc.start()
+    CODER.vocabulary.replay(words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * 8 * len(words)

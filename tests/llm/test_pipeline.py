@@ -54,3 +54,21 @@ def test_near_copies_go_by_five_words(spark, frame, tmp_path):
     one, two = words[:25] + ["other"] + words[26:], words[:15] + ["other"] + words[16:35] + ["more"] + words[36:]
     docs = frame([(1, " ".join(words)), (2, " ".join(one)), (3, " ".join(two))])
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == [1, 3]
+
+
+def test_group_of_near_copies_makes_few_pairs(spark, frame, tmp_path, monkeypatch):
+    """Copies of one text that are alike in several steps leave one; pairs confirmed grow with the group, not with its square."""
+    from ratewell.llm import minhash
+
+    pairs, confirmed = [], minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda found, *rest: pairs.append(found.count()) or confirmed(found, *rest))
+    words, rng = [f"w{k}" for k in range(150)], random.Random(5)
+    rows = [(k, " ".join(w if rng.random() > 0.015 else f"x{k}" for w in words)) for k in range(200)]
+    kept = corpus_pipeline.near_duplicates(spark, frame(rows), str(tmp_path)).count()
+    sets = [{tuple(t.split()[i:i + 5]) for i in range(146)} for _, t in rows]
+    label = list(range(200))
+    for a in range(200):
+        for b in range(a):
+            if label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                label = [label[b] if x == label[a] else x for x in label]
+    assert kept == len(set(label)) and 0 < sum(pairs) < 200 * 199 / 2 / 4
