@@ -164,6 +164,11 @@ class Encoder:
         self.older: tuple[dict[str, bytes], ...] = ({}, {}, {})
         self.held = 0
 
+    def forget(self) -> None:
+        """Both generations of words go; what a worker remembers would lie beside the memory of later stages."""
+        self._age()
+        self._age()
+
     def _age(self) -> None:
         """Words not met since the last time go; those of the present generation go next time unless they are met again."""
         self.older = self.piece, self.first, self.later
@@ -270,11 +275,12 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def encoding_digests(docs: DataFrame, rank_path: str, pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encoding_digests(docs: DataFrame, rank_path: str, pattern: str, block_chars: int = BLOCK_CHARS, remember: bool = True) -> DataFrame:
     """Per document: number of ids, digest of the ids as written to disk, digest of the bytes decoded from them.
 
     Encodes as ``encode_documents`` does and decodes the ids again in the same task, so no ids are shuffled.
-    Empty and null texts have 0 ids and the digest of no bytes; an empty table gives an empty result.
+    Empty and null texts have 0 ids and the digest of no bytes; an empty table gives an empty result.  Unless told
+    to ``remember`` words for its next task, a worker gives their memory back.
     """
     ranks = _rank_file(docs.sparkSession, rank_path)
 
@@ -289,6 +295,9 @@ def encoding_digests(docs: DataFrame, rank_path: str, pattern: str, block_chars:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(packed_hex, pa.string()),
                  pa.array(text_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        if not remember:
+            encoder(ranks.value, pattern).forget()
+            pa.default_memory_pool().release_unused()
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

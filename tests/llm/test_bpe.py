@@ -69,3 +69,12 @@ def test_replay_takes_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 60 * 8 * len(words)
+
+
+def test_words_are_forgotten():
+    coder = bpe.Encoder(open(PATH, "rb").read(), P.PATTERN)
+    ids = coder.encode(["some words, again words", "x  y"])
+    assert coder.piece and coder.later
+    coder.forget()
+    assert not any((coder.piece, coder.first, coder.later, *coder.older)) and coder.held == 0
+    assert coder.encode(["some words, again words", "x  y"]) == ids
